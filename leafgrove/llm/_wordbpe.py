@@ -48,10 +48,11 @@ class WordBpe:
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"]
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        #: Special tokens as chunks: a leading space, which no other chunk has, tells them from the same string in lower-cased text.
+        self.special = {" " + t["content"]: t["id"] for t in spec["added_tokens"]}
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace("\\s", _SPACE))
-        self.specials = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")")
-        self.strings = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
+        self.specials = regex.compile("(" + "|".join(regex.escape(x[1:]) for x in sorted(self.special, key=len, reverse=True)) + ")")
+        self.strings = {i: t for t, i in self.vocab.items()} | {i: t[1:] for t, i in self.special.items()}
         self.byte_char = _byte_chars()
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
@@ -63,7 +64,7 @@ class WordBpe:
     def chunks(self, text: str) -> list[str]:
         """Lower-cased pieces of a text between white space; strings of special tokens stand alone."""
         if "<|" in text:
-            return [y for x in self.specials.split(text) for y in ([x] if x in self.special else self._split(x))]
+            return [y for x in self.specials.split(text) for y in ([" " + x] if " " + x in self.special else self._split(x))]
         return self._split(text)
 
     def _split(self, text: str) -> list[str]:

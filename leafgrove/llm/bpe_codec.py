@@ -16,7 +16,6 @@ from hashlib import sha256
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from leafgrove.llm import _wordbpe
 from leafgrove.llm._shared import read
@@ -44,7 +43,11 @@ class TrieEncoder:
         self.parts |= {i: bpe.symbols(t) for t, i in self.final.items() if set(t) <= chars}
         self.inner = {t: i for t, i in self.inner.items() if i in self.parts}
         self.final = {t: i for t, i in self.final.items() if i in self.parts}
-        self.longest = max(map(len, [*self.inner, *self.final]))
+        self.longest = max(map(len, self.final))
+        #: States of the walk: ends of paths that begin a token.
+        self.begins = {t[:k] for t in self.inner for k in range(len(t) + 1)}
+        self.texts, self.states, self.ending = [""], {"": 0}, [[]]
+        self.steps: dict[int, int] = {}
 
     def merged(self, symbols: list[int]) -> list[int]:
         """Plain merging, for single tokens."""
@@ -108,28 +111,46 @@ class TrieEncoder:
             ends.setdefault(node, []).append(word)
         out: dict[str, list[int]] = {}
         last: list[int] = []  # the last token of each prefix of the path
-        stack = [(0, 0, "")]  # a tail is as much of the path's end as a token can be long
+        stack = [(0, 0, 0, "")]
+        apart, steps, ending = self.apart, self.steps, self.ending
         while stack:
-            node, depth, tail = stack.pop()
+            node, depth, state, char = stack.pop()
             if depth:
                 del last[depth - 1 :]
-                last.append(self._last(tail, last, self.inner))
+                key = state << 21 | ord(char)
+                state = steps[key] if key in steps else self._step(state, char)
+                for token, size in ending[state]:
+                    if size == depth:
+                        break
+                    key = last[depth - size - 1] << 20 | token
+                    if apart[key] if key in apart else self.stay_apart(key >> 20, token):
+                        break
+                last.append(token)
             for word in ends.get(node, ()):
-                out[word] = self._read_back(self._last(word[-self.longest :], last, self.final), last)
+                out[word] = self._read_back(self._final(word, last), last)
             if children[node]:
-                tail = tail[1 - self.longest :]
-                stack.extend([(n, depth + 1, tail + c) for c, n in children[node].items()])
+                stack.extend([(n, depth + 1, state, c) for c, n in children[node].items()])
         return out
 
-    def _last(self, tail: str, last: list[int], tokens: dict[str, int]) -> int:
-        """The last token of a prefix that ends in tail; last: the last tokens of all shorter prefixes."""
-        n, apart, stands = len(last) + 1, self.apart, self.alone
-        for at in range(len(tail)):
-            token = tokens.get(tail[at:])
-            if token is None:
-                continue
-            size = len(tail) - at
-            if (stands[token] if token in stands else self.stands(token)) and (size == n or (apart.get(last[n - size - 1] << 20 | token) if last[n - size - 1] << 20 | token in apart else self.stay_apart(last[n - size - 1], token))):
+    def _step(self, state: int, char: str) -> int:
+        """The state after char: the longest end of the path that begins some token; with it, the tokens that end there."""
+        text = self.texts[state] + char
+        while text not in self.begins:
+            text = text[1:]
+        if (found := self.states.get(text)) is None:
+            found = self.states[text] = len(self.texts)
+            self.texts.append(text)
+            tokens = [(self.inner[text[k:]], len(text) - k) for k in range(len(text)) if text[k:] in self.inner]
+            self.ending.append([x for x in tokens if self.stands(x[0])])
+        self.steps[state << 21 | ord(char)] = found
+        return found
+
+    def _final(self, word: str, last: list[int]) -> int:
+        """The token that ends a word; last: the last tokens of its shorter prefixes."""
+        n = len(word)
+        for at in range(max(0, n - self.longest), n):
+            token = self.final.get(word[at:])
+            if token is not None and self.stands(token) and (at == 0 or self.stay_apart(last[at - 1], token)):
                 return token
         raise ValueError("the vocabulary lacks a single byte")
 
@@ -160,7 +181,7 @@ class Codec:
             own = [self.words[p] for p in ps]
             self.known[chunk] = own[0] if len(own) == 1 else (sum([x[0] for x in own]), " ".join([x[1] for x in own]), " ".join([x[2] for x in own]))
         for token, i in self.bpe.special.items():
-            self.known[token] = (1, str(i), token)
+            self.known[token] = (1, str(i), token[1:])
 
     def encode(self, texts: list[str]) -> list[list[tuple[int, str, str]]]:
         """For each text its chunks' (number of ids, ids as text, decoded text)."""

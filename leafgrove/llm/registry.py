@@ -7,11 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from leafgrove.llm.bpe_codec import op2_bpe_codec
+from leafgrove.llm.curve_packing import op5_curve_packing
+from leafgrove.llm.host_quality import OP8_SQL, op8_host_quality
 from leafgrove.llm.token_counts import op6_token_counts
+from leafgrove.llm.url_reputation import OP3_SQL, op3_url_reputation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_codec": op2_bpe_codec,
+    "op3_url_reputation": op3_url_reputation,
+    "op5_curve_packing": op5_curve_packing,
     "op6_token_counts": op6_token_counts,
+    "op8_host_quality": op8_host_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_url_reputation": OP3_SQL, "op8_host_quality": OP8_SQL}
