@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: A lookup side is broadcast only below so many rows (each row a few dozen bytes); beyond it the join is shuffled.
 BROADCAST_ROWS = 200_000
 #: Copies of each lookup row when the join is shuffled, so that a hot key is spread over so many tasks.
-SALTS = 64
+SALTS = 16
 #: White space of the word contracts: code points 0x20 and 0x09 to 0x0D.
 WORD_SPLIT = "[\\x20\\x09-\\x0D]+"
 
@@ -54,16 +54,18 @@ def release() -> None:
 atexit.register(release)
 
 
-def lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+def lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", hot: bool = True) -> DataFrame:
     """Join big with a lookup table that has one row for each key.
 
     The lookup side is written out and counted: up to BROADCAST_ROWS rows it is broadcast. Beyond that both sides are
-    shuffled on the keys and a salt, so that a key with a third of all rows is spread over SALTS tasks. Both ways give
-    the same rows. Null keys find nothing.
+    shuffled on the keys and, where a key can be hot, a salt, so that a key with a third of all rows is spread over
+    SALTS tasks. All ways give the same rows. Null keys find nothing.
     """
     small = materialize(small, "lookup")
     if small.count() <= BROADCAST_ROWS:
         return big.join(F.broadcast(small), keys, how)
+    if not hot:
+        return big.join(small, keys, how)
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in big.columns if not _odd(big, c)]), F.lit(SALTS)).cast("int"))
     return dealt.join(salted, [*keys, "_salt"], how).drop("_salt")
