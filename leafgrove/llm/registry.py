@@ -11,6 +11,7 @@ from leafgrove.llm.curve_packing import op5_curve_packing
 from leafgrove.llm.embedding_dedup import OP10_SQL, op10_embedding_dedup
 from leafgrove.llm.host_quality import OP8_SQL, op8_host_quality
 from leafgrove.llm.ngram_join import OP9_SQL, op9_ngram_join
+from leafgrove.llm.suffix_tree_lm import op4_suffix_tree_lm
 from leafgrove.llm.token_counts import op6_token_counts
 from leafgrove.llm.toxicity import op1_toxicity
 from leafgrove.llm.url_reputation import OP3_SQL, op3_url_reputation
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_bpe_codec": op2_bpe_codec,
     "op3_url_reputation": op3_url_reputation,
+    "op4_suffix_tree_lm": op4_suffix_tree_lm,
     "op5_curve_packing": op5_curve_packing,
     "op6_token_counts": op6_token_counts,
     "op8_host_quality": op8_host_quality,
