@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +18,8 @@ SALTS = 16
 #: White space of the word contracts: code points 0x20 and 0x09 to 0x0D.
 WORD_SPLIT = "[\\x20\\x09-\\x0D]+"
 
-_written: list[tuple[SparkSession, str]] = []
+#: Tables that materialize() wrote; each list belongs to a collected() block, the first to the process.
+_written: list[list[tuple[SparkSession, str]]] = [[]]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,23 +38,32 @@ def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/leafgrove/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
+    _written[-1].append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Delete every table that materialize() wrote; results that still read them must have been written out."""
-    while _written:
-        spark, path = _written.pop()
+@contextmanager
+def collected() -> Iterator[list[tuple[SparkSession, str]]]:
+    """Collects the tables that are written inside, for release() once nothing reads them any more."""
+    _written.append([])
+    try:
+        yield _written[-1]
+    finally:
+        _written.pop()
+
+
+def release(tables: list[tuple[SparkSession, str]]) -> None:
+    """Delete tables that materialize() wrote; results that still read them must have been written out."""
+    while tables:
+        spark, path = tables.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
         except Exception:  # the session has ended: its folder goes with it
             return
 
 
-atexit.register(release)
+atexit.register(release, _written[0])
 
 
 def lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", hot: bool = True) -> DataFrame:

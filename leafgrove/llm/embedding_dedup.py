@@ -14,7 +14,7 @@ result; other columns are not read.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,9 +27,11 @@ from leafgrove.llm._shared import lookup, materialize, read
 
 THRESHOLD = 0.95
 #: k-means is fitted on about so many vectors; vectors a cell, and cells at most.
-SAMPLE, CELL, CELLS = 20_000, 2_500, 1_024
-#: Vectors in a block, on either side of a product.
-BLOCK = 1_024
+SAMPLE, CELL, CELLS = 20_000, 4_000, 1_024
+#: Vectors in a block, on either side of a product; home vectors that are multiplied at a time.
+BLOCK, STRIP = 4_096, 512
+#: Single-precision cosines this much below the threshold are looked at again in double precision.
+SLACK = 1e-4
 
 
 def fit(sample: np.ndarray, cells: int, rounds: int = 10, seed: int = 5) -> np.ndarray:
@@ -57,38 +59,55 @@ def placed(vectors: DataFrame, centroids: np.ndarray, threshold: float) -> DataF
         for batch in batches:
             if not batch.num_rows:
                 continue
-            flat = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            flat = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(batch.num_rows, -1)
             dots = unit(flat.astype(np.float64)) @ centroids.T
             home = dots.argmax(1)
             inside = dots[np.arange(len(home)), home][:, None] - dots <= reach * between[home] + 1e-12
             row, cell = np.nonzero(inside)
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(home[row] == cell), *(batch.column(k).take(take) for k in range(3))], ["cell", "at_home", "id", "n", "vector"])
+            raw = pa.array([x.tobytes() for x in flat], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(home[row] == cell), *(x.take(take) for x in (batch.column(0), batch.column(1), raw))], ["cell", "at_home", "id", "n", "vector"])
 
-    return vectors.select("id", "n", "vector").mapInArrow(run, "cell int, at_home boolean, id long, n long, vector array<float>")
+    return vectors.select("id", "n", "vector").mapInArrow(run, "cell int, at_home boolean, id long, n long, vector binary")
+
+
+def matrix(vectors: Iterable[bytes], n: int) -> np.ndarray:
+    return unit(np.frombuffer(b"".join(vectors), np.float32).reshape(n, -1).astype(np.float64))
 
 
 def compare(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Links of one pair of blocks: id, n_links (of home vectors, to all there), label (least id that it reaches here)."""
-    home, all_ = group[group.home_side], group[~group.home_side]
-    out = {"id": [], "n_links": [], "label": []}
-    if len(home) and len(all_):
-        a, b = home.id.to_numpy(), all_.id.to_numpy()
-        linked = unit(np.stack(home.vector.to_numpy()).astype(np.float64)) @ unit(np.stack(all_.vector.to_numpy()).astype(np.float64)).T >= threshold
-        linked &= a[:, None] != b[None]
-        if linked.any():
-            rows, columns = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
-            linked, a, b = linked[np.ix_(rows, columns)], a[rows], b[columns]
-            counts = linked @ all_.n.to_numpy()[columns]
-            label_a, label_b, far = a.copy(), b.copy(), np.iinfo(np.int64).max
+    """Links of one pair of blocks: id, n_links (of home vectors, to all there), label (least id that it reaches here).
+
+    Strip by strip: where single precision sees a cosine near the threshold, the rows and columns concerned are
+    multiplied again in double precision.
+    """
+    home, others = group[group.home_side], group[~group.home_side]
+    ids, counts, labels = [], [], []
+    if len(home) and len(others):
+        left, right = matrix(home.vector, len(home)), matrix(others.vector, len(others))
+        left_small, right_small = left.astype(np.float32), right.astype(np.float32).T
+        a, b, n = home.id.to_numpy(), others.id.to_numpy(), others.n.to_numpy()
+        for at in range(0, len(a), STRIP):
+            near = left_small[at : at + STRIP] @ right_small >= np.float32(threshold - SLACK)
+            rows, columns = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+            linked = left[at + rows] @ right[columns].T >= threshold
+            own, other = a[at + rows], b[columns]
+            linked &= own[:, None] != other[None]
+            if not linked.any():
+                continue
+            label, far, found = own.copy(), np.iinfo(np.int64).max, other.copy()
             while True:
-                new_b = np.minimum(label_b, np.where(linked, label_a[:, None], far).min(0))
-                new_a = np.minimum(label_a, np.where(linked, new_b[None], far).min(1))
-                if (new_a == label_a).all() and (new_b == label_b).all():
+                new_found = np.minimum(found, np.where(linked, label[:, None], far).min(0))
+                new_label = np.minimum(label, np.where(linked, new_found[None], far).min(1))
+                if (new_found == found).all() and (new_label == label).all():
                     break
-                label_a, label_b = new_a, new_b
-            out = {"id": np.concatenate([a, b]), "n_links": np.concatenate([counts, np.zeros(len(b), np.int64)]), "label": np.concatenate([label_a, label_b])}
-    return pd.DataFrame(out).astype("int64")
+                label, found = new_label, new_found
+            ids += [own, other]
+            counts += [linked @ n[columns], np.zeros(len(other), np.int64)]
+            labels += [label, found]
+    out = {name: np.concatenate(x) if x else np.empty(0, np.int64) for name, x in (("id", ids), ("n_links", counts), ("label", labels))}
+    found = pd.DataFrame(out).astype("int64")
+    return found[(found.n_links > 0) | (found.id != found.label)]
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
@@ -123,7 +142,7 @@ def _links(distinct: DataFrame, total: int, threshold: float) -> DataFrame | Non
     sizes, often = np.unique([len(x) for x in sample], return_counts=True)
     width = int(sizes[often.argmax()])
     centroids = fit(unit(np.array([x for x in sample if len(x) == width], np.float64)), min(CELLS, -(-total // CELL)))
-    spots = materialize(placed(distinct.where(F.size("vector") == width).repartition("id"), centroids, threshold), "cells")
+    spots = materialize(placed(distinct.where(F.size("vector") == width), centroids, threshold), "cells")
     sizes = {r["cell"]: (-(-r["home"] // BLOCK), -(-r["all"] // BLOCK)) for r in spots.groupBy("cell").agg(F.sum(F.col("at_home").cast("long")).alias("home"), F.count("*").alias("all")).collect()}
     if not sizes:
         return None

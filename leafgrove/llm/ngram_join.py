@@ -145,6 +145,15 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     return found.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
 
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, per_cent: int = 80) -> DataFrame:
+    """The rows of df but those whose group has a lesser id; of repeated rows of one id one stays. Rows without id or words stay."""
+    found = materialize(groups(df, id_col, text_col, n, per_cent), "groups")
+    more = found.where(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
+    out = lookup(df, more.withColumn("_goes", F.lit(True)), [id_col], hot=False).where("_goes is null").select(df.columns)
+    repeated = found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1")
+    return out if repeated.isEmpty() else out.where(F.col(id_col).isNull()).unionByName(out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
+
+
 def _joined(df: DataFrame, id_col: str, text_col: str, n: int, per_cent: int, ranks: np.ndarray, index: DataFrame) -> DataFrame:
     """node, component of every document of the index (id, size, token) that links with another one."""
     verify = Verifier(df, id_col, text_col, n, per_cent, ranks)
