@@ -1,8 +1,77 @@
-"""Corpus pipeline (its stages follow)."""
+"""Corpus pipeline: toxicity, quality rules, line dedup, n-gram Jaccard join, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns
+of documents; the last returns the pieces of packed sequences.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from leafgrove.llm import curve_packing, host_quality, line_dedup, ngram_join, toxicity
+from leafgrove.llm._shared import collected, read, release, shared_dir
+
+_scratch: list = []
+
+
+def _stage(work):
+    """Tables that the stage before wrote for itself go once the next one starts: its result has been written by then."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(_scratch)
+        with collected() as tables:
+            out = work(spark, docs, sf_dir)
+        _scratch.extend(tables)
+        return out
+
+    return run
+
+
+@_stage
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, fitted on the labelled ones, scores below 0.5."""
+    return toxicity.keep_clean(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
+@_stage
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the rules of their own and of their host."""
+    return host_quality.keep_good(docs)
+
+
+@_stage
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that are similar to an earlier line."""
+    return line_dedup.dedup_lines(docs)
+
+
+@_stage
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links of a Jaccard similarity of 0.8 or more, on five-word shingles, hold together."""
+    return ngram_join.keep_one(docs, n=5, per_cent=80)
+
+
+@_stage
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 2048 tokens."""
+    return curve_packing.pack(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+STAGES = [("toxicity", drop_toxic), ("quality_rules", keep_quality), ("line_dedup", drop_lines), ("ngram_join", drop_near_copies), ("packing", pack)]
+
+#: Scores of a fitted model and tokens of a vocabulary file are beyond SQL; the tests run a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    base = f"{shared_dir(spark)}/leafgrove/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        path = f"{base}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    release(_scratch)
+    return docs
