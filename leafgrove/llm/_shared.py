@@ -5,9 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +88,13 @@ def _odd(df: DataFrame, name: str) -> bool:
     return df.schema[name].dataType.typeName() in ("map", "variant")
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows, to bound what a Python worker holds at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def fold(column: str, parts: int) -> Column:
     """crc32 of the id as text, modulo parts."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(parts))

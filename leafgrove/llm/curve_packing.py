@@ -29,7 +29,7 @@ END = 1
 #: Hashed vector, dimensions of the curve, bits a dimension.
 BUCKETS, DIMENSIONS, BITS = 1024, 4, 10
 #: Distinct chunks that a Python worker remembers; beyond it the memory starts anew.
-MEMORY = 500_000
+MEMORY = 250_000
 
 
 class Encoder:

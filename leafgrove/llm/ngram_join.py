@@ -2,13 +2,13 @@
 
 A document is the set of its distinct word n-grams. Documents with equal sets count once. All n-grams have one order,
 rarest first (by counts of all n-grams in hashed bins). For two sets to reach the similarity, the first few n-grams of
-both in that order (|x| - needed overlap + DEPTH of them) must share DEPTH, so only these are indexed.
+both in that order (|x| - needed overlap + d of them) must share d, so only these are indexed.
 
 1. Groups. Each document is a group of its own. In each indexed n-gram that several groups share, one document is the
    pivot, and the others are compared with it; what links joins groups. A few rounds partition near copies into groups
    at a cost in proportion to the index, however large a group grows.
 2. Token-group matrix. For each group, the union of its documents' indexed n-grams. A document's overlap with the union
-   of another group bounds its overlap with any member. Only groups with an overlap of DEPTH are opened, and only then
+   of another group bounds its overlap with any member. Only groups with an overlap of d are opened, and only then
    are members compared one by one. So no link between different sets is lost.
 
 Null and empty texts, and texts without words, have an empty set and link with nothing. A text with fewer words than n
@@ -27,14 +27,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafgrove.llm._components import components
-from leafgrove.llm._shared import lookup, materialize, read
+from leafgrove.llm._shared import lookup, materialize, read, slices
 
-#: Bins of the rarity counts (a power of two, at most 2^16); n-grams that a candidate pair must share in the index.
-BINS, DEPTH = 1 << 16, 3
+#: Bins of the rarity counts (a power of two, at most 2^16).
+BINS = 1 << 16
+#: N-grams that a candidate pair must share in the index: 2 + size / DEPTH. More cost index rows, but a passage that two
+#: unlike documents share then makes no candidate of them.
+DEPTH = 33
 #: Rounds that build groups before groups are opened.
 ROUNDS = 3
 #: Distinct words whose hashes a Python worker remembers.
-MEMORY = 600_000
+MEMORY = 250_000
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _words: dict[bytes, int] = {}
@@ -63,9 +66,15 @@ def bins(df: DataFrame, text_col: str, n: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BINS, np.int64)
+        held, size = [np.empty(0, np.uint64)], 0
         for batch in batches:
             for text in batch.column(0):
-                counts += np.bincount((ngrams(text.as_py(), n) & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS) if text.is_valid else 0
+                held.append(ngrams(text.as_py(), n))
+                size += len(held[-1])
+                if size > 1_000_000:
+                    counts += np.bincount((np.concatenate(held) & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)
+                    held, size = [np.empty(0, np.uint64)], 0
+        counts += np.bincount((np.concatenate(held) & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], ["bin", "n"])
 
@@ -87,13 +96,13 @@ def indexed(df: DataFrame, id_col: str, text_col: str, n: int, per_cent: int, ra
     """id, n_shingles, key (of the whole set), prefix (the indexed n-grams), a row for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sizes, keys, prefixes = [], [], []
             for text in batch.column(1):
                 own = ordered(text.as_py(), n, ranks)
                 sizes.append(len(own))
                 keys.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
-                prefixes.append(own[: len(own) - -(-per_cent * len(own) // 100) + DEPTH].view(np.int64))
+                prefixes.append(own[: len(own) - -(-per_cent * len(own) // 100) + 2 + len(own) // DEPTH].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], ["id", "n_shingles", "key", "prefix"])
 
     return df.select(id_col, text_col).mapInArrow(run, "id long, n_shingles long, key binary, prefix array<long>")
@@ -111,14 +120,14 @@ class Verifier:
         named = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id")
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([ordered(t.as_py(), n, ranks).tobytes() for t in batch.column(1)], pa.binary())], ["id", "own"])
 
         own = materialize(lookup(self.df, named, ["id"], "inner", hot=False).mapInArrow(sets, "id long, own binary"), "sets")
         both = pairs.join(own.select(F.col("id").alias("a"), F.col("own").alias("own_a")), "a").join(own.select(F.col("id").alias("b"), F.col("own").alias("own_b")), "b")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 keep = []
                 for x, y in zip(batch.column(2), batch.column(3), strict=True):
                     x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
@@ -157,40 +166,51 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
 def _joined(df: DataFrame, id_col: str, text_col: str, n: int, per_cent: int, ranks: np.ndarray, index: DataFrame) -> DataFrame:
     """node, component of every document of the index (id, size, token) that links with another one."""
     verify = Verifier(df, id_col, text_col, n, per_cent, ranks)
-    fits = 100 * F.least("size", "pivot_size") >= per_cent * F.greatest("size", "pivot_size")
-    needed = F.least(F.lit(DEPTH), F.ceil(F.col("size") * per_cent / 100))
-    links = groups = None
-    current = index.withColumn("g", F.col("id"))
+    links, current = None, index.withColumn("g", F.col("id"))
     for k in range(ROUNDS):
+        # N-grams of one group only can't join groups any more: they leave the index for good.
         pivot = F.min(F.struct(F.xxhash64("g", F.lit(k)), F.xxhash64("id", F.lit(k)), "id", "size", "g"))
         pivots = current.groupBy("token").agg(pivot.alias("p"), F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi")
-        pivots = materialize(pivots.select("token", F.col("p.id").alias("pivot"), F.col("p.size").alias("pivot_size"), F.col("p.g").alias("pg")), "pivots")
-        pairs = current.join(pivots, "token").where("g <> pg").where(fits).groupBy(F.col("id").alias("a"), F.col("pivot").alias("b")).agg(F.count("*").alias("n"), F.first("size").alias("size"))
-        pairs = materialize(pairs.where(F.col("n") >= needed).select("a", "b"), "pairs")
+        pivots = materialize(pivots.select("token", F.col("p.id").alias("pivot"), F.col("p.size").alias("other"), F.col("p.g").alias("pg")), "pivots")
+        current = materialize(current.join(pivots, "token"), "mixed")
+        pairs = current.where("g <> pg").where(_fits(per_cent)).groupBy(F.col("id").alias("a"), F.col("pivot").alias("b"), "size", "other").agg(F.count("*").alias("n"))
+        pairs = materialize(pairs.where(F.col("n") >= _needed(F.least("size", "other"), per_cent)).select("a", "b"), "pairs")
         new = materialize(verify.linked(pairs), "verified")
+        current = current.select("id", "size", "token", "g")
         if new.isEmpty():
             break
         links = new if links is None else materialize(links.union(new), "links")
         groups = materialize(components(links), "groups")
-        current = lookup(index, groups.withColumnRenamed("node", "id"), ["id"], hot=False).select("id", "size", "token", F.coalesce("component", "id").alias("g"))
-    opened = materialize(_opened(current, per_cent, needed), "opened")
-    rest = verify.linked(opened)
-    links = rest if links is None else links.union(rest)
-    return components(links)
+        current = lookup(current.drop("g"), groups.withColumnRenamed("node", "id"), ["id"], hot=False).select("id", "size", "token", F.coalesce("component", "id").alias("g"))
+    rest = verify.linked(materialize(_opened(current, per_cent), "opened"))
+    return components(rest if links is None else links.union(rest))
+
+
+def _fits(per_cent: int) -> Column:
+    """Length filter."""
+    return 100 * F.least("size", "other") >= per_cent * F.greatest("size", "other")
+
+
+def _needed(size: Column, per_cent: int) -> Column:
+    """Indexed n-grams that documents must share, of which the smaller has this size."""
+    return F.least(2 + F.floor(size / DEPTH), F.ceil(size * per_cent / 100))
 
 
-def _opened(current: DataFrame, per_cent: int, needed: Column) -> DataFrame:
-    """Pairs (a, b) of documents of different groups that share enough, where a's overlap with the union of b's group is enough."""
+def _opened(current: DataFrame, per_cent: int) -> DataFrame:
+    """Pairs (a, b) of documents of different groups that share enough, where either's overlap with the union of the other's group is enough."""
     mixed = current.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("token")
-    current = materialize(current.join(materialize(mixed, "mixed"), "token"), "mixed")
-    matrix = current.select("token", F.col("g").alias("h")).distinct()
-    bound = current.join(materialize(matrix, "matrix"), "token").where("g <> h").groupBy("id", "h").agg(F.count("*").alias("n"), F.first("size").alias("size"))
-    qualify = materialize(bound.where(F.col("n") >= needed).select("id", "h"), "qualify")
-    # Both ends must qualify; the lesser id asks.
-    left = current.join(qualify, "id").select(F.col("id").alias("a"), F.col("size").alias("size"), "h", "token")
-    right = current.select(F.col("id").alias("b"), F.col("size").alias("pivot_size"), F.col("g").alias("h"), "token")
-    pairs = left.join(right, ["h", "token"]).where("a < b").where(100 * F.least("size", "pivot_size") >= per_cent * F.greatest("size", "pivot_size"))
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.first("size").alias("size")).where(F.col("n") >= needed).select("a", "b")
+    current = materialize(current.join(materialize(mixed, "tokens"), "token"), "mixed")
+    # A row of the matrix also knows the least and greatest size of the group's documents that hold the n-gram.
+    matrix = current.groupBy("token", F.col("g").alias("h")).agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
+    bound = current.join(materialize(matrix, "matrix"), "token").where("g <> h").where((100 * F.col("hi") >= per_cent * F.col("size")) & (100 * F.col("size") >= per_cent * F.col("lo")))
+    bound = bound.groupBy("id", "size", "h").agg(F.count("*").alias("n"))
+    # The other document may be smaller, down to per_cent of this one.
+    qualify = materialize(bound.where(F.col("n") >= _needed(F.ceil(F.col("size") * per_cent / 100), per_cent)).select("id", "h"), "qualify")
+    left = current.join(qualify, "id").select(F.col("id").alias("a"), "size", F.col("g").alias("ga"), "h", "token")
+    # Both ends must qualify with the other's group; the lesser id asks.
+    right = current.join(qualify, "id").select(F.col("id").alias("b"), F.col("size").alias("other"), F.col("g").alias("gb"), F.col("h").alias("hb"), "token")
+    pairs = left.join(right, (left["token"] == right["token"]) & (left["h"] == right["gb"]) & (left["ga"] == right["hb"])).where("a < b").where(_fits(per_cent))
+    return pairs.groupBy("a", "b", "size", "other").agg(F.count("*").alias("n")).where(F.col("n") >= _needed(F.least("size", "other"), per_cent)).select("a", "b")
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafgrove.llm._shared import fold, materialize, read
+from leafgrove.llm._shared import fold, materialize, read, slices
 
 #: Longest sequences that are counted (contexts are one shorter).
 ORDER = 3
@@ -36,7 +36,7 @@ MIN_SHARE = 4e-6
 #: Discount of each count; nats that a context's distribution must be better than its suffix's over all its occurrences, and for each.
 DISCOUNT, MIN_GAIN, MIN_DIVERGENCE = 0.75, 20.0, 0.002
 #: Distinct words whose numbers a Python worker remembers; words counted before counts are passed on.
-MEMORY = 600_000
+MEMORY = 150_000
 #: The end of a text, as a word that no text has.
 END = b" "
 
@@ -171,22 +171,22 @@ def encoded(docs: DataFrame, hashes: np.ndarray) -> DataFrame:
     shared = spark.sparkContext.broadcast(hashes)
 
     class Numbers(dict):
-        def __missing__(self, word: bytes) -> tuple[int, int]:
+        def __missing__(self, word: bytes) -> int:
             if len(self) >= MEMORY:
                 self.clear()
             h = hashed(word)
             at = int(np.searchsorted(shared.value, h))
-            found = self[word] = (at if at < len(shared.value) and shared.value[at] == h else -1, h)
+            found = self[word] = at if at < len(shared.value) and shared.value[at] == h else -1
             return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = Numbers()
-        for batch in batches:
+        for batch in slices(batches):
             ids, rare = [], []
             for text in batch.column(2):
-                own = [*map(numbers.__getitem__, words(text.as_py())), numbers[END]]
-                ids.append(np.fromiter((x[0] for x in own), np.int32, len(own)))
-                rare.append([h for at, h in own if at < 0])
+                own = [*words(text.as_py()), END]
+                ids.append(np.fromiter(map(numbers.__getitem__, own), np.int32, len(own)))
+                rare.append(np.fromiter((hashed(own[k]) for k in np.flatnonzero(ids[-1] < 0)), np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(rare, pa.list_(pa.int64()))], ["id", "train", "ids", "rare"])
 
     return docs.select("id", "train", "text").mapInArrow(run, "id long, train boolean, ids array<int>, rare array<long>")
@@ -213,7 +213,7 @@ def count_sequences(texts: DataFrame, tree: Tree, least: float) -> DataFrame:
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts, pa.int64())], ["key", "c"])
 
-        for batch in batches:
+        for batch in slices(batches):
             ids, first, _ = _flat(batch.column(0))
             if not len(ids):
                 continue
@@ -222,7 +222,7 @@ def count_sequences(texts: DataFrame, tree: Tree, least: float) -> DataFrame:
             before = np.concatenate([[-1], places[:-1]])
             inside = ~first & (before >= 0) & (places >= 0)
             held.append((before << 20 | np.maximum(ids, 0))[inside])
-            if sum(map(len, held)) > 8_000_000:
+            if sum(map(len, held)) > 2_000_000:
                 yield out()
                 held.clear()
         if held:
@@ -251,7 +251,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             ids, first, sizes = _flat(batch.column(2))
             starts = np.cumsum(sizes) - sizes
             known = ids >= 0

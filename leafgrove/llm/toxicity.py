@@ -28,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafgrove.llm._shared import fold, lookup, materialize, read
+from leafgrove.llm._shared import fold, lookup, materialize, read, slices
 
 #: The classifier is fitted on a sample of about so many labelled rows at most.
 FIT_ROWS = 20_000
 #: Weight of the Dirichlet prior in stems; z-score, log-odds and texts that a stem of the lexicon needs; bytes of a stem.
 PRIOR, MIN_Z, MIN_ODDS, MIN_TEXTS, STEM = 10_000.0, 3.5, 1.5, 3, 4
 #: Words whose weights a Python worker remembers.
-MEMORY = 500_000
+MEMORY = 150_000
 DENSITY, MAX_E = 0.05, 0.05
 
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -181,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     own = materialize(own, "examples")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             toxic, texts = Counter(), Counter()
             for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 found = stems(words(text.as_py()))
@@ -223,7 +223,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             scores, passages = [], []
             for text in batch.column(1):
                 n, found = model.found(text.as_py())
