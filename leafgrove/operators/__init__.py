@@ -1 +1 @@
-
+"""Operators on texts, trees and units."""

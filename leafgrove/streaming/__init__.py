@@ -1 +1 @@
-
+"""Event streams."""
