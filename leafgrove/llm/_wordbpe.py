@@ -75,13 +75,17 @@ class WordBpe:
         text = text.lower()
         return [x for x in _BY_SPACE.split(text) if x] if _EXTRA.search(text) else text.split()
 
-    def pretokens(self, chunk: str) -> list[str]:
-        """Spelled pre-tokens of a chunk that is no special token."""
+    def parts(self, chunk: str) -> list[str]:
+        """Pre-tokens of a chunk that is no special token."""
         if chunk.isalpha():
-            return [chunk if chunk.isascii() else self.spelled(chunk)]
-        if chunk[-1] in ".,!?:;" and (word := chunk[:-1]).isalpha():
-            return [word if word.isascii() else self.spelled(word), chunk[-1]]
-        return list(map(self.spelled, self.pattern.findall(chunk)))
+            return [chunk]
+        if chunk[-1] in ".,!?:;" and chunk[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+        return self.pattern.findall(chunk)
+
+    def pretokens(self, chunk: str) -> list[str]:
+        """As parts, spelled."""
+        return list(map(self.spelled, self.parts(chunk)))
 
     def spelled(self, pretoken: str) -> str:
         """A pre-token with one printable character for each byte."""

@@ -44,20 +44,37 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.library.encode_special_tokens = True
+        #: Whether an id ends a pre-token.
+        self.ends = np.zeros(max(self.bpe.strings) + 1, bool)
+        self.ends[[i for i, t in self.bpe.strings.items() if t.endswith(self.bpe.suffix)]] = True
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def learn(self, chunks: set[str]) -> None:
+        """Distinct pre-tokens go to the library many in one text: it parts them at the white space between."""
+        if len(self.known) + len(chunks) > MEMORY:
+            self.known.clear()
+            self.words.clear()
+        self.known.update({c: np.array([i], "<u2").tobytes() for c, i in self.bpe.special.items()})
+        new = {c: self.bpe.parts(c) for c in chunks if c not in self.known}
+        words = list({p for ps in new.values() for p in ps if p not in self.words})
+        for at in range(0, len(words), 500):
+            part = words[at : at + 500]
+            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, "<u2")
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(cuts) == len(part):
+                raw, start = ids.tobytes(), 0
+                for word, end in zip(part, cuts, strict=True):
+                    self.words[word], start = raw[2 * start : 2 * end], end
+            else:
+                self.words.update({w: np.array(self.library.encode(w, add_special_tokens=False).ids, "<u2").tobytes() for w in part})
+        for chunk, ps in new.items():
+            self.known[chunk] = self.words[ps[0]] if len(ps) == 1 else b"".join([self.words[p] for p in ps])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.bpe.chunks(t) for t in texts]
-        distinct = set().union(*split)
-        if len(self.known) + len(distinct) > MEMORY:
-            self.known.clear()
         with _wordbpe.no_gc():
-            self.known.update({c: np.array([i], "<u2").tobytes() for c, i in self.bpe.special.items()})
-            new = [c for c in distinct if c not in self.known]
-            for at in range(0, len(new), 10_000):
-                part = new[at : at + 10_000]
-                for chunk, found in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    self.known[chunk] = np.array(found.ids, "<u2").tobytes()
+            self.learn(set().union(*split))
         return [b"".join(map(self.known.__getitem__, cs)) for cs in split]
 
 
