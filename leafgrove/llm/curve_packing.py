@@ -29,7 +29,7 @@ END = 1
 #: Hashed vector, dimensions of the curve, bits a dimension.
 BUCKETS, DIMENSIONS, BITS = 1024, 4, 10
 #: Distinct chunks that a Python worker remembers; beyond it the memory starts anew.
-MEMORY = 250_000
+MEMORY = 600_000
 
 
 class Encoder:
@@ -54,6 +54,7 @@ class Encoder:
         """Distinct pre-tokens go to the library many in one text: it parts them at the white space between."""
         if len(self.known) + len(chunks) > MEMORY:
             self.known.clear()
+        if len(self.words) > MEMORY:
             self.words.clear()
         self.known.update({c: np.array([i], "<u2").tobytes() for c, i in self.bpe.special.items()})
         new = {c: self.bpe.parts(c) for c in chunks if c not in self.known}

@@ -32,8 +32,8 @@ from leafgrove.llm._shared import fold, lookup, materialize, read, slices
 
 #: The classifier is fitted on a sample of about so many labelled rows at most.
 FIT_ROWS = 20_000
-#: Weight of the Dirichlet prior in stems; z-score, log-odds and texts that a stem of the lexicon needs; bytes of a stem.
-PRIOR, MIN_Z, MIN_ODDS, MIN_TEXTS, STEM = 10_000.0, 3.5, 1.5, 3, 4
+#: Weight of the Dirichlet prior in stems, at most, and as a share of all; z-score, log-odds and texts that a stem of the lexicon needs; bytes of a stem.
+PRIOR, PRIOR_SHARE, MIN_Z, MIN_ODDS, MIN_TEXTS, STEM = 10_000.0, 0.02, 3.5, 1.5, 3, 4
 #: Words whose weights a Python worker remembers.
 MEMORY = 150_000
 DENSITY, MAX_E = 0.05, 0.05
@@ -128,8 +128,9 @@ def lexicon(stem: list[bytes], toxic: np.ndarray, texts: np.ndarray, all_toxic:
     toxic, texts: toxic texts and all texts that hold each stem; all_toxic, all_texts: their sums over all stems.
     """
     y, x = toxic.astype(float), (texts - toxic).astype(float)
-    n_y, n_x = all_toxic + PRIOR, all_texts - all_toxic + PRIOR
-    prior = PRIOR * texts / max(all_texts, 1)
+    weight = min(PRIOR, PRIOR_SHARE * all_texts)
+    n_y, n_x = all_toxic + weight, all_texts - all_toxic + weight
+    prior = weight * texts / max(all_texts, 1)
     odds = np.log((y + prior) / (n_y - y - prior)) - np.log((x + prior) / (n_x - x - prior))
     z = odds / np.sqrt(1 / (y + prior) + 1 / (x + prior))
     chosen = {stem[i]: i for i in np.flatnonzero((z >= MIN_Z) & (odds >= MIN_ODDS) & (texts >= MIN_TEXTS))}
@@ -157,13 +158,19 @@ def extreme_value(best: np.ndarray, n: np.ndarray) -> tuple[float, float]:
     return float(len(best) / (n * np.exp(-low * best)).sum()), float(low)
 
 
-def logistic(features: np.ndarray, labels: np.ndarray, ridge: float = 1.0) -> tuple[float, tuple[float, float]]:
-    """Bias and slopes by Newton steps."""
+def logistic(features: np.ndarray, labels: np.ndarray, ridge: float = 0.5) -> tuple[float, tuple[float, float]]:
+    """Bias and slopes, by Newton steps that are halved until the penalised loss falls."""
     x = np.column_stack([np.ones(len(features)), features])
+    penalty = ridge * np.array([0.01, 1.0, 1.0])
+    loss = lambda w: np.logaddexp(0, x @ w).sum() - labels @ (x @ w) + (penalty * w * w).sum() / 2
     w = np.zeros(3)
-    for _ in range(30):
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
-        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(3) * 1e-2, x.T @ (p - labels) + ridge * 1e-2 * w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (p - labels) + penalty * w)
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > loss(w):
+            size /= 2
+        w = w - size * step
     return float(w[0]), (float(w[1]), float(w[2]))
 
 
