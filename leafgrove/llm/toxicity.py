@@ -33,7 +33,7 @@ from leafgrove.llm._shared import fold, lookup, materialize, read, slices
 #: The classifier is fitted on a sample of about so many labelled rows at most.
 FIT_ROWS = 20_000
 #: Weight of the Dirichlet prior in stems, at most, and as a share of all; z-score, log-odds and texts that a stem of the lexicon needs; bytes of a stem.
-PRIOR, PRIOR_SHARE, MIN_Z, MIN_ODDS, MIN_TEXTS, STEM = 10_000.0, 0.02, 3.5, 1.5, 3, 4
+PRIOR, PRIOR_SHARE, MIN_Z, MIN_ODDS, MIN_TEXTS, STEM = 10_000.0, 0.05, 3.5, 1.5, 3, 4
 #: Words whose weights a Python worker remembers.
 MEMORY = 150_000
 DENSITY, MAX_E = 0.05, 0.05
