@@ -1,15 +1,17 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
 Tokens are words and one end for each text. Counts come from all training texts. The tree's contexts are word sequences
-of up to ORDER - 1 tokens. As in Ron, Singer and Tishby (1996), only sequences with an empirical probability of at least
-MIN_SHARE are looked at, and there are at most 1 / MIN_SHARE of a length, whatever the input; of these contexts the ones
-whose next-symbol distribution diverges from their suffix's stay. Next-symbol distributions are smoothed by absolute
-discounting towards those of the suffix, and at the root by the add-one distribution of single tokens. A text is scored
-by the longest suffix of what precedes each token that is a state.
-
-Words are counted by 64-bit hashes. Frequent ones (a share of MIN_SHARE or more: at most 1 / MIN_SHARE of them) are
-broadcast. Rare ones can't be in any retained sequence, so a rare word's probability is its own one times back-off
-weights; its count comes by a shuffled join.
+of up to ORDER - 1 tokens. Every sequence that occurs MIN_COUNT times or more is looked at, so their number grows with
+the corpus; of the contexts, the ones whose next-symbol distribution diverges from their suffix's stay (Ron, Singer and
+Tishby, 1996). Next-symbol distributions are smoothed by absolute discounting towards those of the suffix, and at the
+root by the add-one distribution of single tokens. A text is scored by the longest suffix of what precedes each token
+that is a state.
+
+Words and sequences are 64-bit hashes in tables, joined by shuffles. A text's score is a sum of one value for each of
+its words and sequences: a word's own log probability and its weight as a context; a sequence's gain over its suffix
+less its context's weight, and its own weight as a context. The HOT most frequent values are broadcast and added where
+the text is read; the others are joined. A broadcast bitmap of a fixed size leaves out of the shuffles what is in no
+table for sure; results do not depend on either.
 
 Null and empty texts are one end. Texts are taken whole. Repeated rows are scored each by itself. Without training texts
 every count is 0 and all scores are those of one unseen symbol. Other columns are not read.
@@ -17,25 +19,27 @@ every count is 0 and all scores are those of one unseen symbol. Other columns ar
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafgrove.llm._shared import fold, materialize, read, slices
+from leafgrove.llm._shared import collected, fold, materialize, read, release, slices
 
 #: Longest sequences that are counted (contexts are one shorter).
 ORDER = 3
-#: Least share of all training tokens that a frequent word or sequence has.
-MIN_SHARE = 4e-6
+#: Least number of occurrences in training texts of a sequence that is looked at.
+MIN_COUNT = 2
+#: Values that are broadcast; 64-bit words of a bitmap.
+HOT, BITMAP = 200_000, 1 << 21
 #: Discount of each count; nats that a context's distribution must be better than its suffix's over all its occurrences, and for each.
 DISCOUNT, MIN_GAIN, MIN_DIVERGENCE = 0.75, 20.0, 0.002
-#: Distinct words whose numbers a Python worker remembers; words counted before counts are passed on.
+#: Distinct words whose hashes a Python worker remembers.
 MEMORY = 150_000
 #: The end of a text, as a word that no text has.
 END = b" "
@@ -52,31 +56,9 @@ def hashed(word: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """h, c of every token of docs (text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(map(hashed, counts)), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["h", "c"])
-
-        for batch in batches:
-            for text in batch.column(0):
-                counts.update(words(text.as_py()))
-                counts[END] += 1
-                if len(counts) > MEMORY:
-                    yield out()
-                    counts.clear()
-        if counts:
-            yield out()
-
-    return docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-
-
 @dataclass
 class Tree:
-    """Frequent words by hash (sorted) with their counts, and for each length the retained sequences.
+    """The model of a small corpus in memory, which tests hold against the tables: words by hash (sorted) with their counts, and for each length the retained sequences.
 
     keys[k]: sorted numbers of sequences of length k + 2: place of the sequence without its last word, times 2^20, plus
     the last word. logp: log10 probability of the last word after the rest; back: log10 back-off weight of a sequence as
@@ -165,31 +147,38 @@ class Tree:
         return np.searchsorted(self.keys[k - 1], tail << 20 | last)
 
 
-def encoded(docs: DataFrame, hashes: np.ndarray) -> DataFrame:
-    """id, train, ids (places of frequent words, else -1, the end last) and rare (hashes of the others) of each text."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(hashes)
+def mixed(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """Hash of a sequence from those of its parts without the last and without the first token, as F.xxhash64(context, suffix)."""
+    p1, p2, p3, p4, p5 = map(np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, n: x << np.uint64(n) | x >> np.uint64(64 - n)
+    h = np.full(len(context), 42, np.uint64)
+    for part in (context, suffix):
+        h = h + p5 + np.uint64(8) ^ turn(part.view(np.uint64) * p2, 31) * p1
+        h = turn(h, 27) * p1 + p4
+        h = (h ^ h >> np.uint64(33)) * p2
+        h = (h ^ h >> np.uint64(29)) * p3
+        h = h ^ h >> np.uint64(32)
+    return h.view(np.int64)
+
 
-    class Numbers(dict):
+def encoded(docs: DataFrame) -> DataFrame:
+    """id, train and tokens (hashes of words, the end last) of each text."""
+
+    class Hashes(dict):
         def __missing__(self, word: bytes) -> int:
             if len(self) >= MEMORY:
                 self.clear()
-            h = hashed(word)
-            at = int(np.searchsorted(shared.value, h))
-            found = self[word] = at if at < len(shared.value) and shared.value[at] == h else -1
+            found = self[word] = hashed(word)
             return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers()
+        hashes = Hashes()
         for batch in slices(batches):
-            ids, rare = [], []
-            for text in batch.column(2):
-                own = [*words(text.as_py()), END]
-                ids.append(np.fromiter(map(numbers.__getitem__, own), np.int32, len(own)))
-                rare.append(np.fromiter((hashed(own[k]) for k in np.flatnonzero(ids[-1] < 0)), np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array(rare, pa.list_(pa.int64()))], ["id", "train", "ids", "rare"])
+            own = [[*words(text.as_py()), END] for text in batch.column(2)]
+            tokens = [np.fromiter(map(hashes.__getitem__, x), np.int64, len(x)) for x in own]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens, pa.list_(pa.int64()))], ["id", "train", "tokens"])
 
-    return docs.select("id", "train", "text").mapInArrow(run, "id long, train boolean, ids array<int>, rare array<long>")
+    return docs.select("id", "train", "text").mapInArrow(run, "id long, train boolean, tokens array<long>")
 
 
 def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -201,71 +190,138 @@ def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return values, first, sizes
 
 
-def count_sequences(texts: DataFrame, tree: Tree, least: float) -> DataFrame:
-    """key, c of the sequences one longer than the tree's, that have at least so many occurrences in training texts."""
-    shared = texts.sparkSession.sparkContext.broadcast(tree)
+def bitmap(table: DataFrame) -> Broadcast:
+    """Bits of the hashes h in a table; a hash whose bit is not set is not in it."""
+    rows = table.groupBy(F.shiftrightunsigned("h", 43).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63L AS int)))").alias("b")).toArrow()
+    bits = np.zeros(BITMAP, np.int64)
+    bits[rows["w"].to_numpy()] = rows["b"].to_numpy()
+    return table.sparkSession.sparkContext.broadcast(bits)
+
+
+def held(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return (bits[h.view(np.uint64) >> np.uint64(43)] >> (h & 63) & 1).astype(bool)
+
+
+def longer(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sequences of a length by their last token: the contexts, suffixes and last tokens of those one longer."""
+    at = np.flatnonzero(~first[1:]) + 1
+    return h[at - 1], h[at], at
+
+
+def count_words(texts: DataFrame) -> DataFrame:
+    """h, c of every token of the training texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, counts = np.unique(_flat(batch.column(0))[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(counts, pa.int64())], ["h", "c"])
+
+    return texts.where("train").select("tokens").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+
+
+def count_sequences(texts: DataFrame, size: int, parts: Broadcast) -> DataFrame:
+    """context, suffix and c of the sequences of a size that occur often enough in training texts; parts: bitmap of those one shorter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = shared.value
-        held: list[np.ndarray] = []
+        waiting: list[np.ndarray] = []
 
         def out() -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts, pa.int64())], ["key", "c"])
+            pairs = np.concatenate(waiting)
+            pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+            starts = np.flatnonzero(np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)]))
+            counts = np.diff(np.append(starts, len(pairs)))
+            return pa.RecordBatch.from_arrays([pa.array(pairs[starts, 0]), pa.array(pairs[starts, 1]), pa.array(counts, pa.int64())], ["context", "suffix", "c"])
 
         for batch in slices(batches):
-            ids, first, _ = _flat(batch.column(0))
-            if not len(ids):
-                continue
-            # A sequence is no more frequent than its parts: both its ends must be retained.
-            places = tree.places(ids, first)[-1]
-            before = np.concatenate([[-1], places[:-1]])
-            inside = ~first & (before >= 0) & (places >= 0)
-            held.append((before << 20 | np.maximum(ids, 0))[inside])
-            if sum(map(len, held)) > 2_000_000:
+            h, first, _ = _flat(batch.column(0))
+            for _ in range(size - 2):
+                context, suffix, at = longer(h, first)
+                h, first = mixed(context, suffix), first[at - 1]
+            context, suffix, _ = longer(h, first)
+            # A sequence is no more frequent than its parts.
+            often = held(parts.value, context) & held(parts.value, suffix)
+            waiting.append(np.stack([context[often], suffix[often]], 1))
+            if sum(map(len, waiting)) > 1_000_000:
                 yield out()
-                held.clear()
-        if held:
+                waiting.clear()
+        if sum(map(len, waiting)):
             yield out()
 
-    counted = texts.where("train").select("ids").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
-    return counted.where(F.col("c") >= least)
+    counted = texts.where("train").select("tokens").mapInArrow(run, "context long, suffix long, c long").groupBy("context", "suffix").agg(F.sum("c").alias("c"))
+    return counted.where(F.col("c") >= MIN_COUNT)
+
+
+def grown(shorter: DataFrame, counted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sequences of the next length: h, c, logp and gain (over suffix and context's weight), and h, back of the contexts that stay.
+
+    shorter: h, c, logp of the sequences one shorter.
+    """
+    with collected() as passing:
+        own = materialize(counted, "sequences")
+        sizes = own.groupBy("context").agg(F.count("*").alias("n"), F.sum("c").alias("covered")).join(shorter.select(F.col("h").alias("context"), F.col("c").alias("size")), "context")
+        left = F.greatest(1 - (F.col("covered") - DISCOUNT * F.col("n")) / F.col("size"), F.lit(1e-9))
+        rows = own.join(shorter.select(F.col("h").alias("suffix"), F.col("logp").alias("lower")), "suffix").join(sizes.withColumn("left", left).drop("n"), "context")
+        rows = materialize(rows.withColumn("p", (F.col("c") - DISCOUNT) / F.col("size") + F.col("left") * F.pow(F.lit(10.0), "lower")), "smoothed")
+        gains = rows.groupBy("context").agg(F.sum(F.col("c") * (F.log("p") - F.col("lower") * float(np.log(10)))).alias("gain"), F.max("size").alias("size"), F.max("covered").alias("covered"), F.max("left").alias("left"))
+        gain = F.col("gain") + (F.col("size") - F.col("covered")) * F.log("left")
+        states = gains.where((gain >= MIN_GAIN) & (gain >= MIN_DIVERGENCE * F.col("size"))).select("context", F.log10("left").alias("back"))
+    states = materialize(states, "states")
+    stays = F.col("back").isNotNull()
+    level = rows.join(states, "context", "left").select(F.xxhash64("context", "suffix").alias("h"), "c", F.when(stays, F.log10("p")).otherwise(F.col("lower")).alias("logp"), F.when(stays, F.log10("p") - F.col("lower") - F.col("back")).otherwise(0.0).alias("gain"))
+    level = materialize(level, "level")
+    release(passing)
+    return level, states.select(F.col("context").alias("h"), "back")
 
 
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score and score of each row; rows where train holds are learned from."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).alias("text"))
-    table = materialize(count_words(docs.where("train")), "words")
+    texts = materialize(encoded(docs), "texts")
+    table = materialize(count_words(texts), "words")
     total, distinct = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    least = max(1.0, MIN_SHARE * total)
-    often = table.where(F.col("c") >= least).toArrow().sort_by("h")
-    tree = Tree(often["h"].to_numpy(), often["c"].to_numpy(), total, distinct)
-    # A number for each row, fixed once it is written.
-    texts = materialize(encoded(docs, tree.hashes).withColumn("row", F.monotonically_increasing_id()), "texts")
-    for _ in range(order - 1):
-        found = count_sequences(texts, tree, max(2.0, least)).toArrow().sort_by("key")
-        if not found.num_rows:
-            break
-        tree.grow(found["key"].to_numpy(), found["c"].to_numpy())
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
+    unit = float(np.log10(total + distinct + 1))
+    log = F.log10(F.col("c") + 1.0)
+    level = table.select("h", "c", (log - unit).alias("logp"))
+    none = F.lit(0.0)
+    values = table.select("h", "c", F.lit(1).alias("known"), log.alias("base"), log.alias("own"))
+    for size in range(2, order + 1):
+        level, states = grown(level, count_sequences(texts, size, bitmap(level.where(F.col("c") >= MIN_COUNT))))
+        for part, own in ((level.where("gain <> 0"), "gain"), (states.withColumn("c", F.lit(0)), "back")):
+            values = values.unionByName(part.select("h", "c", F.lit(0).alias("known"), none.alias("base"), F.col(own).alias("own")))
+    values = materialize(values.groupBy("h").agg(F.max("c").alias("c"), F.max("known").alias("known"), F.sum("base").alias("base"), F.sum("own").alias("own")), "values")
+    hot = values.orderBy(F.desc("c"), "h").limit(HOT).toArrow().sort_by("h")
+    shared = docs.sparkSession.sparkContext.broadcast([hot[c].to_numpy() for c in ("h", "known", "base", "own")])
+    bits = bitmap(values)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = shared.value
+        hot, known, base, own = shared.value
         for batch in slices(batches):
-            ids, first, sizes = _flat(batch.column(2))
-            starts = np.cumsum(sizes) - sizes
-            known = ids >= 0
-            base = np.where(known, tree.root[np.maximum(ids, 0)], 0.0) if len(tree.root) else np.zeros(len(ids))
-            sums = [np.add.reduceat(x, starts) if len(starts) else np.empty(0) for x in (known.astype(np.int64), base, tree.scores(ids, first))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), *map(pa.array, sums)], ["row", "id", "n_tokens", "n_often", "base", "own"])
-
-    often_part = texts.select("row", "id", "ids").mapInArrow(run, "row long, id long, n_tokens long, n_often long, base double, own double")
-    rare = texts.select("row", F.explode("rare").alias("h")).join(table.where(F.col("c") < least), "h", "left")
-    log = F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0)) - F.lit(float(tree.unit))
-    rare = rare.groupBy("row").agg(F.sum(log).alias("rare"), F.count("c").alias("n_rare"))
-    out = often_part.join(rare, "row", "left")
-    rest = F.coalesce("rare", F.lit(0.0))
-    return out.select(F.col("id").alias(id_col), "n_tokens", (F.col("n_often") + F.coalesce("n_rare", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + rest).alias("base_score"), (F.col("own") + rest).alias("score"))
+            h, first, sizes = _flat(batch.column(2))
+            number = np.repeat(np.arange(len(sizes)), sizes)
+            every, at = [h], [number]
+            for _ in range(order - 1):
+                context, suffix, last = longer(h, first)
+                h, first, number = mixed(context, suffix), first[last - 1], number[last]
+                every.append(h)
+                at.append(number)
+            h, number = np.concatenate(every), np.concatenate(at)
+            place = np.minimum(np.searchsorted(hot, h), max(len(hot) - 1, 0))
+            found = hot[place] == h if len(hot) else np.zeros(len(h), bool)
+            sums = [np.bincount(number[found], x[place[found]], len(sizes)) for x in (known, base, own)]
+            rest = ~found & held(bits.value, h)
+            # One row for each text, with a hash of its own, and one for each other word and sequence that can have a value.
+            row, n = batch.column(0).to_numpy(), len(sizes)
+            m = int(rest.sum())
+            tail = lambda x, kind: pa.concat_arrays([x, pa.nulls(m, kind)])
+            columns = [pa.array(np.concatenate([row, row[number[rest]]])), tail(batch.column(1), pa.int64()), tail(pa.array(sizes), pa.int64()), tail(pa.array(sums[0].astype(np.int64)), pa.int64()), *(tail(pa.array(x, pa.float64()), pa.float64()) for x in sums[1:]), pa.array(np.concatenate([mixed(row, ~row), h[rest]]))]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "id", "n_tokens", "n_known", "base", "own", "h"])
+
+    parts = texts.select(F.monotonically_increasing_id().alias("row"), "id", "tokens").mapInArrow(run, "row long, id long, n_tokens long, n_known long, base double, own double, h long")
+    found = parts.join(values.select("h", F.col("known").cast("long").alias("k"), F.col("base").alias("b"), F.col("own").alias("o")), "h", "left")
+    total_of = lambda a, b: F.sum(F.coalesce(F.when(F.col("n_tokens").isNotNull(), F.col(a)).otherwise(F.col(b)), F.lit(0)))
+    out = found.groupBy("row").agg(F.max("id").alias("id"), F.max("n_tokens").alias("n_tokens"), total_of("n_known", "k").alias("n_known"), total_of("base", "b").alias("base"), total_of("own", "o").alias("own"))
+    less = F.col("n_tokens") * unit
+    return out.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("base") - less).alias("base_score"), (F.col("own") - less).alias("score"))
 
 
 def op4_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -230,6 +230,37 @@ def test_language_model_base_and_gain(spark):
     assert all(got[k].score > 0.7 * got[k].base_score for k in held)
 
 
+def test_contexts_grow_with_the_corpus(spark):
+    """A pair that occurs twice among 600,000 tokens is a context's gain, and the tables give what the tree in memory gives."""
+    r = random.Random(16)
+    own = [" ".join(r.choice(["red fish swims", "blue bird sings", "old tree stands"]) for _ in range(1000)) for _ in range(200)]
+    own += [" ".join(f"alpha{k} beta{k} gamma{k}" for k in range(40)) for _ in range(2)]
+    df = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string")
+    got = {x.doc_id: x for x in suffix_tree_lm.score(df, F.lit(True)).collect()}
+    texts = [[*suffix_tree_lm.words(t), suffix_tree_lm.END] for t in own]
+    counts = Counter(w for t in texts for w in t)
+    order = sorted(counts, key=suffix_tree_lm.hashed)
+    number = {w: k for k, w in enumerate(order)}
+    tree = suffix_tree_lm.Tree(np.array([suffix_tree_lm.hashed(w) for w in order]), np.array([counts[w] for w in order]), sum(counts.values()), len(counts))
+    ids = np.array([number[w] for t in texts for w in t])
+    first = np.array([k == 0 for t in texts for k in range(len(t))])
+    for _ in range(2):
+        places = tree.places(ids, first)[-1]
+        before = np.concatenate([[-1], places[:-1]])
+        keys, n = np.unique((before << 20 | ids)[~first & (before >= 0) & (places >= 0)], return_counts=True)
+        tree.grow(keys[n > 1], n[n > 1])
+    want = np.add.reduceat(tree.scores(ids, first), np.flatnonzero(first))
+    assert [got[k].score for k in range(len(own))] == pytest.approx(want.tolist())
+    a, b, c = (number[w] for w in (b"alpha1", b"beta1", b"gamma1"))
+    assert (a << 20 | b) in tree.keys[0] and (b << 20 | c) in tree.keys[0]
+
+
+def test_sequence_hashes_are_those_of_the_engine(spark):
+    a, b = np.random.default_rng(3).integers(-(1 << 63), 1 << 63, (2, 50))
+    rows = spark.createDataFrame(list(zip(a.tolist(), b.tolist(), strict=True)), "a long, b long").select(F.xxhash64("a", "b").alias("h")).collect()
+    assert [x.h for x in rows] == suffix_tree_lm.mixed(a, b).tolist()
+
+
 def test_suffix_tree_is_a_distribution():
     """Over all words, known and unknown, probabilities after any context add up to one."""
     r = np.random.default_rng(8)
