@@ -43,9 +43,7 @@ f AS (SELECT *, CASE WHEN n > 40 AND NOT high AND NOT coalesce(lag(high) OVER (P
 SELECT node_id, (sum(fresh) OVER (PARTITION BY document_id, parent_id ORDER BY k))::INT - 1 AS segment FROM f""")
 def _(spark, d):
     own = nodes(spark, d)
-    few = own.join(own.groupBy("document_id", "parent_id").count().where("count <= 80"), ["document_id", "parent_id"]).drop("count")
-    scored = compaction.importance(own, _summaries(own)).join(few.select("document_id", "node_id"), ["document_id", "node_id"])
-    return compaction.segments(scored, 40).select("node_id", "segment")
+    return compaction.segments(compaction.importance(own, _summaries(own)), 40).select("node_id", "segment")
 
 
 @_add("compact_tree")

@@ -4,6 +4,8 @@ import math
 import os
 
 import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from leafgrove.plans import catalog
@@ -36,3 +38,31 @@ def test_same_as_sql(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
 def test_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() >= 0
+
+
+def test_compact_mild_keeps_wide_parents(spark, tmp_path):
+    """Parents of 30, 60 and 130 children: as they are, runs between high-signal ones, and the cheapest neighbours merged to 40."""
+    sizes = {"A": 30, "B": 60, "C": 130}
+    owners = [name for name, n in sizes.items() for _ in range(n)]
+    pq.write_table(pa.table({"r_regionkey": [0], "r_name": ["R"]}), tmp_path / "region.parquet")
+    pq.write_table(pa.table({"n_nationkey": [0, 1, 2], "n_name": ["A", "B", "C"], "n_regionkey": [0, 0, 0]}), tmp_path / "nation.parquet")
+    pq.write_table(pa.table({"c_custkey": range(len(owners)), "c_name": [f"c{k:03d}" for k in range(len(owners))], "c_nationkey": ["ABC".index(n) for n in owners]}), tmp_path / "customer.parquet")
+    got = {r.node_id: r.segment for r in catalog.QUERIES["compact_mild"](spark, str(tmp_path)).collect()}
+    spans = {n: (min(k % 60 for k, o in enumerate(owners) if o == n), max(k % 60 + k % 3 for k, o in enumerate(owners) if o == n)) for n in sizes}
+    want = {f"R/{n}": place for place, n in enumerate(sorted(sizes, key=lambda n: (spans[n], n)))}
+    for name, n in sizes.items():
+        own = sorted((k % 60, k % 60 + k % 3, f"c{k:03d}") for k, o in enumerate(owners) if o == name)
+        high = [a % 4 == 0 or b > a for a, b, _ in own]
+        parts = [[k] for k in range(n)]
+        if 40 < n <= 80:
+            parts = [[0]]
+            for k in range(1, n):
+                parts[-1].append(k) if not high[k] and not high[k - 1] else parts.append([k])
+        elif n > 80:
+            score = [[b - a + 1 + 4.0 * (a % 4 == 0) + 1.0 / 3] for a, b, _ in own]
+            total = [s[0] for s in score]
+            while len(parts) > 40:
+                k = min(range(len(parts) - 1), key=lambda k: ((total[k] + total[k + 1]) / (len(parts[k]) + len(parts[k + 1])), k))
+                parts[k : k + 2], total[k : k + 2] = [parts[k] + parts[k + 1]], [total[k] + total[k + 1]]
+        want |= {f"R/{name}/{own[k][2]}": s for s, part in enumerate(parts) for k in part}
+    assert got == want
