@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafgrove.functions import text as T
-from leafgrove.operators import ingest
+from leafgrove.operators import ingest, search
 from leafgrove.plans.inputs import LINES_SQL, PAGES_SQL, docs, lines, queries, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -41,9 +41,14 @@ def _(spark, d):
 SELECT b.item_id, d.doc_id, CASE WHEN len(q) > 0 AND len(t) > 0 THEN len(list_filter(q, lambda x: list_contains(t, x)))::DOUBLE / len(q) ELSE 0 END AS overlap
 FROM (SELECT item_id, {T.sql_tokens('text')} AS q FROM benchmark) b JOIN (SELECT doc_id, {T.sql_tokens('text')} AS t FROM documents) d ON d.doc_id % 40 = b.item_id % 40""")
 def _(spark, d):
+    # An empty token that counts for nothing lets every passage meet every document.
+    all_of = lambda tokens: F.concat(tokens, F.array(F.lit("")))
     q = table(spark, d, "benchmark").select("item_id", T.tokens(F.col("text")).alias("q"))
-    t = table(spark, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))
-    return q.join(t, F.col("doc_id") % 40 == F.col("item_id") % 40).select("item_id", "doc_id", T.overlap(F.col("t"), F.col("q")).alias("overlap"))
+    q = q.select("item_id", F.greatest(F.size("q"), F.lit(1)).alias("size"), F.explode(all_of(F.col("q"))).alias("token"))
+    q = q.groupBy("item_id", "size", "token").agg(F.sum(F.when(F.col("token") != "", 1).otherwise(0)).alias("times"))
+    t = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(all_of(T.tokens(F.col("text"))))).alias("token"))
+    small = q.limit(search.BROADCAST_QUERIES + 1).count() <= search.BROADCAST_QUERIES
+    return t.join(F.broadcast(q) if small else q, "token").groupBy("item_id", "doc_id").agg((F.sum("times") / F.max("size")).alias("overlap"))
 
 
 @_add("text_scalars", f"""

@@ -66,3 +66,14 @@ def test_compact_mild_keeps_wide_parents(spark, tmp_path):
                 parts[k : k + 2], total[k : k + 2] = [parts[k] + parts[k + 1]], [total[k] + total[k + 1]]
         want |= {f"R/{name}/{own[k][2]}": s for s, part in enumerate(parts) for k in part}
     assert got == want
+
+
+def whole_sql(name, cut, every):
+    """A query's SQL without its choice of ids."""
+    return catalog.ORACLE_SQL[name].replace(cut, every)
+
+
+def test_token_overlap_of_all_pairs(spark, con):
+    got = catalog.QUERIES["token_overlap"](spark, SF).toArrow().to_pydict()
+    assert len(got["doc_id"]) == con.execute("SELECT (SELECT count(*) FROM documents) * (SELECT count(*) FROM benchmark)").fetchone()[0]
+    assert rows(got) == rows(con.execute(whole_sql("token_overlap", "ON d.doc_id % 40 = b.item_id % 40", "ON true")).to_arrow_table().to_pydict())
