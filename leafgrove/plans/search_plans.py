@@ -10,6 +10,8 @@ from leafgrove.operators import ingest, qa, search, selection, tree, treesearch
 from leafgrove.plans.inputs import NODES_SQL, PAGES_SQL, docs, lines, nodes, queries, table
 
 QUERIES, ORACLE_SQL = {}, {}
+#: Hits of a query that excerpts are taken from, as Engine.ask.
+HITS = 10
 
 
 def _add(name: str, sql: str | None = None):
@@ -144,7 +146,8 @@ WITH p AS (SELECT item_id AS query_id, {T.sql_tokens('text')} AS q FROM benchmar
 s AS (SELECT query_id, doc_id, trim(line) AS line, k, len(list_intersect(list_distinct(q), list_distinct({T.sql_tokens('line')}))) AS n FROM l JOIN p ON doc_id % 40 = query_id % 40 WHERE trim(line) <> '')
 SELECT query_id, doc_id AS document_id, substr(line, 1, 280) AS excerpt FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY n DESC, k) AS r FROM s) WHERE r = 1""")
 def _(spark, d):
-    hits = docs(spark, d).join(queries(spark, d), F.col("document_id") % 40 == F.col("query_id") % 40)
+    found = search.rank(_ranked(spark, d), queries(spark, d), HITS).select("query_id", "document_id")
+    hits = found.join(docs(spark, d), "document_id").join(F.broadcast(queries(spark, d)), "query_id")
     return search.excerpts(hits).where("excerpt is not null").select("query_id", "document_id", "excerpt")
 
 

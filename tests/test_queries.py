@@ -77,3 +77,11 @@ def test_token_overlap_of_all_pairs(spark, con):
     got = catalog.QUERIES["token_overlap"](spark, SF).toArrow().to_pydict()
     assert len(got["doc_id"]) == con.execute("SELECT (SELECT count(*) FROM documents) * (SELECT count(*) FROM benchmark)").fetchone()[0]
     assert rows(got) == rows(con.execute(whole_sql("token_overlap", "ON d.doc_id % 40 = b.item_id % 40", "ON true")).to_arrow_table().to_pydict())
+
+
+def test_excerpts_of_search_hits(spark, con):
+    top = whole_sql("rank_topk_batch", "rank <= 3", "rank <= 10")
+    con.execute(f"CREATE OR REPLACE TEMP VIEW top AS {top}")
+    want = con.execute(whole_sql("qa_excerpt", "ON doc_id % 40 = query_id % 40", "ON (query_id, doc_id) IN (SELECT (query_id, document_id) FROM top)")).to_arrow_table().to_pydict()
+    assert len(want["query_id"]) == 10 * con.execute("SELECT count(*) FROM benchmark").fetchone()[0]
+    assert rows(catalog.QUERIES["qa_excerpt"](spark, SF).toArrow().to_pydict()) == rows(want)
