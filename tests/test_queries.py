@@ -85,3 +85,9 @@ def test_excerpts_of_search_hits(spark, con):
     want = con.execute(whole_sql("qa_excerpt", "ON doc_id % 40 = query_id % 40", "ON (query_id, doc_id) IN (SELECT (query_id, document_id) FROM top)")).to_arrow_table().to_pydict()
     assert len(want["query_id"]) == 10 * con.execute("SELECT count(*) FROM benchmark").fetchone()[0]
     assert rows(catalog.QUERIES["qa_excerpt"](spark, SF).toArrow().to_pydict()) == rows(want)
+
+
+def test_rank_keyword_of_all_queries(spark, con):
+    want = con.execute(whole_sql("rank_keyword", " WHERE query_id % 8 = 0", "")).to_arrow_table().to_pydict()
+    assert len(set(want["query_id"])) == con.execute("SELECT count(*) FROM benchmark").fetchone()[0]
+    assert rows(catalog.QUERIES["rank_keyword"](spark, SF).toArrow().to_pydict()) == rows(want)
