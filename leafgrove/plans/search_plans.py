@@ -187,7 +187,8 @@ def _proxies(spark, d):
 
 
 def _part_queries(spark, d):
-    return table(spark, d, "part").where("p_partkey % 97 = 0").select(F.col("p_partkey").alias("query_id"), F.concat_ws(" ", "p_type", "p_brand", "p_brand").alias("query"))
+    """Every distinct type and brand, under the least key that has it."""
+    return table(spark, d, "part").groupBy("p_type", "p_brand").agg(F.min("p_partkey").alias("query_id")).select("query_id", F.concat_ws(" ", "p_type", "p_brand", "p_brand").alias("query"))
 
 
 @_add("prefilter_lexical", f"""

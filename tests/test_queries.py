@@ -91,3 +91,11 @@ def test_rank_keyword_of_all_queries(spark, con):
     want = con.execute(whole_sql("rank_keyword", " WHERE query_id % 8 = 0", "")).to_arrow_table().to_pydict()
     assert len(set(want["query_id"])) == con.execute("SELECT count(*) FROM benchmark").fetchone()[0]
     assert rows(catalog.QUERIES["rank_keyword"](spark, SF).toArrow().to_pydict()) == rows(want)
+
+
+def test_prefilter_of_all_types_and_brands(spark, con):
+    every = "WHERE p_partkey IN (SELECT min(p_partkey) FROM part GROUP BY p_type, p_brand)"
+    want = con.execute(whole_sql("prefilter_lexical", "WHERE p_partkey % 97 = 0", every)).to_arrow_table().to_pydict()
+    got = catalog.QUERIES["prefilter_lexical"](spark, SF).toArrow().to_pydict()
+    assert len(set(got["query_id"])) == con.execute("SELECT count(DISTINCT (p_type, p_brand)) FROM part").fetchone()[0]
+    assert rows(got) == rows(want)
