@@ -5,8 +5,8 @@ priors: a suffix towards all pages, a registered domain towards its suffix, a ho
 prior strength comes from the spread of its units' rates (method of moments). A host is blocked where the lower bound
 of its posterior bad rate lies above a threshold, so a few bad pages never block a host.
 
-Null urls and urls without `://` have an empty host and path, fit no rule, and share one (empty) host. Pages of hosts
-without labels get the reputation of what lies above: they are blocked only with all of it. Repeated rows, ties and
+Null urls and urls without `://` have an empty host and path, fit no rule, and share one (empty) host. Hosts without
+labels get the reputation of what lies above: of their domain, else of the suffix, else of all pages. Repeated rows, ties and
 other columns do not matter; without labels nothing is blocked but by rules.
 """
 
@@ -68,14 +68,14 @@ def spread(units: DataFrame) -> Column:
 def reputations(outcomes: DataFrame) -> DataFrame:
     """host, n, bad, rate (posterior mean), low (lower bound) and blocked, from outcomes (host string, bad 0/1).
 
-    Rows with a null outcome count for nothing.
+    Rows with a null outcome count for nothing, but their hosts get what lies above.
     """
     domain, suffix = levels(F.col("host"))
-    hosts = materialize(outcomes.where("bad is not null").groupBy("host").agg(F.count("*").cast("double").alias("n"), F.sum(F.col("bad").cast("double")).alias("bad")), "hosts")
+    hosts = materialize(outcomes.groupBy("host").agg(F.count("bad").cast("double").alias("n"), F.coalesce(F.sum(F.col("bad").cast("double")), F.lit(0.0)).alias("bad")), "hosts")
     hosts = hosts.withColumn("domain", domain).withColumn("suffix", suffix)
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    strength = [level.agg(spread(level)).first()[0] or STRONGEST for level in (suffixes, domains, hosts)]
+    strength = [level.where("n > 0").agg(spread(level)).first()[0] or STRONGEST for level in (suffixes, domains, hosts)]
     total, bad = hosts.agg(F.sum("n"), F.sum("bad")).first()
     mean = (bad or 0.0) / total if total else 0.0
     shrunk = lambda up, s: (F.col("bad") + s * up) / (F.col("n") + s)
@@ -92,7 +92,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_co
     host, path = parts(F.col(url_col))
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     split = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
-    known = split.join(outcomes.select(F.col(id_col), F.col("bad")), id_col).select("host", "bad")
+    known = split.join(outcomes.select(F.col(id_col), F.col("bad")), id_col, "left").select("host", "bad")
     out = lookup(split, reputations(known).select("host", "blocked"), ["host"])
     return out.select(id_col, "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("blocked"), "block"), F.lit("allow")).alias("verdict"))
 

@@ -335,6 +335,16 @@ def test_url_rules_and_reputation(spark):
     assert all(got[100 + k].verdict == "block" for k in range(80)) and all(got[300 + k].verdict == "allow" for k in range(200))
 
 
+def test_hosts_without_labels_fall_back(spark):
+    """To the domain, then to the suffix, then to all pages."""
+    urls = [f"http://a{k}.evil.test/{p}" for k in range(20) for p in range(10)] + [f"http://b{k}.fine{k % 9}.org/{p}" for k in range(40) for p in range(10)]
+    new = {"http://new.evil.test/": "block", "http://new.fine1.org/": "allow", "http://new.other.test/": "block", "http://new.other.org/": "allow", "http://new.else/": "allow"}
+    pages = spark.createDataFrame(list(enumerate([*urls, *new])), "page_id long, url string")
+    outcomes = spark.createDataFrame([(k, int(".evil." in x)) for k, x in enumerate(urls)], "page_id long, bad int")
+    got = {r.page_id: r.verdict for r in url_reputation.judge(pages, outcomes, rules=[]).collect()}
+    assert {x: got[len(urls) + k] for k, x in enumerate(new)} == new
+
+
 @pytest.mark.parametrize("run", [
     token_counts.count_tokens, bpe_codec.digests, curve_packing.pack, host_quality.quality, ngram_join.groups, line_dedup.dedup_lines,
     lambda df: suffix_tree_lm.score(df, F.lit(True)),
