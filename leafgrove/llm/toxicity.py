@@ -148,14 +148,15 @@ def extreme_value(best: np.ndarray, n: np.ndarray) -> tuple[float, float]:
     some = (best > 0) & (n > 0)
     if some.sum() < 20:
         return 1e-4, 1.0
+    # Texts without any segment count as searched words, too: as ones whose best is at most 0.
+    rest = float(n[best <= 0].sum())
     best, n = best[some], n[some].astype(float)
     low, high = 0.05, 5.0
-    slope = lambda r: 1 / r - best.mean() + (n * best * np.exp(-r * best)).sum() / (n * np.exp(-r * best)).sum()
+    slope = lambda r: 1 / r - best.mean() + (n * best * np.exp(-r * best)).sum() / ((n * np.exp(-r * best)).sum() + rest)
     for _ in range(60):
         middle = (low + high) / 2
         low, high = (middle, high) if slope(middle) > 0 else (low, middle)
-    # Texts without any segment count as searched words, too.
-    return float(len(best) / (n * np.exp(-low * best)).sum()), float(low)
+    return float(len(best) / ((n * np.exp(-low * best)).sum() + rest)), float(low)
 
 
 def logistic(features: np.ndarray, labels: np.ndarray, ridge: float = 0.5) -> tuple[float, tuple[float, float]]:

@@ -299,6 +299,15 @@ def test_maximal_segments():
         assert [(a, b, pytest.approx(v)) for a, b, v in brute(x)] == got or sum(v for *_, v in got) == pytest.approx(sum(v for *_, v in brute(x)))
 
 
+def test_extreme_values_count_texts_without_a_segment():
+    """Best scores drawn with a known K and lambda, those not above 0 seen as 0."""
+    r = np.random.default_rng(17)
+    n = r.integers(50, 400, 20_000)
+    best = np.maximum(np.log(0.004 * n / -np.log(r.random(len(n)))) / 0.8, 0.0)
+    assert 0.2 < (best == 0).mean() < 0.8
+    assert toxicity.extreme_value(best, n) == (pytest.approx(0.004, rel=0.05), pytest.approx(0.8, rel=0.05))
+
+
 def test_toxicity_on_held_out_texts(spark):
     r = random.Random(10)
     bad = ["scoundrel", "vermin", "filth"]
