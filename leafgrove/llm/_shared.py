@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
@@ -16,11 +17,25 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 #: Copies of each lookup row when the join is shuffled, so that a hot key is spread over so many tasks.
 SALTS = 16
-#: White space of the word contracts: code points 0x20 and 0x09 to 0x0D.
-WORD_SPLIT = "[\\x20\\x09-\\x0D]+"
+#: A lookup side with arrays is broadcast only below so many elements, too.
+BROADCAST_ELEMENTS = 2_000_000
+#: White space of the word contracts, 0x09 to 0x0D, beside the blank.
+SPACES = "\t\n\x0b\x0c\r"
+#: Shuffle files of a finished query go at once; without it they stay until the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-#: Tables that materialize() wrote; each list belongs to a collected() block, the first to the process.
-_written: list[list[tuple[SparkSession, str]]] = [[]]
+Tables = list[tuple[SparkSession, str]]
+_process: Tables = []
+
+
+class _Written(threading.local):
+    """Tables that materialize() wrote in this thread; each list belongs to a collected() block, the first to the process."""
+
+    def __init__(self) -> None:
+        self.lists: list[Tables] = [_process]
+
+
+_written = _Written()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,26 +49,42 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage is cut, a lost executor loses nothing."""
+def materialize(df: DataFrame, name: str = "cut", outer: bool = False) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: lineage is cut, a lost executor loses nothing.
+
+    outer: the table outlives the innermost scratch() block.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/leafgrove/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written[-1].append((spark, path))
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before else spark.conf.unset(CLEANUP)
+    _written.lists[-2 if outer else -1].append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
-def collected() -> Iterator[list[tuple[SparkSession, str]]]:
+def collected() -> Iterator[Tables]:
     """Collects the tables that are written inside, for release() once nothing reads them any more."""
-    _written.append([])
+    _written.lists.append([])
     try:
-        yield _written[-1]
+        yield _written.lists[-1]
     finally:
-        _written.pop()
+        _written.lists.pop()
 
 
-def release(tables: list[tuple[SparkSession, str]]) -> None:
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that are written inside go at the end; what is returned must be materialized as outer."""
+    with collected() as tables:
+        yield
+    release(tables)
+
+
+def release(tables: Tables) -> None:
     """Delete tables that materialize() wrote; results that still read them must have been written out."""
     while tables:
         spark, path = tables.pop()
@@ -64,24 +95,30 @@ def release(tables: list[tuple[SparkSession, str]]) -> None:
             return
 
 
-atexit.register(release, _written[0])
+atexit.register(release, _process)
 
 
 def lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left", hot: bool = True) -> DataFrame:
     """Join big with a lookup table that has one row for each key.
 
-    The lookup side is written out and counted: up to BROADCAST_ROWS rows it is broadcast. Beyond that both sides are
-    shuffled on the keys and, where a key can be hot, a salt, so that a key with a third of all rows is spread over
-    SALTS tasks. All ways give the same rows. Null keys find nothing.
+    The lookup side is written out and counted: up to BROADCAST_ROWS rows, and BROADCAST_ELEMENTS elements of its arrays,
+    it is broadcast. Beyond that both sides are shuffled on the keys and, where a key can be hot, a salt, so that a key
+    with a third of all rows is spread over SALTS tasks. All ways give the same rows. Null keys find nothing.
     """
     small = materialize(small, "lookup")
-    if small.count() <= BROADCAST_ROWS:
+    arrays = [F.size(F.col(f.name)) for f in small.schema.fields if f.dataType.typeName() == "array"]
+    elements = F.coalesce(F.sum(sum(arrays, F.lit(0))), F.lit(0))
+    rows, elements = small.agg(F.count("*"), elements).first()
+    if rows <= BROADCAST_ROWS and elements <= BROADCAST_ELEMENTS:
         return big.join(F.broadcast(small), keys, how)
     if not hot:
         return big.join(small, keys, how)
-    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in big.columns if not _odd(big, c)]), F.lit(SALTS)).cast("int"))
-    return dealt.join(salted, [*keys, "_salt"], how).drop("_salt")
+    salt = "_salt"
+    while salt in big.columns + small.columns:
+        salt += "_"
+    salted = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = big.withColumn(salt, F.pmod(F.xxhash64(*[F.col(c) for c in big.columns if not _odd(big, c)]), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, [*keys, salt], how).drop(salt)
 
 
 def _odd(df: DataFrame, name: str) -> bool:
@@ -104,9 +141,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def blanks(text: Column, spaces: str = SPACES) -> Column:
+    """White space as blanks. Far cheaper than a pattern, as is a cut at one character."""
+    for c in spaces:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
+
+
 def words(text: Column) -> Column:
     """Words `[^\\x20\\x09-\\x0D]+` of a text, as an array; null has none."""
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_SPLIT), "")
+    return F.array_remove(F.split(blanks(F.coalesce(text, F.lit(""))), " "), "")
 
 
 def lower_ascii(text: Column) -> Column:
