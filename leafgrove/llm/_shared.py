@@ -49,17 +49,17 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str = "cut", outer: bool = False) -> DataFrame:
+def materialize(df: DataFrame, name: str = "cut", outer: bool = False, **options: str | int) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage is cut, a lost executor loses nothing.
 
-    outer: the table outlives the innermost scratch() block.
+    outer: the table outlives the innermost scratch() block. options: of the writer.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/leafgrove/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before) if before else spark.conf.unset(CLEANUP)
     _written.lists[-2 if outer else -1].append((spark, path))

@@ -11,14 +11,19 @@ both in that order (|x| - needed overlap + d of them) must share d, so only thes
    of another group bounds its overlap with any member. Only groups with an overlap of d are opened, and only then
    are members compared one by one. So no link between different sets is lost.
 
+The whole texts are read twice (counts, indexed n-grams); sets to compare pairs by are made once, of the documents that
+share enough indexed n-grams with others.
+
 Null and empty texts, and texts without words, have an empty set and link with nothing. A text with fewer words than n
-has one n-gram, the whole sequence. Texts are taken whole. Repeated rows are equal sets. An empty table gives an empty
-result; other columns are not read.
+has one n-gram, the whole sequence. Texts are taken whole. Repeated rows are equal sets. A row with a null id links with
+nothing and has no component. Ids are integers. Ties of size or rarity do not matter. An empty table gives an empty
+result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +32,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafgrove.llm._components import components
-from leafgrove.llm._shared import lookup, materialize, read, slices
+from leafgrove.llm._shared import lookup, materialize, read, scratch, slices
 
 #: Bins of the rarity counts (a power of two, at most 2^16).
 BINS = 1 << 16
 #: N-grams that a candidate pair must share in the index: 2 + size / DEPTH. More cost index rows, but a passage that two
 #: unlike documents share then makes no candidate of them.
 DEPTH = 33
-#: Rounds that build groups before groups are opened.
-ROUNDS = 3
+#: Rounds that build groups before groups are opened, at most; another follows if a link came for so many documents left.
+ROUNDS, WORTH = 3, 20
 #: Distinct words whose hashes a Python worker remembers.
 MEMORY = 250_000
 
@@ -109,21 +114,20 @@ def indexed(df: DataFrame, id_col: str, text_col: str, n: int, per_cent: int, ra
 
 
 class Verifier:
-    """Compares pairs of documents by their whole sets. Sets are made from the texts of documents that some pair names."""
-
-    def __init__(self, df: DataFrame, id_col: str, text_col: str, n: int, per_cent: int, ranks: np.ndarray):
-        self.df, self.n, self.per_cent, self.ranks = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), n, per_cent, ranks
-
-    def linked(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) that link. pairs must be written out: it is read thrice."""
-        n, ranks, per_cent = self.n, self.ranks, self.per_cent
-        named = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id")
+    """Compares pairs of documents by their whole sets, made once from the texts of the documents with the given ids."""
 
+    def __init__(self, df: DataFrame, id_col: str, text_col: str, ids: DataFrame, n: int, per_cent: int, ranks: np.ndarray):
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([ordered(t.as_py(), n, ranks).tobytes() for t in batch.column(1)], pa.binary())], ["id", "own"])
 
-        own = materialize(lookup(self.df, named, ["id"], "inner", hot=False).mapInArrow(sets, "id long, own binary"), "sets")
+        texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+        own = lookup(texts, ids, ["id"], "inner", hot=False).select("id", "text").mapInArrow(sets, "id long, own binary")
+        self.own, self.per_cent = materialize(own, "sets"), per_cent
+
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) that link."""
+        per_cent, own = self.per_cent, self.own
         both = pairs.join(own.select(F.col("id").alias("a"), F.col("own").alias("own_a")), "a").join(own.select(F.col("id").alias("b"), F.col("own").alias("own_b")), "b")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,50 +144,68 @@ class Verifier:
 
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, per_cent: int = 85) -> DataFrame:
     """One row for each row of df: id, n_shingles, component_id (least id that links reach)."""
-    ranks = bins(df, text_col, n)
-    rows = materialize(indexed(df, id_col, text_col, n, per_cent, ranks), "indexed")
-    copies = rows.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").select("key", "rep")
-    members = materialize(lookup(rows.select("id", "n_shingles", "key"), copies, ["key"]).select("id", "n_shingles", F.coalesce("rep", "id").alias("rep")), "members")
-    firsts = lookup(rows, copies, ["key"]).where("n_shingles > 0 and (rep is null or rep = id)")
-    index = firsts.select("id", F.col("n_shingles").alias("size"), F.explode("prefix").alias("token"))
-    # Only n-grams that two documents share can make a pair.
-    shared = index.groupBy("token").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("token")
-    index = materialize(index.join(materialize(shared, "shared"), "token"), "index")
-    joined = _joined(df, id_col, text_col, n, per_cent, ranks, index)
+    with scratch():
+        ranks = bins(df, text_col, n)
+        rows = materialize(indexed(df, id_col, text_col, n, per_cent, ranks), "indexed")
+        known = rows.where("id is not null and key is not null")
+        copies = materialize(known.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").select("key", "rep"), "copies")
+        rep = F.when(F.col("id").isNotNull(), F.coalesce("rep", "id"))
+        members = materialize(lookup(rows.select("id", "n_shingles", "key"), copies, ["key"]).select("id", "n_shingles", rep.alias("rep")), "members", outer=True)
+        firsts = lookup(known.where("n_shingles > 0"), copies, ["key"]).where("rep is null or rep = id")
+        index = _shared(materialize(firsts.select("id", F.col("n_shingles").alias("size"), F.explode("prefix").alias("token")), "tokens"))
+        # A document that shares too few indexed n-grams with all others together links with none of them.
+        enough = index.groupBy("id", "size").agg(F.count("*").alias("n")).where(F.col("n") >= _needed(F.ceil(F.col("size") * per_cent / 100), per_cent)).select("id")
+        enough = materialize(enough, "enough")
+        index = materialize(index.join(enough, "id"), "index")
+        verify = Verifier(df, id_col, text_col, enough, n, per_cent, ranks)
+        joined = materialize(_joined(verify, index, per_cent), "joined", outer=True)
     found = lookup(members, joined.withColumnRenamed("node", "rep"), ["rep"])
     return found.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
 
+def _shared(index: DataFrame) -> DataFrame:
+    """The rows of the index whose n-gram two documents have: no other can make a pair."""
+    tokens = index.groupBy("token").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("token")
+    return materialize(index.join(tokens, "token"), "shared")
+
+
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, per_cent: int = 80) -> DataFrame:
     """The rows of df but those whose group has a lesser id; of repeated rows of one id one stays. Rows without id or words stay."""
     found = materialize(groups(df, id_col, text_col, n, per_cent), "groups")
-    more = found.where(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
-    out = lookup(df, more.withColumn("_goes", F.lit(True)), [id_col], hot=False).where("_goes is null").select(df.columns)
+    more = found.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("id")).distinct().withColumn("goes", F.lit(True))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).cast("long").alias("id"))
+    rows = lookup(rows, more, ["id"], hot=False).where("goes is null")
     repeated = found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1")
-    return out if repeated.isEmpty() else out.where(F.col(id_col).isNull()).unionByName(out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
+    if not repeated.isEmpty():
+        rows = rows.where("id is null").unionByName(rows.where("id is not null").dropDuplicates(["id"]))
+    return rows.select("row.*")
 
 
-def _joined(df: DataFrame, id_col: str, text_col: str, n: int, per_cent: int, ranks: np.ndarray, index: DataFrame) -> DataFrame:
+def _joined(verify: Verifier, index: DataFrame, per_cent: int) -> DataFrame:
     """node, component of every document of the index (id, size, token) that links with another one."""
-    verify = Verifier(df, id_col, text_col, n, per_cent, ranks)
-    links, current = None, index.withColumn("g", F.col("id"))
+    links, current = [], index.withColumn("g", F.col("id"))
     for k in range(ROUNDS):
-        # N-grams of one group only can't join groups any more: they leave the index for good.
-        pivot = F.min(F.struct(F.xxhash64("g", F.lit(k)), F.xxhash64("id", F.lit(k)), "id", "size", "g"))
-        pivots = current.groupBy("token").agg(pivot.alias("p"), F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi")
-        pivots = materialize(pivots.select("token", F.col("p.id").alias("pivot"), F.col("p.size").alias("other"), F.col("p.g").alias("pg")), "pivots")
-        current = materialize(current.join(pivots, "token"), "mixed")
-        pairs = current.where("g <> pg").where(_fits(per_cent)).groupBy(F.col("id").alias("a"), F.col("pivot").alias("b"), "size", "other").agg(F.count("*").alias("n"))
-        pairs = materialize(pairs.where(F.col("n") >= _needed(F.least("size", "other"), per_cent)).select("a", "b"), "pairs")
-        new = materialize(verify.linked(pairs), "verified")
-        current = current.select("id", "size", "token", "g")
-        if new.isEmpty():
+        with scratch():
+            # N-grams of one group only can't join groups any more: they leave the index for good.
+            pivot = F.min(F.struct(F.xxhash64("g", F.lit(k)), F.xxhash64("id", F.lit(k)), "id", "size", "g"))
+            pivots = current.groupBy("token").agg(pivot.alias("p"), F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi")
+            pivots = pivots.select("token", F.col("p.id").alias("pivot"), F.col("p.size").alias("other"), F.col("p.g").alias("pg"))
+            mixed = materialize(current.join(pivots, "token"), "mixed")
+            pairs = mixed.where("g <> pg").where(_fits(per_cent)).groupBy(F.col("id").alias("a"), F.col("pivot").alias("b"), "size", "other").agg(F.count("*").alias("n"))
+            pairs = materialize(pairs.where(F.col("n") >= _needed(F.least("size", "other"), per_cent)).select("a", "b"), "pairs")
+            new = materialize(verify.linked(pairs), "verified", outer=True)
+            left, found = mixed.select("id").distinct().count(), new.count()
+            if found:
+                links.append(new)
+                joined = materialize(components(reduce(DataFrame.union, links)), "joined")
+                mixed = lookup(mixed.drop("g"), joined.withColumnRenamed("node", "id"), ["id"], hot=False).withColumn("g", F.coalesce("component", "id"))
+            current = materialize(mixed.select("id", "size", "token", "g"), "current", outer=True)
+        # What is left is compared in full in any case; another round pays while it joins many.
+        if found * WORTH < left:
             break
-        links = new if links is None else materialize(links.union(new), "links")
-        groups = materialize(components(links), "groups")
-        current = lookup(current.drop("g"), groups.withColumnRenamed("node", "id"), ["id"], hot=False).select("id", "size", "token", F.coalesce("component", "id").alias("g"))
-    rest = verify.linked(materialize(_opened(current, per_cent), "opened"))
-    return components(rest if links is None else links.union(rest))
+    with scratch():
+        links.append(materialize(verify.linked(_opened(current, per_cent)), "verified", outer=True))
+    return components(reduce(DataFrame.union, links))
 
 
 def _fits(per_cent: int) -> Column:
