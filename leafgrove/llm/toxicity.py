@@ -13,7 +13,8 @@ K and lambda are fitted to the clean texts. A segment is significant if its E-va
 MAX_E. The segments' bits over chance are added up and turned into a probability by a logistic fit.
 
 Null and empty texts have no words and get the score of a text without a toxic passage. Texts are taken whole. Without
-labels of both kinds every text scores 0. Repeated rows score alike; ties do not matter; other columns are not read.
+labels of both kinds every text scores 0. Repeated rows score alike; ties do not matter; a null id has no label and is
+held out; an empty table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -72,10 +73,11 @@ class Weights(dict):
 def segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first word, last word, score) of a sequence with weight drift (negative) but at hits.
 
-    A run of drift is one element, so the time is linear in the hits. Each kept segment knows the sum before it and the
-    sum at its end; a new one swallows those back to the last whose start lies lower, as long as its end lies higher.
+    A run of drift is one element, so the time is linear in the hits. Each kept segment knows the sum before it, the sum
+    at its end, and the last segment whose sum before it is lower: a search goes from link to link and never looks at a
+    segment twice. A new segment swallows those back to the one it finds, as long as its own end lies higher.
     """
-    kept: list[tuple[int, int, float, float]] = []  # first, last, sum before, sum at the end
+    kept: list[tuple[int, int, float, float, int]] = []  # first, last, sum before, sum at the end, link
     total, at = 0.0, 0
     for place, weight in hits:
         total += drift * (place - at)
@@ -84,17 +86,19 @@ def segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[int, int
             total += weight
             continue
         first, before, total = place, total, total + weight
-        k = len(kept)
-        while True:
-            k -= 1
-            while k >= 0 and kept[k][2] >= before:
-                k -= 1
-            if k < 0 or kept[k][3] >= total:
+        k = len(kept) - 1
+        while k >= 0:
+            if kept[k][2] >= before:
+                k = kept[k][4]
+            elif kept[k][3] >= total:
                 break
-            first, before = kept[k][0], kept[k][2]
-            del kept[k:]
-        kept.append((first, place, before, total))
-    return [(a, b, end - start) for a, b, start, end in kept]
+            else:
+                first, before = kept[k][0], kept[k][2]
+                link = kept[k][4]
+                del kept[k:]
+                k = link
+        kept.append((first, place, before, total, k))
+    return [(a, b, end - start) for a, b, start, end, _ in kept]
 
 
 @dataclass(frozen=True)
@@ -212,15 +216,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [rough.found(t.as_py()) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([n for n, _ in found], pa.int64()), pa.array([[s for _, _, s in f] for _, f in found], pa.list_(pa.float64()))], ["y", "n", "segments"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([n for n, _ in found], pa.int64()), pa.array([max((s for _, _, s in f), default=0.0) for _, f in found], pa.float64())], ["y", "n", "best"])
 
-    seen = own.select("_text", "_y").mapInArrow(best, "y int, n long, segments array<double>").toArrow()
-    y, n, found = seen["y"].to_numpy(), seen["n"].to_numpy(), seen["segments"].to_pylist()
-    top = np.array([max(f, default=0.0) for f in found])
-    k, rate = extreme_value(top[y == 0], n[y == 0])
+    seen = own.select("_text", "_y").mapInArrow(best, "y int, n long, best double").toArrow()
+    clean = seen["y"].to_numpy() == 0
+    k, rate = extreme_value(seen["best"].to_numpy()[clean], seen["n"].to_numpy()[clean])
     model = Model(weights, drift, k, rate, 0.0, (0.0, 0.0))
-    features = np.array([model.features(a, [(0, 0, s) for s in f]) for a, f in zip(n, found, strict=True)])
-    return Model(weights, drift, k, rate, *logistic(features, (y == 1).astype(float)))
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [model.features(*model.found(t.as_py())) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array([x[j] for x in own], pa.float64()) for j in (0, 1))], ["y", "best", "sum"])
+
+    seen = own.select("_text", "_y").mapInArrow(described, "y int, best double, sum double").toArrow()
+    return Model(weights, drift, k, rate, *logistic(np.column_stack([seen["best"].to_numpy(), seen["sum"].to_numpy()]), (seen["y"].to_numpy() == 1).astype(float)))
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,4 +268,4 @@ def keep_clean(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     model = fit(docs, labels.where(fold("doc_id", 5) != 0))
-    return score(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+    return score(docs, model).select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
