@@ -3,7 +3,7 @@
 Labelled outcomes of pages (bad or not) are counted for each host. Rates are shrunk level by level with beta-binomial
 priors: a suffix towards all pages, a registered domain towards its suffix, a host towards its domain; each level's
 prior strength comes from the spread of its units' rates (method of moments). A host is blocked where the lower bound
-of its posterior bad rate lies above a threshold, so a few bad pages never block a host.
+of its posterior bad rate (mean less Z standard deviations) lies above a threshold, so a few bad pages never block a host.
 
 Null urls and urls without `://` have an empty host and path, fit no rule, and share one (empty) host. Hosts without
 labels get the reputation of what lies above: of their domain, else of the suffix, else of all pages. Repeated rows, ties and
@@ -27,6 +27,8 @@ RULES = [
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 ]
+#: Suffixes of two labels, and hosts that are addresses.
+SECOND, ADDRESS = "^(ac|co|com|edu|gov|net|org)[.][a-z][a-z]$", "^([0-9.]+|[\\[].*)$"
 #: A host is blocked if its posterior mean bad rate less Z standard deviations is above MAX_RATE.
 MAX_RATE, Z = 0.5, 1.645
 #: Bounds of a prior's strength, in pages.
@@ -50,8 +52,15 @@ def ruled(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) ->
 
 
 def levels(host: Column) -> tuple[Column, Column]:
-    """Registered domain (the last two labels) and suffix (the last label)."""
-    return F.substring_index(host, ".", -2), F.substring_index(host, ".", -1)
+    """Registered domain and suffix, without a port.
+
+    The suffix is the last label, or the last two where they are like `co.uk` (SECOND and two letters); the domain has
+    one label more. An address of numbers is a domain and a suffix of its own.
+    """
+    name = F.regexp_replace(host, ":[0-9]*$", "")
+    address, two = name.rlike(ADDRESS), F.substring_index(name, ".", -2).rlike(SECOND)
+    last = lambda k: F.substring_index(name, ".", -k)
+    return F.when(address, name).when(two, last(3)).otherwise(last(2)), F.when(address, name).when(two, last(2)).otherwise(last(1))
 
 
 def spread(units: DataFrame) -> Column:
@@ -114,15 +123,20 @@ fits AS (
   SELECT page_id, arg_max(root || prefix, length(root || prefix)) AS rule, arg_max(action, length(root || prefix)) AS verdict
   FROM split JOIN rules ON (host = root OR ends_with(host, chr(46) || root)) AND starts_with(path, prefix) GROUP BY page_id),
 outcome AS (SELECT doc_id AS page_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+named AS (SELECT *, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS l FROM split),
+leveled AS (
+  SELECT page_id, host, array_to_string(l, '.') AS name, regexp_matches(array_to_string(l, '.'), '{ADDRESS}') AS address,
+    CASE WHEN regexp_matches(array_to_string(l[-2:], '.'), '{SECOND}') THEN 2 ELSE 1 END AS k, l FROM named),
 hosts AS (
-  SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad
-  FROM split JOIN outcome USING (page_id) GROUP BY host),
+  SELECT host, CASE WHEN address THEN name ELSE array_to_string(l[-(k + 1):], '.') END AS domain, CASE WHEN address THEN name ELSE array_to_string(l[-k:], '.') END AS suffix,
+    count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad
+  FROM leveled LEFT JOIN outcome USING (page_id) GROUP BY ALL),
 domains AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY suffix, domain),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY suffix),
 units AS (SELECT 0 AS level, n, bad FROM suffixes UNION ALL SELECT 1, n, bad FROM domains UNION ALL SELECT 2, n, bad FROM hosts),
 moments AS (
   SELECT level, sum(n) AS total, sum(bad) / sum(n) AS mean, count(*) - 1 AS free, sum(bad * bad / n) - sum(bad) * sum(bad) / sum(n) AS squares, sum(n * n) AS nn
-  FROM units GROUP BY level),
+  FROM units WHERE n > 0 GROUP BY level),
 within AS (
   SELECT level, mean, CASE WHEN squares > free * mean * (1 - mean) AND (total - nn / total - free) * mean * (1 - mean) > 0
     THEN least(1.0::DOUBLE, (squares - free * mean * (1 - mean)) / ((total - nn / total - free) * mean * (1 - mean))) ELSE 0.0::DOUBLE END AS w FROM moments),
