@@ -34,8 +34,11 @@ from pyspark.sql import functions as F
 from leafgrove.llm._components import components
 from leafgrove.llm._shared import lookup, materialize, read, scratch, slices
 
-#: Bins of the rarity counts (a power of two, at most 2^16).
-BINS = 1 << 16
+#: Bits of the bins of the rarity counts; bins that are added up together. A rarity is eight times the binary logarithm of
+#: a count, in one byte.
+BITS, SEGMENT = 20, 1 << 14
+#: Parts of the n-grams that are matched one after another.
+SLICES = 4
 #: N-grams that a candidate pair must share in the index: 2 + size / DEPTH. More cost index rows, but a passage that two
 #: unlike documents share then makes no candidate of them.
 DEPTH = 33
@@ -66,45 +69,54 @@ def ngrams(text: str | None, n: int) -> np.ndarray:
     return np.unique(total * _MIX[(n + 1) % len(_MIX)] ^ total >> np.uint64(32))
 
 
-def bins(df: DataFrame, text_col: str, n: int) -> np.ndarray:
-    """Rank of each bin by its count of n-grams over all texts: BINS numbers."""
+def rarities(df: DataFrame, text_col: str, n: int) -> np.ndarray:
+    """Rarity of each bin by its count of n-grams over all texts: a byte a bin, whatever the corpus."""
+    size = 1 << BITS
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BINS, np.int64)
-        held, size = [np.empty(0, np.uint64)], 0
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(size, np.uint32)
+        held, waiting = [], 0
         for batch in batches:
             for text in batch.column(0):
-                held.append(ngrams(text.as_py(), n))
-                size += len(held[-1])
-                if size > 1_000_000:
-                    counts += np.bincount((np.concatenate(held) & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)
-                    held, size = [np.empty(0, np.uint64)], 0
-        counts += np.bincount((np.concatenate(held) & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], ["bin", "n"])
-
-    table = df.select(text_col).mapInArrow(run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(BINS, np.int64)
-    counts[table["bin"].to_numpy()] = table["n"].to_numpy()
-    ranks = np.empty(BINS, np.uint64)
-    ranks[np.argsort(counts, kind="stable")] = np.arange(BINS, dtype=np.uint64)
-    return ranks
-
-
-def ordered(text: str | None, n: int, ranks: np.ndarray) -> np.ndarray:
-    """A text's n-grams as numbers, rarest bin first; a number keeps all bits of its hash."""
+                held.append((ngrams(text.as_py(), n) & np.uint64(size - 1)).astype(np.int32))
+                waiting += len(held[-1])
+                if waiting > 2_000_000:
+                    counts += np.bincount(np.concatenate(held), minlength=size).astype(np.uint32)
+                    held, waiting = [], 0
+        if held:
+            counts += np.bincount(np.concatenate(held), minlength=size).astype(np.uint32)
+        if counts.any():
+            parts = counts.reshape(-1, min(SEGMENT, size))
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["segment", "counts"])
+
+    def level(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(min(SEGMENT, size), np.int64)
+        for table in tables:
+            for x in table.column("counts"):
+                total += np.frombuffer(x.as_py(), np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.minimum(8 * np.log2(1 + total), 255).astype(np.uint8).tobytes()], pa.binary())], ["segment", "levels"])
+
+    found = df.select(text_col).mapInArrow(count, "segment int, counts binary").groupBy("segment").applyInArrow(level, "segment int, levels binary").toArrow()
+    levels = np.zeros((size // min(SEGMENT, size), min(SEGMENT, size)), np.uint8)
+    for segment, own in zip(found["segment"].to_pylist(), found["levels"].to_pylist(), strict=True):
+        levels[segment] = np.frombuffer(own, np.uint8)
+    return levels.reshape(-1)
+
+
+def ordered(text: str | None, n: int, levels: np.ndarray) -> np.ndarray:
+    """A text's n-grams as numbers, rarest bin first; a number is a rarity and 56 bits of the hash."""
     hashes = ngrams(text, n)
-    return np.sort(ranks[(hashes & np.uint64(BINS - 1)).astype(np.int64)] << np.uint64(48) | hashes >> np.uint64(16))
+    return np.sort(levels[(hashes & np.uint64((1 << BITS) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | hashes >> np.uint64(8))
 
 
-def indexed(df: DataFrame, id_col: str, text_col: str, n: int, per_cent: int, ranks: np.ndarray) -> DataFrame:
+def indexed(df: DataFrame, id_col: str, text_col: str, n: int, per_cent: int, levels: np.ndarray) -> DataFrame:
     """id, n_shingles, key (of the whole set), prefix (the indexed n-grams), a row for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sizes, keys, prefixes = [], [], []
             for text in batch.column(1):
-                own = ordered(text.as_py(), n, ranks)
+                own = ordered(text.as_py(), n, levels)
                 sizes.append(len(own))
                 keys.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
                 prefixes.append(own[: len(own) - -(-per_cent * len(own) // 100) + 2 + len(own) // DEPTH].view(np.int64))
@@ -116,10 +128,10 @@ def indexed(df: DataFrame, id_col: str, text_col: str, n: int, per_cent: int, ra
 class Verifier:
     """Compares pairs of documents by their whole sets, made once from the texts of the documents with the given ids."""
 
-    def __init__(self, df: DataFrame, id_col: str, text_col: str, ids: DataFrame, n: int, per_cent: int, ranks: np.ndarray):
+    def __init__(self, df: DataFrame, id_col: str, text_col: str, ids: DataFrame, n: int, per_cent: int, levels: np.ndarray):
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([ordered(t.as_py(), n, ranks).tobytes() for t in batch.column(1)], pa.binary())], ["id", "own"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([ordered(t.as_py(), n, levels).tobytes() for t in batch.column(1)], pa.binary())], ["id", "own"])
 
         texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
         own = lookup(texts, ids, ["id"], "inner", hot=False).select("id", "text").mapInArrow(sets, "id long, own binary")
@@ -145,19 +157,19 @@ class Verifier:
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, per_cent: int = 85) -> DataFrame:
     """One row for each row of df: id, n_shingles, component_id (least id that links reach)."""
     with scratch():
-        ranks = bins(df, text_col, n)
-        rows = materialize(indexed(df, id_col, text_col, n, per_cent, ranks), "indexed")
+        levels = rarities(df, text_col, n)
+        rows = materialize(indexed(df, id_col, text_col, n, per_cent, levels), "indexed")
         known = rows.where("id is not null and key is not null")
         copies = materialize(known.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").select("key", "rep"), "copies")
         rep = F.when(F.col("id").isNotNull(), F.coalesce("rep", "id"))
         members = materialize(lookup(rows.select("id", "n_shingles", "key"), copies, ["key"]).select("id", "n_shingles", rep.alias("rep")), "members", outer=True)
         firsts = lookup(known.where("n_shingles > 0"), copies, ["key"]).where("rep is null or rep = id")
-        index = _shared(materialize(firsts.select("id", F.col("n_shingles").alias("size"), F.explode("prefix").alias("token")), "tokens"))
+        index = _shared(firsts.select("id", F.col("n_shingles").alias("size"), F.explode("prefix").alias("token")))
         # A document that shares too few indexed n-grams with all others together links with none of them.
         enough = index.groupBy("id", "size").agg(F.count("*").alias("n")).where(F.col("n") >= _needed(F.ceil(F.col("size") * per_cent / 100), per_cent)).select("id")
         enough = materialize(enough, "enough")
         index = materialize(index.join(enough, "id"), "index")
-        verify = Verifier(df, id_col, text_col, enough, n, per_cent, ranks)
+        verify = Verifier(df, id_col, text_col, enough, n, per_cent, levels)
         joined = materialize(_joined(verify, index, per_cent), "joined", outer=True)
     found = lookup(members, joined.withColumnRenamed("node", "rep"), ["rep"])
     return found.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "rep").alias("component_id"))
@@ -165,8 +177,12 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
 
 def _shared(index: DataFrame) -> DataFrame:
     """The rows of the index whose n-gram two documents have: no other can make a pair."""
-    tokens = index.groupBy("token").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("token")
-    return materialize(index.join(tokens, "token"), "shared")
+    found = []
+    for k in range(SLICES):
+        own = index.where(F.shiftright("token", 20).bitwiseAND(F.lit(SLICES - 1)) == k)
+        tokens = own.groupBy("token").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("token")
+        found.append(materialize(own.join(tokens, "token"), "shared"))
+    return reduce(DataFrame.union, found)
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, per_cent: int = 80) -> DataFrame:
