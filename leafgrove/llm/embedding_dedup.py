@@ -1,20 +1,24 @@
 """Near-duplicate vectors by spherical k-means cells and blocked cosine products.
 
 Exactly equal vectors are counted once with their number. Spherical k-means, fitted on a bounded sample, gives every
-vector a home cell. A vector within the threshold of x can lie in another cell only if x is near the plane between
-the two centroids, so x also visits those cells; with this no link is lost. In each cell, blocks of home vectors are
-multiplied with blocks of all that are there. A block yields counts and a spanning forest of its links, never pairs.
-Linked vectors form groups, of which the least id is kept.
-
-Null vectors, vectors of another length than most in the sample, zero vectors and those with null or non-finite
-components link with nothing and are kept. Repeated rows are copies of each other. An empty table gives an empty
-result; other columns are not read.
+vector a home cell. A vector within the threshold of x can lie in another cell only if x is near the plane between the
+two centroids, and if x's angle to that centroid is, but for the threshold's angle, one that the cell's own vectors
+have; only those cells x visits, and with this no link is lost. Cells are gathered in groups, by a k-means of their
+centroids, so that a vector is sent once for each group and not once for each cell. In each group, blocks of home vectors
+are multiplied with the vectors that visit their cell. A block yields counts and a spanning forest of its links, never
+pairs. Linked vectors form groups, of which the least id is kept.
+
+Null vectors, zero vectors and those with null or non-finite components link with nothing and are kept. Vectors of
+another length are compared among each other. Repeated rows are copies of each other. Ties do not matter. An empty table
+gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,18 +27,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafgrove.llm._components import components
-from leafgrove.llm._shared import lookup, materialize, read
+from leafgrove.llm._shared import lookup, materialize, read, slices
 
 THRESHOLD = 0.95
-#: k-means is fitted on about so many vectors; vectors a cell, and cells at most.
-SAMPLE, CELL, CELLS = 20_000, 4_000, 1_024
-#: Vectors in a block, on either side of a product; home vectors that are multiplied at a time.
-BLOCK, STRIP = 4_096, 512
+#: Vectors a cell, and a group of cells, on average; cells at most (beyond it cells and groups grow and are compared in
+#: blocks); k-means is fitted on about so many vectors a cell.
+CELL, GROUP, CELLS, SAMPLE = 48, 4_000, 1_024, 8
+#: Home vectors, and visiting ones, in a block.
+BLOCK, VISITORS = 4_096, 32_768
 #: Single-precision cosines this much below the threshold are looked at again in double precision.
 SLACK = 1e-4
 
 
-def fit(sample: np.ndarray, cells: int, rounds: int = 10, seed: int = 5) -> np.ndarray:
+def fit(sample: np.ndarray, cells: int, rounds: int = 5, seed: int = 5) -> np.ndarray:
     """Unit centroids of unit vectors."""
     centroids = sample[np.random.default_rng(seed).choice(len(sample), min(cells, len(sample)), replace=False)]
     for _ in range(rounds):
@@ -50,48 +55,93 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def placed(vectors: DataFrame, centroids: np.ndarray, threshold: float) -> DataFrame:
-    """cell, at_home, id, n, vector: one row for each cell that a vector is in."""
-    reach = math.sqrt(2 - 2 * threshold) + 1e-9
-    between = np.linalg.norm(centroids[:, None] - centroids[None], axis=2)
+@dataclass(frozen=True)
+class Cells:
+    """Centroids of the vectors of one length, the group of each, and the least and greatest angle of its own vectors."""
+
+    kind: np.dtype
+    centroids: np.ndarray
+    group: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    def home(self, vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines to all centroids, and the home cell, of each vector."""
+        dots = matrix(vectors.to_pylist(), len(vectors), self.kind) @ self.centroids.T
+        return dots, dots.argmax(1)
+
+
+def angles(dots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(dots, -1, 1))
+
+
+def ringed(vectors: DataFrame, cells: Cells) -> Cells:
+    """cells with the angles of all vectors to their home centroid."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if batch.num_rows:
+                dots, home = cells.home(batch.column(0))
+                yield pa.RecordBatch.from_arrays([pa.array(home, pa.int32()), pa.array(angles(dots[np.arange(len(home)), home]))], ["cell", "angle"])
+
+    rows = vectors.select("vector").mapInArrow(run, "cell int, angle double").groupBy("cell").agg(F.min("angle").alias("low"), F.max("angle").alias("high")).toArrow()
+    low, high = np.full(len(cells.centroids), np.inf), np.full(len(cells.centroids), -np.inf)  # an empty cell is never visited
+    low[rows["cell"].to_numpy()], high[rows["cell"].to_numpy()] = rows["low"].to_numpy(), rows["high"].to_numpy()
+    return replace(cells, low=low, high=high)
+
+
+def placed(vectors: DataFrame, cells: Cells, threshold: float) -> DataFrame:
+    """grp, id, n, vector, home (the home cell where it is in the group, else -1) and visits: a row for each group of cells that a vector visits."""
+    reach, angle = math.sqrt(2 - 2 * threshold) + 1e-9, math.acos(threshold) + 1e-7
+    between = np.linalg.norm(cells.centroids[:, None] - cells.centroids[None], axis=2)
+    members = [np.flatnonzero(cells.group == g) for g in range(int(cells.group.max()) + 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2_000):
             if not batch.num_rows:
                 continue
-            flat = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(batch.num_rows, -1)
-            dots = unit(flat.astype(np.float64)) @ centroids.T
-            home = dots.argmax(1)
-            inside = dots[np.arange(len(home)), home][:, None] - dots <= reach * between[home] + 1e-12
-            row, cell = np.nonzero(inside)
-            take = pa.array(row)
-            raw = pa.array([x.tobytes() for x in flat], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(home[row] == cell), *(x.take(take) for x in (batch.column(0), batch.column(1), raw))], ["cell", "at_home", "id", "n", "vector"])
+            dots, home = cells.home(batch.column(2))
+            at = angles(dots)
+            inside = (dots[np.arange(len(home)), home][:, None] - dots <= reach * between[home] + 1e-12) & (at <= cells.high + angle) & (at >= cells.low - angle)
+            inside[np.arange(len(home)), home] = True
+            for g, own in enumerate(members):
+                row, k = np.nonzero(inside[:, own])
+                rows, sizes = np.unique(row, return_counts=True)
+                if len(rows):
+                    visits = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(own[k], pa.int32()))
+                    at_home = np.where(cells.group[home[rows]] == g, home[rows], -1)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), g), pa.int32()), *(c.take(pa.array(rows)) for c in batch.columns), pa.array(at_home, pa.int32()), visits], ["grp", "id", "n", "vector", "home", "visits"])
 
-    return vectors.select("id", "n", "vector").mapInArrow(run, "cell int, at_home boolean, id long, n long, vector binary")
+    return vectors.select("id", "n", "vector").mapInArrow(run, "grp int, id long, n long, vector binary, home int, visits array<int>")
 
 
-def matrix(vectors: Iterable[bytes], n: int) -> np.ndarray:
-    return unit(np.frombuffer(b"".join(vectors), np.float32).reshape(n, -1).astype(np.float64))
+def matrix(vectors: Iterable[bytes], n: int, kind: np.dtype) -> np.ndarray:
+    return unit(np.frombuffer(b"".join(vectors), kind).reshape(n, -1).astype(np.float64))
 
 
-def compare(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
+def compare(group: pd.DataFrame, threshold: float, kind: np.dtype) -> pd.DataFrame:
     """Links of one pair of blocks: id, n_links (of home vectors, to all there), label (least id that it reaches here).
 
-    Strip by strip: where single precision sees a cosine near the threshold, the rows and columns concerned are
+    Home cell by home cell: where single precision sees a cosine near the threshold, the rows and columns concerned are
     multiplied again in double precision.
     """
     home, others = group[group.home_side], group[~group.home_side]
     ids, counts, labels = [], [], []
     if len(home) and len(others):
-        left, right = matrix(home.vector, len(home)), matrix(others.vector, len(others))
-        left_small, right_small = left.astype(np.float32), right.astype(np.float32).T
+        left, right = matrix(home.vector, len(home), kind), matrix(others.vector, len(others), kind)
+        left_small, right_small = left.astype(np.float32), right.astype(np.float32)
         a, b, n = home.id.to_numpy(), others.id.to_numpy(), others.n.to_numpy()
-        for at in range(0, len(a), STRIP):
-            near = left_small[at : at + STRIP] @ right_small >= np.float32(threshold - SLACK)
-            rows, columns = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
-            linked = left[at + rows] @ right[columns].T >= threshold
-            own, other = a[at + rows], b[columns]
+        visits = np.concatenate(others.visits.to_numpy())
+        place = np.repeat(np.arange(len(others)), others.visits.map(len))
+        order = np.argsort(visits, kind="stable")
+        visits, place = visits[order], place[order]
+        cell = home.home.to_numpy()
+        for c in np.unique(cell):
+            mine, there = np.flatnonzero(cell == c), place[np.searchsorted(visits, c) : np.searchsorted(visits, c, "right")]
+            near = left_small[mine] @ right_small[there].T >= np.float32(threshold - SLACK)
+            rows, columns = mine[near.any(1)], there[near.any(0)]
+            linked = left[rows] @ right[columns].T >= threshold
+            own, other = a[rows], b[columns]
             linked &= own[:, None] != other[None]
             if not linked.any():
                 continue
@@ -114,7 +164,8 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     """One row for each row of df: id, n_links, component_id, kept."""
     v = F.col("vector")
     finite = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("vector"))
+    single = df.schema[vector_col].dataType.elementType.typeName() == "float"
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{'float' if single else 'double'}>").alias("vector"))
     rows = rows.withColumn("ok", F.coalesce(finite, F.lit(False))).withColumn("key", F.when(F.col("ok"), F.struct(F.xxhash64("vector"), F.hash("vector"), F.size("vector"))))
     rows = materialize(rows, "vectors")
     ok = rows.where("ok")
@@ -123,7 +174,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     distinct = rows.where("ok and id = rep").dropDuplicates(["id"])
     total = distinct.count()
     members = rows.select("id", "ok", "rep", "n")
-    links = _links(distinct, total, threshold) if total else None
+    links = _links(distinct, threshold, np.dtype(np.float32 if single else np.float64)) if total else None
     if links is None:
         found = members.select("id", (F.col("n") - 1).alias("n_links"), F.col("rep").alias("component_id"))
     else:
@@ -134,24 +185,42 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     return found.select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
-def _links(distinct: DataFrame, total: int, threshold: float) -> DataFrame | None:
-    part = max(1, total // SAMPLE)
-    sample = distinct.where(F.pmod(F.xxhash64("id"), F.lit(part)) == 0).select("vector").toArrow()["vector"].to_pylist()
-    if not sample:
-        sample = [distinct.first()["vector"]]
-    sizes, often = np.unique([len(x) for x in sample], return_counts=True)
-    width = int(sizes[often.argmax()])
-    centroids = fit(unit(np.array([x for x in sample if len(x) == width], np.float64)), min(CELLS, -(-total // CELL)))
-    spots = materialize(placed(distinct.where(F.size("vector") == width), centroids, threshold), "cells")
-    sizes = {r["cell"]: (-(-r["home"] // BLOCK), -(-r["all"] // BLOCK)) for r in spots.groupBy("cell").agg(F.sum(F.col("at_home").cast("long")).alias("home"), F.count("*").alias("all")).collect()}
-    if not sizes:
-        return None
+def _links(distinct: DataFrame, threshold: float, kind: np.dtype) -> DataFrame | None:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = batch.column(2)
+            flat, ends = vectors.flatten().to_numpy(zero_copy_only=False).astype(kind).tobytes(), vectors.offsets.to_numpy()
+            ends = (ends - ends[0]) * kind.itemsize if len(ends) else ends
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(ends) // kind.itemsize, pa.int32()), pa.array([flat[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["id", "n", "width", "vector"])
+
+    vectors = materialize(distinct.select("id", "n", "vector").mapInArrow(packed, "id long, n long, width int, vector binary"), "packed")
+    widths = {r["width"]: r["count"] for r in vectors.groupBy("width").count().where("count > 1").collect()}
+    found = [_links_of(vectors.where(F.col("width") == w), total, threshold, kind) for w, total in sorted(widths.items())]
+    return reduce(DataFrame.union, found) if found else None
+
+
+def centroids_of(vectors: DataFrame, total: int, kind: np.dtype) -> np.ndarray:
+    """Centroids of the cells, fitted on a sample of SAMPLE vectors a cell."""
+    cells = max(1, min(CELLS, total // CELL))
+    part = max(1, total // (SAMPLE * cells))
+    sample = vectors.where(F.pmod(F.xxhash64("id"), F.lit(part)) == 0).select("vector").toArrow()["vector"].to_pylist() or [vectors.first()["vector"]]
+    return fit(matrix(sample, len(sample), kind), cells)
+
+
+def _links_of(vectors: DataFrame, total: int, threshold: float, kind: np.dtype) -> DataFrame:
+    """Links of the vectors of one length."""
+    centroids = centroids_of(vectors, total, kind)
+    some = fit(centroids, min(len(centroids), -(-total // GROUP)))
+    cells = ringed(vectors, Cells(kind, centroids, (centroids @ some.T).argmax(1), np.empty(0), np.empty(0)))
+    spots = materialize(placed(vectors, cells, threshold), "cells")
+    sizes = [(r["grp"], max(1, -(-r["homes"] // BLOCK)), -(-r["alls"] // VISITORS)) for r in spots.groupBy("grp").agg(F.sum((F.col("home") >= 0).cast("long")).alias("homes"), F.count("*").alias("alls")).collect()]
     deal = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    blocks = spots.sparkSession.createDataFrame([(c, h or 1, a) for c, (h, a) in sizes.items()], "cell int, homes int, alls int")
-    spots = spots.join(F.broadcast(blocks), "cell")
-    home = spots.where("at_home").select("cell", deal(F.col("homes")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("j"), F.lit(True).alias("home_side"), "id", "n", "vector")
-    all_ = spots.select("cell", F.explode(F.sequence(F.lit(0), F.col("homes") - 1)).alias("i"), deal(F.col("alls")).alias("j"), F.lit(False).alias("home_side"), "id", "n", "vector")
-    pairs = home.unionByName(all_).groupBy("cell", "i", "j").applyInPandas(lambda g: compare(g, threshold), "id long, n_links long, label long")
+    blocks = spots.sparkSession.createDataFrame(sizes, "grp int, homes int, alls int")
+    spots = spots.join(F.broadcast(blocks), "grp")
+    none = F.array().cast("array<int>")
+    home = spots.where("home >= 0").select("grp", deal(F.col("homes")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("j"), F.lit(True).alias("home_side"), "id", "n", "vector", "home", none.alias("visits"))
+    all_ = spots.select("grp", F.explode(F.sequence(F.lit(0), F.col("homes") - 1)).alias("i"), deal(F.col("alls")).alias("j"), F.lit(False).alias("home_side"), "id", "n", "vector", "home", "visits")
+    pairs = home.unionByName(all_).groupBy("grp", "i", "j").applyInPandas(lambda g: compare(g, threshold, kind), "id long, n_links long, label long")
     return materialize(pairs, "blocks")
 
 
