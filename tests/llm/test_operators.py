@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 public_tokenizers = pytest.importorskip("public_tokenizers")
 tokenizers = pytest.importorskip("tokenizers")
 
-from leafgrove.llm import bpe_codec, curve_packing, embedding_dedup, host_quality, line_dedup, ngram_join, suffix_tree_lm, token_counts, toxicity, url_reputation  # noqa: E402
+from leafgrove.llm import _components, bpe_codec, curve_packing, embedding_dedup, host_quality, line_dedup, ngram_join, suffix_tree_lm, token_counts, toxicity, url_reputation  # noqa: E402
 from leafgrove.llm._components import components  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -198,11 +199,37 @@ def test_cells_lose_no_link(spark, monkeypatch):
     one = sorted(map(tuple, embedding_dedup.near_duplicates(df).collect()))
     monkeypatch.setattr(embedding_dedup, "CELL", 20)
     monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    monkeypatch.setattr(embedding_dedup, "GROUP", 60)
+    monkeypatch.setattr(embedding_dedup, "VISITORS", 50)
     assert sorted(map(tuple, embedding_dedup.near_duplicates(df).collect())) == one
     assert any(n for _, n, _, _ in one)
 
 
-def test_components(spark):
+def test_vectors_of_all_lengths_in_double_precision(spark):
+    """Each length by itself against brute force; a cosine just below the threshold is none in double precision."""
+    r = np.random.default_rng(14)
+    rows, k = [], 0
+    for width, n in ((6, 300), (3, 40), (9, 2), (1, 3)):
+        for _ in range(n):
+            x = rows[-1][1] if rows and len(rows[-1][1]) == width and r.random() < 0.5 else None
+            rows.append((k, (r.standard_normal(width) if x is None else np.array(x) + 0.1 * r.standard_normal(width)).tolist()))
+            k += 1
+    below = 0.94999999997
+    rows += [(k, [1.0, 0.0]), (k + 1, [below, math.sqrt(1 - below * below)]), (k + 2, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("clash") for c in ("id", "vector", "key", "rep", "home", "width", "n")})
+    got = {x.vec_id: (x.n_links, x.component_id) for x in embedding_dedup.near_duplicates(df).collect()}
+    cos = lambda a, b: float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
+    links = {a: [b for b, y in rows if b != a and x and y and len(x) == len(y) and cos(x, y) >= 0.95] for a, x in rows}
+    label = {a: a for a in links}
+    for _ in rows:
+        label = {a: min([label[a], *(label[b] for b in links[a])]) for a in links}
+    assert got == {a: (len(links[a]), label[a]) for a in links}
+    assert got[k] == (0, k) and any(n for n, _ in got.values())
+
+
+@pytest.mark.parametrize("at_once", [0, 50, 200_000])
+def test_components(spark, monkeypatch, at_once):
+    monkeypatch.setattr(_components, "AT_ONCE", at_once)
     r = random.Random(5)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(1000, k) for k in range(1001, 1100)] + [(5, 5), (None, 3)]
     label = {x: x for e in links for x in e if None not in e and e[0] != e[1]}
@@ -296,7 +323,75 @@ def test_maximal_segments():
     for _ in range(200):
         x = [float(r.choice([-1, -1, -1, 2, 3.25])) + (0 if r.random() < 2 else 0) for _ in range(r.randrange(0, 25))]
         got = toxicity.segments([(i, v) for i, v in enumerate(x) if v > 0], -1.0)
-        assert [(a, b, pytest.approx(v)) for a, b, v in brute(x)] == got or sum(v for *_, v in got) == pytest.approx(sum(v for *_, v in brute(x)))
+        assert [(a, b, pytest.approx(v)) for a, b, v in brute(x)] == got
+
+
+def test_segments_take_linear_time():
+    """Separated hits on a falling sum: each is a segment of its own, and no search looks at all those before."""
+    looked = {}
+    for n in (4_000, 8_000):
+        hits = [(20 * k, 1.0) for k in range(n)]
+        began = time.process_time()
+        assert len(toxicity.segments(hits, -0.5)) == n
+        looked[n] = time.process_time() - began
+    assert looked[8_000] < 4 * looked[4_000] + 0.05
+
+
+def test_toxicity_of_empty_tables_and_clashing_columns(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert toxicity.score(docs, model).count() == 0
+    some = spark.createDataFrame([(1, "a b", 9.0, "x"), (1, "a b", 9.0, "x"), (None, None, None, None)], "doc_id long, text string, score double, _y string")
+    assert [r.score for r in toxicity.score(some, model).collect()] == [model.score(model.features(0, []))] * 3
+    assert toxicity.keep_clean(some, model).columns == some.columns
+
+
+def test_hosts_without_labels_get_what_lies_above(spark):
+    """A sibling without labels under a bad domain is blocked, one under a good domain is not; ports, addresses and two-label suffixes."""
+    bad = [(k, f"https://h{k % 3}.bad.test/{k}") for k in range(60)] + [(100 + k, f"http://h{k % 3}.fine.co.uk/{k}") for k in range(60)] + [(200 + k, f"http://10.0.0.{k % 2}:80/{k}") for k in range(40)]
+    pages = [*bad, (500, "https://new.bad.test/"), (501, "http://new.fine.co.uk:8080/x"), (502, "http://10.0.0.9/"), (503, None), (504, "no scheme"), (500, "https://new.bad.test/"), (505, "http://new.bad.test/" + "y" * 100_000)]
+    outcomes = spark.createDataFrame([(k, int(k < 100)) for k, _ in bad], "page_id long, bad int")
+    df = spark.createDataFrame(pages, "page_id long, url string").withColumns({"host": F.lit("clash"), "n": F.lit(1)})
+    got = {r.page_id: (r.host, r.verdict) for r in url_reputation.judge(df, outcomes).collect()}
+    assert got[500] == ("new.bad.test", "block") and got[505][1] == "block"
+    assert got[501] == ("new.fine.co.uk:8080", "allow") and got[502] == ("10.0.0.9", "allow") and got[503] == ("", "allow") == got[504]
+    levels = spark.createDataFrame([("a.b.co.uk:80",), ("x.y.com",), ("10.0.0.1",), ("",)], "h string").select(*url_reputation.levels(F.col("h"))).collect()
+    assert [tuple(r) for r in levels] == [("b.co.uk", "co.uk"), ("y.com", "com"), ("10.0.0.1", "10.0.0.1"), ("", "")]
+
+
+@pytest.mark.parametrize("hot", [1, 2_048])
+def test_lines_of_null_ids_repeated_rows_and_clashing_columns(spark, monkeypatch, hot):
+    """Null ids come first and lose lines like others; equal rows keep the same lines; keys of many lines are cut anew."""
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    r = random.Random(12)
+    base = [" ".join(r.choice(WORDS) + str(r.randrange(9)) for _ in range(r.randrange(4, 100))) for _ in range(12)]
+    edit = lambda t: " ".join(w if r.random() > 0.06 else "new" + str(r.randrange(99)) for w in t.split())
+    own = [(None, base[0] + "\n" + base[0] + "\n" + base[1])] + [(k, "\n".join(edit(r.choice(base)) for _ in range(r.randrange(1, 6)))) for k in range(60)]
+    own += [(70, edit(base[0])), (71, "same words here\nhere same words"), (72, ""), (73, None)]
+    rows = [*own, own[5], own[9]]
+    names = ("_d", "_t", "_lines", "_gone", "doc", "at", "line", "gone", "row", "text2", "_salt")
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in names})
+    out = line_dedup.dedup_lines(df)
+    assert out.columns == df.columns
+    want = brute_lines({-1 if k is None else k: t for k, t in own})
+    got = out.collect()
+    assert len(got) == len(rows) and all(r.text == want[-1 if r.doc_id is None else r.doc_id] and r["_d"] == r.gone == "clash" for r in got)
+    assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_groups_of_null_ids_repeated_rows_and_clashing_columns(spark):
+    own = {k: t for k, t in enumerate(texts()) if t}
+    rows = [*own.items(), (None, own[0]), (3, own[3])]
+    names = ("_goes", "goes", "row", "key", "rep", "own", "prefix", "_salt")
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in names})
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.groups(df).collect()}
+    want = brute_groups(own, 4, 85)
+    assert found == want | {None: (want[0][0], None)}
+    kept = ngram_join.keep_one(df, n=4, per_cent=85)
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted(k for k, (_, c) in want.items() if c == k)
+    assert kept.where("doc_id is null").count() == 1 and ngram_join.groups(df.limit(0)).count() == 0
 
 
 def test_extreme_values_count_texts_without_a_segment():

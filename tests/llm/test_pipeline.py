@@ -39,3 +39,19 @@ def test_stages(spark, tmp_path):
     got = {r.doc_id: (r.n, r.t) for r in pieces.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).collect()}
     assert got == {k: (n, n) for k, n in total.items()}
     assert check_pieces
+
+
+@pytest.mark.parametrize("name", ["op3_url_reputation", "op8_host_quality", "op9_ngram_join", "op10_embedding_dedup"])
+def test_queries_against_sql(spark, name):
+    import os
+
+    import duckdb
+
+    from leafgrove.llm import registry
+    from tests.test_queries import rows
+
+    con = duckdb.connect()
+    for file in os.listdir(SF):
+        con.execute(f"CREATE VIEW {file.split('.')[0]} AS SELECT * FROM '{SF}/{file}'")
+    got, want = registry.QUERIES[name](spark, SF).toArrow().to_pydict(), con.sql(registry.ORACLE_SQL[name]).to_arrow_table().to_pydict()
+    assert sorted(got) == sorted(want) and rows(got) == rows(want)
