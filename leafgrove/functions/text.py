@@ -6,42 +6,80 @@ Normalisation is Unicode-aware: case folding (not lower-casing), ASCII punctuati
 from __future__ import annotations
 
 import sys
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The 32 ASCII punctuation characters.
 PUNCT = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-#: White space in the sense of Unicode, with the four information separators.
-SPACE = "(?U)[\\s\\x1c-\\x1f]+"
+#: White space in the sense of Unicode, with the four information separators; first what is ASCII, then the rest.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
+WIDE_SPACES = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 #: Case folding where it differs from lower-casing, from Python's own tables.
 _FOLDS = {chr(c): chr(c).casefold() for c in range(sys.maxunicode + 1) if chr(c).lower().casefold() != chr(c).lower() and len(chr(c).lower()) == 1 and chr(c) == chr(c).lower()}
 _ONE = {a: b for a, b in _FOLDS.items() if len(b) == 1}
 _MANY = {a: b for a, b in _FOLDS.items() if len(b) > 1}
-_CLASS = "[" + "".join(f"\\x{{{ord(a):x}}}" for a in sorted(_FOLDS)) + "]"
+
+
+def _ranges(chars: set[str], gap: int = 6) -> str:
+    """A class of few ranges that holds all the characters (and some between them)."""
+    spans: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
+        if spans and c - spans[-1][1] <= gap:
+            spans[-1][1] = c
+        else:
+            spans.append([c, c])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans) + "]"
+
+
+#: Characters of the long way; the sharp s is common and has a way of its own.
+_RARE = _ranges(set(_FOLDS) - {"ß"})
+
+
+def _ascii(x: Column) -> Column:
+    return F.octet_length(x) == F.length(x)
+
+
+def _replaced(x: Column, by: dict[str, str]) -> Column:
+    """Each key replaced by its value, one after another; a fold over a constant array, as a chain would be too much code."""
+    pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in by.items()))
+    return F.aggregate(pairs, x, lambda text, p: F.replace(text, p["a"], p["b"]))
 
 
 def casefold(x: Column) -> Column:
-    """Unicode case folding. Only texts with a character that folds otherwise than it lower-cases take the long way."""
+    """Unicode case folding. ASCII texts are lower-cased; only texts with a rare character take the long way."""
     low = F.lower(x)
-    folded = F.translate(low, "".join(_ONE), "".join(_ONE.values()))
-    for a, b in _MANY.items():
-        folded = F.replace(folded, F.lit(a), F.lit(b))
-    return F.when(low.rlike(_CLASS), folded).otherwise(low)
+    folded = _replaced(F.translate(low, "".join(_ONE), "".join(_ONE.values())), _MANY)
+    return F.when(_ascii(low), low).when(low.rlike(_RARE), folded).otherwise(F.replace(low, F.lit("ß"), F.lit("ss")))
+
+
+def _blanks(x: Column) -> Column:
+    """All white space as blanks, without a pattern: a search for one character is far cheaper."""
+    blank = _replaced(x, dict.fromkeys(SPACES, " "))
+    return F.when(_ascii(x), blank).otherwise(_replaced(blank, dict.fromkeys(WIDE_SPACES, " ")))
+
+
+def _words(x: Column) -> Column:
+    return F.array_remove(F.split(_blanks(x), " "), "")
 
 
 def collapse(x: Column) -> Column:
-    return F.trim(F.regexp_replace(x, SPACE, " "))
+    return F.array_join(_words(x), " ")
 
 
 def key_of(x: Column) -> Column:
     """Case-folded, punctuation kept."""
-    return casefold(collapse(x))
+    return collapse(casefold(x))
+
+
+def _unpunctuated(x: Column) -> Column:
+    return F.translate(casefold(x), PUNCT, " " * len(PUNCT))
 
 
 def normalize(x: Column) -> Column:
-    return collapse(F.translate(casefold(x), PUNCT, " " * len(PUNCT)))
+    return collapse(_unpunctuated(x))
 
 
 def punct_key(x: Column) -> Column:
@@ -49,9 +87,10 @@ def punct_key(x: Column) -> Column:
     return F.coalesce(F.nullif(collapse(F.translate(casefold(x), PUNCT, "")), F.lit("")), F.lit("__empty__"))
 
 
-def tokens(x: Column) -> Column:
-    """Words of the normalised text, repeats kept."""
-    return F.filter(F.split(normalize(x), " "), lambda t: t != "")
+def tokens(x: Column, stop_words: Sequence[str] = ()) -> Column:
+    """Words of the normalised text, repeats kept, without the stop words."""
+    own = _words(_unpunctuated(x))
+    return F.filter(own, lambda t: ~t.isin(*stop_words)) if stop_words else own
 
 
 def overlap(text_tokens: Column, query_tokens: Column) -> Column:
@@ -61,7 +100,7 @@ def overlap(text_tokens: Column, query_tokens: Column) -> Column:
 
 
 def word_count(x: Column) -> Column:
-    return F.when(collapse(x) == "", F.lit(0)).otherwise(F.size(F.split(collapse(x), " "))).cast("long")
+    return F.size(_words(x)).cast("long")
 
 
 def slug(x: Column) -> Column:

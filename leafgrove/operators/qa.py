@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafgrove.functions import text as T
+from leafgrove.operators import search
 
 TEXTS = ["node_text", "page_text", "unassigned_span"]
 LEXICAL = ["keyword_overlap", "title_overlap", "phrase_match", "keyword_match"]
@@ -62,3 +63,36 @@ def answer_mode(pairs: DataFrame) -> DataFrame:
     weak = F.col("intent").isin("topic", "section", "quote") & ~F.col("any_lexical")
     mode = F.when(F.col("intent") == "document_summary", summary).when(F.col("n_hits") == 0, "no_hits").when(weak, "low_evidence").when(F.col("intent") == "visual", visual).otherwise(text)
     return pairs.withColumn("answer_mode", mode)
+
+
+def answers(units: DataFrame, requests: DataFrame, descriptions: DataFrame | None = None, k: int = 10, limit: int = 3, plans: DataFrame | None = None) -> DataFrame:
+    """One row for each request (query_id, document_id, query): intent, answer_mode, answer and citations.
+
+    A summary is answered by the document's description (descriptions: document_id, description), else by what its units
+    say; a request without hits or without lexical evidence gets a row without answer; a visual one the cached
+    interpretation of a visual hit. All others are grounded on the first excerpts of authoritative hits, else of any.
+    """
+    plans = search.request_plans(units, requests) if plans is None else plans
+    hits = search.excerpts(search.orchestrate(units, requests, k, plans))
+    kind = F.col("unit_type")
+    told = F.coalesce(F.col("authoritative"), F.lit(True)) if "authoritative" in units.columns else F.lit(True)
+    cached = (F.col("interpretive") & F.col("text").isNotNull()) if "interpretive" in units.columns else F.lit(False)
+    hits = hits.withColumns({"is_told": kind.isin(*TEXTS, "table") & told, "is_visual": kind.isin(*search.VISUAL_TYPES), "cand_ord": F.col("rank")})
+    hits = hits.withColumn("is_cached", F.col("is_visual") & F.coalesce(cached, F.lit(False)))
+    pair = ["query_id", "document_id"]
+    counts = hits.groupBy(*pair).agg(F.count("*").alias("n_hits"), F.max(F.col("score") > 0).alias("any_lexical"), F.sum(F.col("is_told").cast("int")).alias("n_authoritative"), F.max("is_visual").alias("has_visual"), F.max("is_cached").alias("cached_visual"), F.min_by("text", F.when(F.col("is_cached"), F.col("rank"))).alias("cached_text"))
+    usable = hits.withColumn("any_told", F.max("is_told").over(W.partitionBy(*pair))).where("is_told or not any_told")
+    grounded = grounding(usable.where("not wants_table"), False, limit).unionByName(grounding(usable.where("wants_table"), True, limit))
+    parts = compose(grounded).join(grounded.groupBy(*pair).agg(F.count("*").alias("n_grounded")), pair)
+    cited = citations(grounded).groupBy(*pair).agg(F.array_sort(F.collect_list(F.struct("place", "citation"))).alias("citations"))
+    rows = plans.select(*pair, "intent").join(counts, pair, "left").join(parts, pair, "left").join(cited, pair, "left").join(document_summary(units), "document_id", "left")
+    described = F.lit(None).cast("string")
+    if descriptions is not None:
+        rows, described = rows.join(descriptions.select("document_id", "description"), "document_id", "left"), F.col("description")
+    no = lambda c: F.coalesce(F.col(c), F.lit(False))
+    rows = rows.withColumns({"n_hits": F.coalesce("n_hits", F.lit(0)), "n_authoritative": F.coalesce("n_authoritative", F.lit(0)), "n_grounded": F.coalesce("n_grounded", F.lit(0)), "any_lexical": no("any_lexical"), "has_visual": no("has_visual"), "cached_visual": no("cached_visual"), "has_description": described.isNotNull(), "has_summary": F.col("summary").isNotNull()})
+    rows = answer_mode(rows)
+    mode = F.col("answer_mode")
+    answer = F.when(mode == "document_summary_description", described).when(mode == "document_summary_fallback", F.col("summary")).when(mode == "cached_visual_attachment", F.col("cached_text")).when(mode.isin("authoritative_text", "grounded_multi_excerpt", "interpretive_fallback"), F.col("answer"))
+    cites = F.when(mode.isin("authoritative_text", "grounded_multi_excerpt", "interpretive_fallback"), F.col("citations"))
+    return rows.select(*pair, "intent", mode, answer.alias("answer"), cites.alias("citations"))

@@ -19,6 +19,8 @@ STRUCTURE = ["section", "chapter", "appendix", "heading"]
 SUMMARY = ["summarize", "summarise", "overview", "what is this document about"]
 TEXT_TYPES = ["page_text", "table", "unassigned_span"]
 VISUAL_TYPES = ["visual", "unresolved_visual"]
+#: The names of the rungs of widening, in their order.
+REASONS = ["same_page_visual", "same_page_text_for_visual_query", "all_visual_units", "same_page_tables", "same_page_text_for_table_query", "all_table_units", "same_page_units", "matching_unit_types", "full_corpus_fallback"]
 #: The query side is broadcast up to so many rows, else shuffled on tokens.
 BROADCAST_QUERIES = 100_000
 
@@ -72,8 +74,12 @@ def union_units(*families: DataFrame) -> DataFrame:
 
 
 def corpus_stats(units: DataFrame) -> DataFrame:
-    """Numbers of units by type and by modality."""
-    return units.groupBy("document_id").agg(F.count("*").alias("unit_count"), F.max("end_page").alias("last_page")).join(units.groupBy("document_id", "unit_type").agg(F.count("*").alias("n")).groupBy("document_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("unit_type", "n")))).alias("by_type")), "document_id")
+    """Numbers of units by type and by modality, as maps with sorted keys."""
+    sizes = units.groupBy("document_id").agg(F.count("*").alias("unit_count"), F.max("end_page").alias("last_page"))
+    for key in ("unit_type", "modality"):
+        counts = units.groupBy("document_id", key).agg(F.count("*").alias("n")).groupBy("document_id")
+        sizes = sizes.join(counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "n")))).alias(f"by_{key.removeprefix('unit_')}")), "document_id")
+    return sizes
 
 
 def corpus_checksum(units: DataFrame, columns: list[str]) -> DataFrame:
@@ -117,26 +123,53 @@ def unit_order() -> list[Column]:
 
 
 def widened(units: DataFrame, plans: DataFrame) -> DataFrame:
-    """Candidates of each (query, document): units that pass the plan, else those of the first rung that has any.
+    """Candidates of each request: units of its document that pass the plan, else those of the first rung that has any.
 
-    plans: query_id, wants_visual, wants_table, page_start, page_end (null: no page filter), modality_filters.
-    Rung 0 is the filter itself; the rest are the fall-backs in their order. One pass computes each unit's rung, and a
-    window keeps the least of each query and document.
+    plans: query_id, document_id, wants_visual, wants_table, page_start, page_end (null: no page filter),
+    modality_filters, and perhaps unit_types (empty: any). Rung 0 is the filter itself; the others are the fall-backs in
+    their order, with the reason that names them. Units meet the requests of their document only; one pass computes each
+    unit's rung, and a window keeps the least of each request.
     """
-    pairs = units.crossJoin(F.broadcast(plans)) if plans.count() <= BROADCAST_QUERIES else units.join(plans)
-    paged = F.col("page_start").isNotNull()
+    if "unit_types" not in plans.columns:
+        plans = plans.withColumn("unit_types", F.array().cast("array<string>"))
+    rows = units.join(plans, "document_id")
+    paged, typed = F.col("page_start").isNotNull(), F.size("unit_types") > 0
     on_page = paged & (F.col("start_page") <= F.col("page_end")) & (F.col("end_page") >= F.col("page_start"))
-    fits = (~paged | on_page) & ((F.size("modality_filters") == 0) | F.array_contains("modality_filters", F.col("modality")))
+    of_type = typed & F.array_contains("unit_types", F.col("unit_type"))
+    fits = (~paged | on_page) & ((F.size("modality_filters") == 0) | F.array_contains("modality_filters", F.col("modality"))) & (~typed | of_type)
     visual, texts, table = F.col("unit_type").isin(*VISUAL_TYPES), F.col("unit_type").isin(*TEXT_TYPES), F.col("unit_type") == "table"
     rung = (
         F.when(fits, 0)
-        .when(F.col("wants_visual"), F.when(paged, F.when(visual & on_page, 1).when(texts & on_page, 2)).otherwise(F.when(visual, 1)))
-        .when(F.col("wants_table"), F.when(paged, F.when(table & on_page, 1).when(texts & on_page, 2).when(table, 3)).otherwise(F.when(table, 1)))
-        .when(on_page, 1)
-        .otherwise(3)
+        .when(F.col("wants_visual"), F.when(paged, F.when(visual & on_page, 1).when(texts & on_page, 2)).otherwise(F.when(visual, 3)))
+        .when(F.col("wants_table"), F.when(table & on_page, 4).when(texts & on_page, 5).when(table, 6))
+        .when(on_page, 7)
+        .when(of_type, 8)
+        .otherwise(9)
     )
-    rows = pairs.withColumn("rung", rung).where("rung is not null")
-    return rows.withColumn("least", F.min("rung").over(W.partitionBy("query_id", "document_id"))).where("rung = least").drop("least")
+    rows = rows.withColumn("rung", rung).where("rung is not null")
+    rows = rows.withColumn("least", F.min("rung").over(W.partitionBy("query_id", "document_id"))).where("rung = least").drop("least")
+    return rows.withColumn("widening_reason", F.get(F.array(*map(F.lit, REASONS)), F.col("rung") - 1))
+
+
+def request_plans(units: DataFrame, requests: DataFrame) -> DataFrame:
+    """Plans of requests (query_id, document_id, query): the keyword plan, and the last page of the document where it is asked for."""
+    plans = plan(requests)
+    last = last_pages(units.join(requests.select("document_id").distinct(), "document_id", "left_semi"))
+    page = F.when(F.col("wants_last_page"), F.coalesce("last_page", F.lit(0)))
+    return plans.join(last, "document_id", "left").withColumns({"page_start": page, "page_end": page, "unit_types": F.array().cast("array<string>")}).drop("last_page")
+
+
+def orchestrate(units: DataFrame, requests: DataFrame, k: int = 10, plans: DataFrame | None = None) -> DataFrame:
+    """The whole search of each request: plan, filter, widen, rank, first k.
+
+    units carry a corpus order in `ord`. Candidates of the filter are ranked in unit order, widened ones in corpus order
+    where scores tie; hits without a shared token stay. plans: those of a model, instead of the keyword plan.
+    """
+    found = widened(units, request_plans(units, requests) if plans is None else plans)
+    found = with_terms(found).withColumn("score", F.size("matched_terms") * 2.0)
+    tie = [F.when(F.col("rung") == 0, x) for x in unit_order()[:3]]
+    order = W.partitionBy("query_id", "document_id").orderBy(F.desc("score"), *tie, F.when(F.col("rung") == 0, F.col("unit_id")), "ord", "unit_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def inverted_index(units: DataFrame) -> DataFrame:
@@ -151,27 +184,46 @@ def rank(units: DataFrame, queries: DataFrame, k: int | None = None) -> DataFram
     units carry a total order in cand_ord. The tokens of both sides are joined, so pairs without a shared token never
     meet; where a query has fewer than k hits, units without one follow in candidate order.
     """
-    body = units.select("document_id", "unit_id", "cand_ord", F.explode(F.array_distinct(T.tokens(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit("")))))).alias("token"))
+    body = units.select("document_id", "unit_id", "cand_ord", F.explode(F.array_distinct(_unit_tokens())).alias("token"))
     asked = queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("token"))
     small = asked.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    hits = body.join(F.broadcast(asked) if small else asked, "token").groupBy("query_id", "document_id", "unit_id", "cand_ord").agg((F.count("*") * 2.0).alias("score"), F.array_sort(F.collect_list("token")).alias("matched_terms"))
+    hits = body.join(F.broadcast(asked) if small else asked, "token").groupBy("query_id", "document_id", "unit_id", "cand_ord").agg((F.count("*") * 2.0).alias("score"))
     if k is None:
         return hits
     best = hits.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "cand_ord"))).where(F.col("rank") <= k)
     # Fill up: of the first k units in candidate order at most k hits can be in the way, so 2k units are enough.
     first = units.orderBy("cand_ord").limit(2 * k).select("document_id", "unit_id", "cand_ord")
-    lacking = queries.select("query_id").join(best.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").where(F.coalesce("n", F.lit(0)) < k)
-    extra = lacking.select("query_id").join(F.broadcast(first)).join(best.select("query_id", "document_id", "unit_id"), ["query_id", "document_id", "unit_id"], "left_anti")
-    extra = extra.select("query_id", "document_id", "unit_id", "cand_ord", F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("matched_terms"))
-    both = best.drop("rank").unionByName(extra)
+    extra = queries.select("query_id").join(F.broadcast(first)).withColumn("score", F.lit(0.0))
+    # A unit that is a hit, too, counts once, by its score.
+    both = best.drop("rank").unionByName(extra).groupBy("query_id", "document_id", "unit_id", "cand_ord").agg(F.max("score").alias("score"))
     return both.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "cand_ord"))).where(F.col("rank") <= k)
 
 
+def _unit_tokens() -> Column:
+    return T.tokens(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))))
+
+
+def with_terms(hits: DataFrame) -> DataFrame:
+    """hits (title, text, query) with matched_terms: the distinct tokens that a unit shares with its query, in order."""
+    return hits.withColumn("matched_terms", F.array_sort(F.array_intersect(_unit_tokens(), T.tokens(F.col("query")))))
+
+
 def with_model_scores(candidates: DataFrame, scores: DataFrame) -> DataFrame:
     """Candidates with a model's relevance; missing ones are 0."""
     return candidates.join(scores.select("query_id", "unit_id", F.col("score").alias("llm_relevance")), ["query_id", "unit_id"], "left").withColumn("score", F.coalesce("llm_relevance", F.lit(0.0))).drop("llm_relevance")
 
 
+def unknown_ids(claimed: DataFrame, known: DataFrame, key: list[str], id_col: str = "node_id") -> DataFrame:
+    """Ids that a model has named (an array ids for each key) and that are not known: sorted, once each; keys without any stay out."""
+    named = claimed.select(*key, F.explode("ids").alias(id_col)).distinct()
+    return named.join(known.select(*key, id_col).distinct(), [*key, id_col], "left_anti").groupBy(*key).agg(F.array_sort(F.collect_set(id_col)).alias("unknown"))
+
+
+def ordered_union(*lists: str) -> Column:
+    """Items of array columns in the order of their first occurrence."""
+    return F.array_distinct(F.concat(*(F.coalesce(F.col(c), F.array().cast("array<string>")) for c in lists)))
+
+
 def full_text(units: DataFrame, query: str) -> DataFrame:
     """Units that hold every token of the query."""
     own = T.tokens(F.concat_ws(" ", "title", "text"))

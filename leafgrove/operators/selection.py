@@ -6,9 +6,11 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafgrove.functions import text as T
+from leafgrove.sources.store import checkpointed
 
 OPERATORS = {"eq", "in", "contains", "gte", "lte"}
 SHARD = 25
@@ -86,7 +88,8 @@ def lexical_prefilter(proxies: DataFrame, queries: DataFrame) -> DataFrame:
     """Score of each (query, document) over name, description, summary and keywords; documents with no match stay out.
 
     Only pairs with a common token meet: each field's distinct tokens are joined with the queries' tokens, which carry
-    how often the query has them. A query that is found whole in the joined text has all its tokens there.
+    how often the query has them. A query of three words or more that is found whole in the joined text shares its
+    middle words with it; shorter ones may lie inside of words and are found by their first letters (see `inside`).
     """
     weights = {"display_name": 1.0, "description": 2.0, "summary": 1.5, "keywords": 1.0}
     text = {c: F.array_join("keywords", " ") if c == "keywords" else F.coalesce(c, F.lit("")) for c in weights}
@@ -95,14 +98,31 @@ def lexical_prefilter(proxies: DataFrame, queries: DataFrame) -> DataFrame:
     terms = norm.select("document_id", F.explode(fields).alias("f")).select("document_id", "f.field", "f.w", F.explode("f.t").alias("token")).where("token <> ''")
     asked = queries.select("query_id", F.explode(T.tokens(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
     sizes = queries.select("query_id", T.normalize(F.col("query")).alias("nq"), F.size(T.tokens(F.col("query"))).alias("size"))
-    hits = terms.join(asked, "token").groupBy("query_id", "document_id").agg(*(F.sum(F.when(F.col("field") == c, F.col("times")).otherwise(0)).alias(f"k_{c}") for c in weights))
-    rows = hits.join(sizes, "query_id").join(norm, "document_id")
     whole = F.concat_ws(" ", *(F.col(f"n_{c}") for c in weights))
+    met = terms.join(asked, "token").select("query_id", "document_id", "field", "times")
+    short = sizes.where("size between 1 and 2")
+    if not short.isEmpty():
+        met = met.unionByName(inside(norm.select("document_id", whole.alias("whole")), short).select("query_id", "document_id", F.lit("").alias("field"), F.lit(0).cast("long").alias("times")))
+    hits = met.groupBy("query_id", "document_id").agg(*(F.sum(F.when(F.col("field") == c, F.col("times")).otherwise(0)).alias(f"k_{c}") for c in weights))
+    rows = hits.join(sizes, "query_id").join(norm, "document_id")
     score = sum((F.lit(w) * (F.col(f"k_{c}") / F.col("size")) for c, w in weights.items()), F.lit(0.0)) + F.when(F.contains(whole, F.col("nq")), 0.5).otherwise(0.0)
     matched = F.array_compact(F.array(*(F.when((F.col(f"k_{c}") > 0) | F.contains(F.col(f"n_{c}"), F.col("nq")), F.lit(c)) for c in weights)))
     return rows.select("query_id", "document_id", "display_name", score.alias("score"), matched.alias("matched_fields")).where("score > 0")
 
 
+def inside(documents: DataFrame, queries: DataFrame, letters: int = 4) -> DataFrame:
+    """query_id, document_id where a query (nq) is anywhere in a text (whole), also inside of words.
+
+    The texts' distinct runs of so many letters are joined with the queries' first ones; shorter queries are joined with
+    runs of their own length. What meets is then compared whole.
+    """
+    sizes = sorted(r[0] for r in queries.select(F.least(F.length("nq"), F.lit(letters)).alias("k")).distinct().collect())
+    own = F.flatten(F.array(*(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("whole") - (k - 1))), lambda i, k=k: F.substring("whole", i, F.lit(k))) for k in sizes)))
+    runs = documents.where("whole <> ''").select("document_id", "whole", F.explode(F.array_distinct(own)).alias("run"))
+    met = runs.join(queries.select("query_id", "nq", F.substring("nq", 1, letters).alias("run")), "run")
+    return met.where(F.contains("whole", "nq")).select("query_id", "document_id").distinct()
+
+
 def with_fillers(hits: DataFrame, documents: DataFrame, limit: int) -> DataFrame:
     """Hits of one query by score, then documents without one in name order, up to limit."""
     rest = documents.select("document_id", "display_name").join(hits.select("document_id"), "document_id", "left_anti").select("document_id", "display_name", F.lit(0.0).alias("score"))
@@ -117,12 +137,20 @@ def description_scores(descriptions: DataFrame, query: str) -> DataFrame:
 
 
 def shards(documents: DataFrame, size: int = SHARD) -> DataFrame:
-    """Shards of `size` documents in name order within buckets of a hash, so that no single task orders all of them."""
-    from pyspark.sql import Window as W
+    """Shards of `size` documents in name order, numbered from 0 over the whole collection.
+
+    Documents are dealt out by ranges of names; each range is numbered by itself, behind the sizes of those before it.
+    """
+    ranged = checkpointed(documents.repartitionByRange(*name_order()).withColumn("_part", F.spark_partition_id()))
+    before = F.sum("n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    offsets = ranged.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    k = F.row_number().over(W.partitionBy("_part").orderBy(*name_order())) - 1 + F.col("_before")
+    return ranged.join(F.broadcast(offsets), "_part").withColumn("shard", F.floor(k / size).cast("long")).drop("_part", "_before")
 
-    buckets = documents.withColumn("bucket", F.pmod(F.xxhash64("document_id"), F.lit(64)))
-    k = F.row_number().over(W.partitionBy("bucket").orderBy(*name_order())) - 1
-    return buckets.withColumn("shard", F.concat_ws("-", "bucket", F.floor(k / size)))
+
+def like_escaped(text: Column) -> Column:
+    """A text as a literal part of a LIKE pattern, with a backslash before `\\`, `%` and `_`."""
+    return F.regexp_replace(text, r"([\\%_])", r"\\$1")
 
 
 def merge_candidates(candidates: DataFrame) -> DataFrame:
@@ -140,12 +168,23 @@ def semantic_proxies(descriptions: DataFrame, nodes: DataFrame, summaries: DataF
     return descriptions.join(rows.select("document_id", F.array_join(texts, " ").alias("summary"), keys.alias("keywords")), "document_id", "left")
 
 
+def preference_order() -> list[Column]:
+    scope = F.when(F.col("scope") == "user", 0).when(F.col("scope") == "tenant", 1).when(F.col("scope") == "domain_rule", 2).otherwise(3)
+    return [F.desc("score"), F.desc("priority"), scope, F.col("preference_id")]
+
+
 def select_preferences(snippets: DataFrame, query: str, limit: int = 4) -> DataFrame:
     """Snippets that match the query, by score, priority, scope and id."""
     own, whole = T.tokens(F.col("text")), T.normalize(F.lit(query))
     score = T.overlap(own, T.tokens(F.lit(query))) + F.when((whole != "") & F.contains(T.normalize(F.col("text")), whole), 0.5).otherwise(0.0)
-    scope = F.when(F.col("scope") == "user", 0).when(F.col("scope") == "tenant", 1).when(F.col("scope") == "domain_rule", 2).otherwise(3)
-    return snippets.withColumn("score", score).where("score > 0").orderBy(F.desc("score"), F.desc("priority"), scope, "preference_id").limit(limit)
+    return snippets.withColumn("score", score).where("score > 0").orderBy(*preference_order()).limit(limit)
+
+
+def applied_preferences(snippets: DataFrame, nodes: DataFrame, selected: DataFrame) -> DataFrame:
+    """query_id, preference_id of the snippets (query_id, preference_id, text) that add to any selected node (query_id, document_id, node_id)."""
+    text = F.concat_ws(" ", "title", "node_summary", F.array_join("keywords", " "))
+    chosen = selected.join(nodes.select("document_id", "node_id", "title", F.coalesce("summary", F.lit("")).alias("node_summary"), "keywords"), ["document_id", "node_id"])
+    return chosen.join(snippets.select("query_id", "preference_id", F.col("text").alias("snippet")), "query_id").where(preference_bonus(text, F.col("snippet")) > 0).select("query_id", "preference_id").distinct()
 
 
 def preference_bonus(node_text: Column, snippet: Column) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafgrove.functions import text as T
+from leafgrove.sources.store import checkpointed
 
 
 def document_order(prefix: str = "") -> Column:
@@ -116,25 +119,29 @@ def chunks(page_counts: DataFrame, size: int = 10, overlap: int = 2) -> DataFram
 
 
 def closure(nodes: DataFrame) -> DataFrame:
-    """ancestor_id, node_id of every node and its ancestors, itself included: the paths' prefixes are joined, no recursion needed."""
+    """ancestor_id, node_id of every node with itself and with the nodes whose path its own strictly extends.
+
+    The paths' prefixes are joined, no recursion needed. Two sections of one path are no ancestors of each other.
+    """
     up = nodes.select("document_id", F.col("node_id").alias("ancestor_id"), F.col("path").alias("p"))
-    own = nodes.select("document_id", "node_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda k: F.slice("path", F.lit(1), k))).alias("p"))
-    return own.join(up, ["document_id", "p"]).select("document_id", "ancestor_id", "node_id")
+    own = nodes.where(F.size("path") > 1).select("document_id", "node_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda k: F.slice("path", F.lit(1), k))).alias("p"))
+    return nodes.select("document_id", F.col("node_id").alias("ancestor_id"), "node_id").unionByName(own.join(up, ["document_id", "p"]).select("document_id", "ancestor_id", "node_id"))
 
 
 def closure_by_parent(nodes: DataFrame) -> DataFrame:
-    """As closure, along parent links, for trees without unique paths: a recursive query."""
-    nodes.select("document_id", "node_id", "parent_id").createOrReplaceTempView("_closure_nodes")
-    return nodes.sparkSession.sql("""
-        WITH RECURSIVE r(document_id, ancestor_id, node_id) AS (
-          SELECT document_id, node_id, node_id FROM _closure_nodes
-          UNION ALL SELECT r.document_id, r.ancestor_id, n.node_id FROM r JOIN _closure_nodes n ON n.document_id = r.document_id AND n.parent_id = r.node_id)
-        SELECT * FROM r""")
+    """As closure, along parent links, for trees without unique paths: one join for each step up, until no node has one."""
+    links = nodes.where("parent_id is not null").select("document_id", F.col("node_id").alias("ancestor_id"), "parent_id")
+    at = checkpointed(nodes.select("document_id", F.col("node_id").alias("ancestor_id"), "node_id"))
+    rows = [at]
+    while not at.isEmpty():
+        at = checkpointed(at.join(links, ["document_id", "ancestor_id"]).select("document_id", F.col("parent_id").alias("ancestor_id"), "node_id"))
+        rows.append(at)
+    return reduce(DataFrame.union, rows)
 
 
 def preorder(nodes: DataFrame) -> DataFrame:
     """Nodes with their place in a pre-order walk: an ancestor's order keys come before its descendants'."""
-    keyed = closure(nodes).join(nodes.select("document_id", F.col("node_id").alias("ancestor_id"), F.struct("start_page", "end_page", F.col("path")[F.size("path") - 1].alias("t"), F.col("node_id").alias("i")).alias("k"), F.col("level").alias("depth")), ["document_id", "ancestor_id"])
+    keyed = closure_by_parent(nodes).join(nodes.select("document_id", F.col("node_id").alias("ancestor_id"), F.struct("start_page", "end_page", F.col("path")[F.size("path") - 1].alias("t"), F.col("node_id").alias("i")).alias("k"), F.col("level").alias("depth")), ["document_id", "ancestor_id"])
     walks = keyed.groupBy("document_id", "node_id").agg(F.array_sort(F.collect_list(F.struct("depth", "k"))).alias("walk"))
     order = W.partitionBy("document_id").orderBy(F.transform("walk", lambda x: x["k"]))
     return nodes.join(walks, ["document_id", "node_id"]).withColumn("preorder", F.row_number().over(order) - 1).drop("walk")
@@ -201,19 +208,91 @@ def summarize(nodes: DataFrame, texts: DataFrame, summarizer, min_words: int = 1
     """Bottom-up summaries, one round for each level, deepest first.
 
     A leaf below min_words words is its own summary; other leaves and all parents (own text and children's summaries)
-    go through summarizer(DataFrame of document_id, node_id, text) -> same with summary.
+    go through summarizer(DataFrame of document_id, node_id, text) -> same with summary. Each round is cut before the
+    next reads it, so a node is asked for once, and what its parent sees is what is returned.
     """
     levels = sorted((r[0] for r in nodes.select("level").distinct().collect()), reverse=True)
-    done = None
+    done: list[DataFrame] = []
     inner = nodes.select("document_id", F.col("parent_id").alias("node_id")).where("node_id is not null").distinct().withColumn("inner", F.lit(True))
     rows = nodes.join(texts.select("document_id", "node_id", "text"), ["document_id", "node_id"], "left").join(inner, ["document_id", "node_id"], "left")
     for level in levels:
         now = rows.where(F.col("level") == level)
-        if done is not None:
-            kids = done.join(nodes.select("document_id", "node_id", "parent_id", "start_page"), ["document_id", "node_id"]).groupBy("document_id", F.col("parent_id").alias("node_id")).agg(F.array_sort(F.collect_list(F.struct("start_page", "node_id", "summary"))).alias("k"))
+        if done:
+            kids = reduce(DataFrame.unionByName, done).join(nodes.select("document_id", "node_id", "parent_id", "start_page"), ["document_id", "node_id"]).groupBy("document_id", F.col("parent_id").alias("node_id")).agg(F.array_sort(F.collect_list(F.struct("start_page", "node_id", "summary"))).alias("k"))
             now = now.join(kids, ["document_id", "node_id"], "left").withColumn("text", F.concat_ws("\n", "text", F.array_join(F.transform("k", lambda x: x["summary"]), "\n"))).drop("k")
         short = F.col("inner").isNull() & (T.word_count(F.coalesce("text", F.lit(""))) < min_words)
         raw = now.where(short).select("document_id", "node_id", F.coalesce(F.nullif(F.trim("text"), F.lit("")), "title").alias("summary"), F.lit("passthrough").alias("summary_method"))
         asked = summarizer(now.where(~short).select("document_id", "node_id", "text")).select("document_id", "node_id", "summary", F.lit("model").alias("summary_method"))
-        done = raw.unionByName(asked) if done is None else done.unionByName(raw).unionByName(asked)
-    return done
+        done.append(checkpointed(raw.unionByName(asked)))
+    return reduce(DataFrame.unionByName, done)
+
+
+def prefix_text(nodes: DataFrame, pages: DataFrame) -> DataFrame:
+    """Text of each parent's pages from its start to its first child's start, both included."""
+    first = nodes.where("parent_id is not null").groupBy("document_id", F.col("parent_id").alias("node_id")).agg(F.min("start_page").alias("first"))
+    spans = nodes.join(first, ["document_id", "node_id"]).select("document_id", "node_id", "start_page", F.greatest("start_page", "first").alias("end_page"))
+    return span_text(spans, pages, ["node_id"])
+
+
+def _as_nodes(rows: DataFrame, origin: str, confidence: float) -> DataFrame:
+    """Nodes of ordered entries (ord, level, title, start_page, end_page) with path, id and parent."""
+    ident = T.node_id(F.col("document_id"), F.col("path"), F.col("level"), F.col("start_page"), F.lit(0), F.lit(1), F.col("start_page"))
+    out = parents_by_path(with_paths(rows).withColumn("node_id", ident))
+    return out.select("document_id", "node_id", "parent_id", "ord", "path", "level", "title", T.key_of(F.col("title")).alias("normalized_title"), "start_page", "end_page", F.lit(origin).alias("origin"), F.lit(confidence).alias("confidence"))
+
+
+def from_outline(entries: DataFrame, page_counts: DataFrame) -> DataFrame:
+    """Trees from outlines (document_id, ord, level, title, page_index); a document without entries is one `Document Root`."""
+    order = W.partitionBy("document_id").orderBy("page_index", "level", "title", "ord")
+    spans = lead_spans(entries, page_counts).withColumn("ord", F.row_number().over(order)).select("document_id", "ord", "level", "title", "start_page", "end_page")
+    bare = page_counts.join(entries.where("page_index is not null").select("document_id").distinct(), "document_id", "left_anti")
+    lone = bare.select("document_id", F.lit(1).alias("ord"), F.lit(1).alias("level"), F.lit("Document Root").alias("title"), F.lit(0).alias("start_page"), F.greatest(F.lit(0), F.col("page_count") - 1).alias("end_page"))
+    return _as_nodes(spans, "outline", 0.7).unionByName(_as_nodes(lone, "inferred", 0.5))
+
+
+def from_responses(responses: DataFrame, page_counts: DataFrame) -> DataFrame:
+    """Trees from a model's answers (document_id, ord, level, title, start_page, end_page); pages are clamped to the document."""
+    last = F.col("page_count") - 1
+    rows = responses.join(page_counts, "document_id").select("document_id", "ord", "level", "title", F.least("start_page", last).alias("start_page"), F.least("end_page", last).alias("end_page"))
+    return _as_nodes(rows, "llm_synthesized", 0.8)
+
+
+def synthesize_chunked(pages: DataFrame, page_counts: DataFrame, ask_chunk, ask_merge, size: int = 10, overlap: int = 2) -> DataFrame:
+    """Trees of long documents: every chunk of pages is asked about, then once a document what the chunks said is merged.
+
+    ask_chunk(document_id, chunk, start_page, end_page, text) and ask_merge(document_id, total_pages, chunks) map
+    DataFrames; both add an array `nodes` of (level, title, start_page, end_page). Chunks know nothing of each other.
+    """
+    spans = chunks(page_counts, size, overlap)
+    texts = span_text(spans.select("document_id", "chunk", "start_page", "end_page"), pages, ["chunk"])
+    said = checkpointed(ask_chunk(spans.select("document_id", "chunk", "start_page", "end_page").join(texts, ["document_id", "chunk"])).select("document_id", "chunk", "start_page", "end_page", "nodes"))
+    asked = said.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "start_page", "end_page", "nodes"))).alias("chunks")).join(page_counts.select("document_id", F.col("page_count").alias("total_pages")), "document_id")
+    merged = ask_merge(asked).select("document_id", F.posexplode("nodes").alias("ord", "n")).select("document_id", "ord", "n.*")
+    return from_responses(merged, page_counts)
+
+
+def build(entries: DataFrame, page_counts: DataFrame, pages: DataFrame | None = None, ask=None, ask_chunk=None, ask_merge=None, chunk_pages: int = 15) -> DataFrame:
+    """Trees of all documents: without a model from outlines; else short documents in one call, those of chunk_pages or more by chunks."""
+    if ask is None:
+        return from_outline(entries, page_counts)
+    short, long = page_counts.where(F.col("page_count") < chunk_pages), page_counts.where(F.col("page_count") >= chunk_pages)
+    whole = span_text(short.select("document_id", F.lit(0).alias("start_page"), (F.col("page_count") - 1).alias("end_page")), pages, [])
+    answers = ask(whole).select("document_id", F.posexplode("nodes").alias("ord", "n")).select("document_id", "ord", "n.*")
+    return from_responses(answers, short).unionByName(synthesize_chunked(pages, long, ask_chunk or ask, ask_merge))
+
+
+def flatten_outline(outlines: DataFrame) -> DataFrame:
+    """Entries of nested outlines. outlines: document_id, ord, depth of nesting (0 at the top), title, page (0-based or null)."""
+    return outlines.select("document_id", "ord", (F.col("depth") + 1).alias("level"), F.trim("title").alias("title"), F.when(F.col("page") >= 0, F.col("page")).alias("page_index"))
+
+
+def node_cards(nodes: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
+    """Cards of nodes: what search and selection read. Summaries are joined where there are any."""
+    cards = nodes.select("document_id", "node_id", "parent_id", "title", "path", "level", "start_page", "end_page", F.array_distinct("path").alias("keywords"))
+    if summaries is None:
+        return cards.withColumn("summary", F.lit(None).cast("string"))
+    return cards.join(summaries.select("document_id", "node_id", "summary"), ["document_id", "node_id"], "left")
+
+
+def stable_order() -> list[Column]:
+    return [F.col("start_page"), F.col("level"), F.col("node_id")]

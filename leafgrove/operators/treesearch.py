@@ -8,6 +8,7 @@ the pair. Lineage is cut each round by checkpoint(), in the folder all executors
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -91,7 +92,7 @@ def search(nodes: DataFrame, queries: DataFrame, evidence: DataFrame | None = No
         frontier = checkpointed(frontier)
         if frontier.isEmpty():
             break
-    union = lambda parts: __import__("functools").reduce(DataFrame.unionByName, parts)
+    union = lambda parts: reduce(DataFrame.unionByName, parts)
     candidates = union([t for t, _ in ends]).select(*pair, "node_id", "score", "signal", "step").join(nodes.select("document_id", "node_id", "start_page", "end_page"), ["document_id", "node_id"])
     trace = union(picked).select(*pair, "step", "node_id", "k", "score", "signal")
     return Found(candidates, trace, union([e for _, e in ends]))

@@ -16,8 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out over all cores where its files make fewer tasks than there are; large inputs are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text")
+    return spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text"))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:

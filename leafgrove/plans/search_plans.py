@@ -37,7 +37,7 @@ def _turns(spark, d):
     """Conversations as documents: a turn is a page, its role the type of its unit."""
     kind = F.when(F.col("role") == "user", "page_text").when(F.col("turn") % 3 == 0, "table").otherwise("visual")
     t = table(spark, d, "conversations")
-    return t.groupBy("conv_id", "turn").agg(F.min("role").alias("role"), F.min("text").alias("text")).select(F.col("conv_id").alias("document_id"), F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("unit_id"), kind.alias("unit_type"), F.when(kind == "page_text", "text").otherwise(kind).alias("modality"), F.col("turn").cast("int").alias("start_page"), F.col("turn").cast("int").alias("end_page"), F.lit(None).cast("string").alias("title"), "text")
+    return t.groupBy("conv_id", "turn").agg(F.min("role").alias("role"), F.min("text").alias("text")).select(F.col("conv_id").alias("document_id"), F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("unit_id"), kind.alias("unit_type"), F.when(kind == "page_text", "text").otherwise(kind).alias("modality"), F.col("turn").cast("int").alias("start_page"), F.col("turn").cast("int").alias("end_page"), F.lit(None).cast("string").alias("title"), "text", F.col("turn").alias("ord"))
 
 
 _TURNS_SQL = """turns AS (SELECT conv_id AS document_id, conv_id || '-' || turn AS unit_id, CASE WHEN min(role) = 'user' THEN 'page_text' WHEN turn % 3 = 0 THEN 'table' ELSE 'visual' END AS unit_type, turn::INT AS start_page, turn::INT AS end_page, min(text) AS text FROM conversations GROUP BY conv_id, turn)"""
@@ -59,10 +59,13 @@ def _(spark, d):
     return search.union_units(search.node_units(own), search.summary_units(own, summaries), search.gap_units(gaps, texts)).select("document_id", "unit_id", "unit_type", "family")
 
 
-@_add("corpus_stats", f"WITH {_TURNS_SQL}, c AS (SELECT document_id, unit_type, count(*) AS n FROM turns GROUP BY 1, 2), s AS (SELECT document_id, count(*)::BIGINT AS unit_count, max(end_page)::INT AS last_page FROM turns GROUP BY 1) SELECT s.document_id, unit_count, last_page, string_agg(unit_type || ':' || n, ',' ORDER BY unit_type) AS by_type FROM s JOIN c USING (document_id) GROUP BY 1, 2, 3")
+@_add("corpus_stats", f"""
+WITH {_TURNS_SQL}, m AS (SELECT *, CASE unit_type WHEN 'page_text' THEN 'text' ELSE unit_type END AS modality FROM turns), c AS (SELECT document_id, unit_type, count(*) AS n FROM m GROUP BY 1, 2), o AS (SELECT document_id, modality, count(*) AS n FROM m GROUP BY 1, 2),
+s AS (SELECT document_id, count(*)::BIGINT AS unit_count, max(end_page)::INT AS last_page FROM turns GROUP BY 1)
+SELECT s.*, (SELECT string_agg(unit_type || ':' || n, ',' ORDER BY unit_type) FROM c WHERE c.document_id = s.document_id) AS by_type, (SELECT string_agg(modality || ':' || n, ',' ORDER BY modality) FROM o WHERE o.document_id = s.document_id) AS by_modality FROM s""")
 def _(spark, d):
-    by_type = F.array_join(F.transform(F.array_sort(F.map_entries("by_type")), lambda x: F.concat_ws(":", x["key"], x["value"].cast("string"))), ",")
-    return search.corpus_stats(_turns(spark, d)).select("document_id", "unit_count", "last_page", by_type.alias("by_type"))
+    shown = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda x: F.concat_ws(":", x["key"], x["value"].cast("string"))), ",").alias(c)
+    return search.corpus_stats(_turns(spark, d)).select("document_id", "unit_count", "last_page", shown("by_type"), shown("by_modality"))
 
 
 @_add("token_postings", f"WITH t AS (SELECT item_id, unnest(list_distinct({T.sql_tokens('text')})) AS token FROM benchmark) SELECT token, count(*)::BIGINT AS n, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS ids FROM t GROUP BY 1")
@@ -95,16 +98,62 @@ def _(spark, d):
     return own.join(search.last_pages(own), "document_id").where("start_page <= last_page and end_page >= last_page").select("document_id", "unit_id")
 
 
+_RUNG_SQL = """CASE WHEN (ps IS NULL OR on_page) AND (m = '' OR m = CASE unit_type WHEN 'page_text' THEN 'text' ELSE unit_type END) AND (ut = '' OR ut = unit_type) THEN 0
+ WHEN wv THEN CASE WHEN ps IS NULL THEN CASE WHEN unit_type = 'visual' THEN 3 END WHEN unit_type = 'visual' AND on_page THEN 1 WHEN unit_type IN ('page_text', 'table') AND on_page THEN 2 END
+ WHEN wt THEN CASE WHEN unit_type = 'table' AND on_page THEN 4 WHEN unit_type IN ('page_text', 'table') AND on_page THEN 5 WHEN unit_type = 'table' THEN 6 END
+ WHEN on_page THEN 7 WHEN ut = unit_type THEN 8 ELSE 9 END"""
+
+
 @_add("widen_ladder", f"""
-WITH {_TURNS_SQL}, plans(query_id, wv, wt, ps, pe, m) AS (VALUES (1, true, false, 1, 1, 'visual'), (2, false, true, 2, 2, 'table'), (3, false, false, 9, 9, ''), (4, false, true, NULL, NULL, 'table')),
-r AS (SELECT query_id, document_id, unit_id, CASE WHEN (ps IS NULL OR (start_page <= pe AND end_page >= ps)) AND (m = '' OR m = CASE unit_type WHEN 'page_text' THEN 'text' ELSE unit_type END) THEN 0
- WHEN wv THEN CASE WHEN unit_type = 'visual' AND start_page <= pe AND end_page >= ps THEN 1 WHEN unit_type IN ('page_text', 'table') AND start_page <= pe AND end_page >= ps THEN 2 END
- WHEN wt THEN CASE WHEN ps IS NULL THEN CASE WHEN unit_type = 'table' THEN 1 END WHEN unit_type = 'table' AND start_page <= pe AND end_page >= ps THEN 1 WHEN unit_type IN ('page_text', 'table') AND start_page <= pe AND end_page >= ps THEN 2 WHEN unit_type = 'table' THEN 3 END
- WHEN start_page <= pe AND end_page >= ps THEN 1 ELSE 3 END AS rung FROM turns, plans)
-SELECT query_id, document_id, unit_id, rung FROM (SELECT *, min(rung) OVER (PARTITION BY query_id, document_id) AS least FROM r WHERE rung IS NOT NULL) WHERE rung = least""")
+WITH {_TURNS_SQL}, plans(query_id, wv, wt, ps, pe, m, ut) AS (VALUES (1, true, false, 1, 1, 'visual', ''), (2, false, true, 2, 2, 'table', ''), (3, false, false, 9, 9, '', ''), (4, false, true, NULL, NULL, 'table', ''), (5, true, false, NULL, NULL, 'visual', ''), (6, false, false, 9, 9, '', 'table')),
+p AS (SELECT *, ps IS NOT NULL AND start_page <= pe AND end_page >= ps AS on_page FROM turns, plans), r AS (SELECT *, {_RUNG_SQL} AS rung FROM p)
+SELECT query_id, document_id, unit_id, rung, (['', {', '.join(f"'{x}'" for x in search.REASONS)}])[rung + 1] AS reason FROM (SELECT *, min(rung) OVER (PARTITION BY query_id, document_id) AS least FROM r WHERE rung IS NOT NULL) WHERE rung = least""")
+def _(spark, d):
+    plan = lambda k, visual, table_, page, kind, types=(): F.struct(F.lit(k).alias("query_id"), F.lit(visual).alias("wants_visual"), F.lit(table_).alias("wants_table"), F.lit(page).cast("int").alias("page_start"), F.lit(page).cast("int").alias("page_end"), F.array(*map(F.lit, kind)).cast("array<string>").alias("modality_filters"), F.array(*map(F.lit, types)).cast("array<string>").alias("unit_types"))
+    plans = F.array(plan(1, True, False, 1, ["visual"]), plan(2, False, True, 2, ["table"]), plan(3, False, False, 9, []), plan(4, False, True, None, ["table"]), plan(5, True, False, None, ["visual"]), plan(6, False, False, 9, [], ["table"]))
+    own = _turns(spark, d)
+    requests = own.select("document_id").distinct().select("document_id", F.explode(plans).alias("p")).select("document_id", "p.*")
+    return search.widened(own, requests).select("query_id", "document_id", "unit_id", "rung", F.coalesce("widening_reason", F.lit("")).alias("reason"))
+
+
+#: Requests of every conversation: query, and what its keyword plan holds (visual, table, last page).
+_ASKED = [(1, "What does the figure on the last page show?", True, False, True), (2, "Tabular data of the river, and stone", False, True, False), (3, "the section about it and you", False, False, False), (4, "THE last page", False, False, True), (5, "an overview of it", False, False, False)]
+_REQUESTS_SQL = f"""{_TURNS_SQL}, q(query_id, query, wv, wt, at_end, m, ut, intent) AS (VALUES {', '.join(f"({k}, '{q}', {v}, {t}, {p}, '{'visual' if v else 'table' if t else ''}', '', '{'document_summary' if 'overview' in q else 'visual' if v else 'table' if t else 'section' if 'section' in q else 'topic'}')" for k, q, v, t, p in _ASKED)}),
+ends AS (SELECT document_id, max(end_page) AS lp FROM turns GROUP BY 1), joined AS (SELECT q.*, t.*, CASE WHEN at_end THEN lp END AS ps, CASE WHEN at_end THEN lp END AS pe FROM turns t JOIN ends USING (document_id), q),
+p AS (SELECT *, ps IS NOT NULL AND start_page <= pe AND end_page >= ps AS on_page FROM joined), r AS (SELECT *, {_RUNG_SQL} AS rung FROM p),
+kept AS (SELECT * FROM r WHERE rung IS NOT NULL QUALIFY rung = min(rung) OVER (PARTITION BY query_id, document_id)),
+scored AS (SELECT *, 2.0::DOUBLE * len(list_intersect(list_distinct({T.sql_tokens('text')}), list_distinct({T.sql_tokens('query')}))) AS score FROM kept),
+hits AS (SELECT *, row_number() OVER (PARTITION BY query_id, document_id ORDER BY score DESC, start_page, unit_id)::BIGINT AS rank FROM scored QUALIFY rank <= 5)"""
+
+
+def _requests(spark, d):
+    asked = F.array(*(F.struct(F.lit(k).alias("query_id"), F.lit(q).alias("query")) for k, q, *_ in _ASKED))
+    return _turns(spark, d).select("document_id").distinct().select("document_id", F.explode(asked).alias("a")).select("document_id", "a.*")
+
+
+@_add("search_orchestrated", f"WITH {_REQUESTS_SQL} SELECT query_id, document_id, unit_id, score, rank, (['', {', '.join(f"'{x}'" for x in search.REASONS)}])[rung + 1] AS reason FROM hits")
 def _(spark, d):
-    plans = spark.createDataFrame([(1, True, False, 1, 1, ["visual"]), (2, False, True, 2, 2, ["table"]), (3, False, False, 9, 9, []), (4, False, True, None, None, ["table"])], "query_id int, wants_visual boolean, wants_table boolean, page_start int, page_end int, modality_filters array<string>")
-    return search.widened(_turns(spark, d), plans).select("query_id", "document_id", "unit_id", "rung")
+    own = search.orchestrate(_turns(spark, d), _requests(spark, d), 5)
+    return own.select("query_id", "document_id", "unit_id", "score", F.col("rank").cast("long").alias("rank"), F.coalesce("widening_reason", F.lit("")).alias("reason"))
+
+
+@_add("qa_answers", f"""
+WITH {_REQUESTS_SQL}, lined AS (SELECT query_id, document_id, unit_id, trim(x) AS line, k, len(list_intersect(list_distinct({T.sql_tokens('x')}), list_distinct({T.sql_tokens('query')}))) AS n FROM (SELECT *, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM hits) WHERE trim(x) <> ''),
+ex AS (SELECT query_id, document_id, unit_id, substr(line, 1, 280) AS excerpt FROM lined QUALIFY row_number() OVER (PARTITION BY query_id, document_id, unit_id ORDER BY n DESC, k) = 1),
+h AS (SELECT hits.*, excerpt, unit_type IN ('page_text', 'table') AS auth FROM hits LEFT JOIN ex USING (query_id, document_id, unit_id)),
+pref AS (SELECT *, CASE WHEN wt THEN unit_type = 'table' ELSE unit_type = 'page_text' END AS one FROM (SELECT * FROM h QUALIFY auth OR NOT bool_or(auth) OVER (PARTITION BY query_id, document_id))),
+g AS (SELECT *, coalesce(nullif({T.sql_normalize("coalesce(excerpt, '')")}, ''), unit_id) AS key FROM pref QUALIFY one OR NOT bool_or(one) OVER (PARTITION BY query_id, document_id)),
+grounded AS (SELECT query_id, document_id, least(3, count(DISTINCT key)) AS n FROM g GROUP BY 1, 2),
+a AS (SELECT query_id, document_id, any_value(intent) AS intent, any_value(wv) AS wv, count(*) AS n_hits, bool_or(score > 0) AS lexical, bool_or(auth) AS auth, bool_or(unit_type = 'visual') AS visual FROM h GROUP BY 1, 2),
+every AS (SELECT document_id, q.query_id, q.intent FROM ends, q),
+summaries AS (SELECT document_id, bool_or(unit_type = 'page_text' AND coalesce(text, '') <> '') AS speaks FROM turns GROUP BY 1)
+SELECT e.query_id, e.document_id, e.intent, CASE WHEN e.intent = 'document_summary' THEN CASE WHEN speaks THEN 'document_summary_fallback' ELSE 'document_summary_unavailable' END
+ WHEN coalesce(n_hits, 0) = 0 THEN 'no_hits' WHEN e.intent IN ('topic', 'section', 'quote') AND NOT lexical THEN 'low_evidence'
+ WHEN e.intent = 'visual' THEN CASE WHEN visual THEN 'visual_interpretation_unavailable' ELSE 'visual_no_hits' END
+ WHEN NOT auth THEN 'interpretive_fallback' WHEN n = 1 THEN 'authoritative_text' ELSE 'grounded_multi_excerpt' END AS answer_mode
+FROM every e LEFT JOIN a USING (query_id, document_id) LEFT JOIN grounded USING (query_id, document_id) LEFT JOIN summaries USING (document_id)""")
+def _(spark, d):
+    return qa.answers(_turns(spark, d), _requests(spark, d), k=5).select("query_id", "document_id", "intent", "answer_mode")
 
 
 _RANK_SQL = f"""b AS (SELECT doc_id, unnest(list_distinct({T.sql_tokens('text')})) AS token FROM documents), q AS (SELECT item_id AS query_id, unnest(list_distinct({T.sql_tokens('text')})) AS token FROM benchmark),
@@ -115,7 +164,7 @@ def _ranked(spark, d):
     return docs(spark, d).select("document_id", F.col("document_id").alias("unit_id"), F.col("document_id").alias("cand_ord"), F.lit(None).cast("string").alias("title"), "text")
 
 
-@_add("rank_keyword", f"WITH {_RANK_SQL} SELECT query_id, doc_id AS document_id, score FROM hits WHERE query_id % 8 = 0")
+@_add("rank_keyword", f"WITH {_RANK_SQL} SELECT query_id, doc_id AS document_id, score FROM hits")
 def _(spark, d):
     return search.rank(_ranked(spark, d), queries(spark, d)).select("query_id", "document_id", "score")
 
@@ -142,8 +191,8 @@ def _(spark, d):
 
 
 @_add("qa_excerpt", f"""
-WITH p AS (SELECT item_id AS query_id, {T.sql_tokens('text')} AS q FROM benchmark), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
-s AS (SELECT query_id, doc_id, trim(line) AS line, k, len(list_intersect(list_distinct(q), list_distinct({T.sql_tokens('line')}))) AS n FROM l JOIN p ON doc_id % 40 = query_id % 40 WHERE trim(line) <> '')
+WITH {_RANK_SQL}, top AS (SELECT query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM hits) WHERE rank <= {HITS}), p AS (SELECT item_id AS query_id, {T.sql_tokens('text')} AS q FROM benchmark), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
+s AS (SELECT query_id, doc_id, trim(line) AS line, k, len(list_intersect(list_distinct(q), list_distinct({T.sql_tokens('line')}))) AS n FROM l JOIN top USING (doc_id) JOIN p USING (query_id) WHERE trim(line) <> '')
 SELECT query_id, doc_id AS document_id, substr(line, 1, 280) AS excerpt FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY n DESC, k) AS r FROM s) WHERE r = 1""")
 def _(spark, d):
     found = search.rank(_ranked(spark, d), queries(spark, d), HITS).select("query_id", "document_id")
@@ -187,12 +236,15 @@ def _proxies(spark, d):
 
 
 def _part_queries(spark, d):
-    """Every distinct type and brand, under the least key that has it."""
-    return table(spark, d, "part").groupBy("p_type", "p_brand").agg(F.min("p_partkey").alias("query_id")).select("query_id", F.concat_ws(" ", "p_type", "p_brand", "p_brand").alias("query"))
+    """Every distinct type and brand, under the least key that has it, and the insides of every distinct word of a type, under lesser ids."""
+    part = table(spark, d, "part")
+    own = part.groupBy("p_type", "p_brand").agg(F.min("p_partkey").alias("query_id")).select("query_id", F.concat_ws(" ", "p_type", "p_brand", "p_brand").alias("query"))
+    first = F.split("p_type", " ")[0]
+    return own.unionByName(part.groupBy(first.alias("word")).agg((-1 - F.min("p_partkey")).alias("query_id")).select("query_id", F.substring("word", 2, 3).alias("query")))
 
 
 @_add("prefilter_lexical", f"""
-WITH {_PROXY_SQL}, qq AS (SELECT p_partkey AS query_id, {T.sql_normalize("p_type || ' ' || p_brand || ' ' || p_brand")} AS nq, {T.sql_tokens("p_type || ' ' || p_brand || ' ' || p_brand")} AS q FROM part WHERE p_partkey % 97 = 0),
+WITH {_PROXY_SQL}, qq AS (SELECT p_partkey AS query_id, {T.sql_normalize("p_type || ' ' || p_brand || ' ' || p_brand")} AS nq, {T.sql_tokens("p_type || ' ' || p_brand || ' ' || p_brand")} AS q FROM part WHERE p_partkey IN (SELECT min(p_partkey) FROM part GROUP BY p_type, p_brand) UNION ALL SELECT -1 - min(p_partkey), substr(lower(p_type), 2, 3), [substr(lower(p_type), 2, 3)] FROM (SELECT p_partkey, string_split(p_type, ' ')[1] AS p_type FROM part) GROUP BY p_type),
 s AS (SELECT query_id, document_id, {' + '.join(f'{w}::DOUBLE * ({_OV[c]})' for c, w in _FIELDS.items())} + CASE WHEN contains({' || chr(32) || '.join(T.sql_normalize(c) for c in _FIELDS)}, nq) THEN 0.5 ELSE 0.0 END AS score FROM x, qq)
 SELECT query_id, document_id, round(score, 9) AS score FROM s WHERE score > 0""")
 def _(spark, d):
@@ -206,14 +258,31 @@ def _(spark, d):
     return selection.description_scores(_proxies(spark, d), "LARGE brushed, large tin").select("document_id", "score")
 
 
-@_add("preference_select", """
-WITH s AS (SELECT n_nationkey AS preference_id, n_name AS text, CASE n_nationkey % 4 WHEN 0 THEN 'global' WHEN 1 THEN 'user' WHEN 2 THEN 'tenant' ELSE 'domain_rule' END AS scope, n_nationkey % 3 AS priority FROM nation), q AS (SELECT n_name AS query FROM nation ORDER BY n_nationkey LIMIT 1)
-SELECT preference_id FROM s, q WHERE lower(text) = lower(query)""")
+@_add("preference_select", f"""
+WITH s AS (SELECT p_partkey AS preference_id, p_name || ' ' || p_type AS text, CASE p_partkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE 2 END AS scope, p_partkey % 3 AS priority FROM part),
+t AS (SELECT *, {T.sql_normalize('text')} AS n FROM s), o AS (SELECT *, len(list_filter(['brushed', 'tin', 'tin'], lambda x: list_contains(string_split(n, ' '), x)))::DOUBLE / 3 + CASE WHEN contains(n, 'brushed tin tin') THEN 0.5 ELSE 0.0 END AS score FROM t)
+SELECT preference_id, row_number() OVER (ORDER BY score DESC, priority DESC, scope, preference_id)::BIGINT AS place, score FROM o WHERE score > 0 QUALIFY place <= 40""")
+def _(spark, d):
+    scope = F.when(F.col("p_partkey") % 4 == 0, "global").when(F.col("p_partkey") % 4 == 1, "user").when(F.col("p_partkey") % 4 == 2, "tenant").otherwise("domain_rule")
+    own = table(spark, d, "part").select(F.col("p_partkey").alias("preference_id"), F.concat_ws(" ", "p_name", "p_type").alias("text"), scope.alias("scope"), (F.col("p_partkey") % 3).alias("priority"))
+    best = selection.select_preferences(own, "Brushed tin, TIN!", 40)
+    return best.select("preference_id", F.row_number().over(W.orderBy(*selection.preference_order())).cast("long").alias("place"), "score")
+
+
+@_add("description_shards", f"SELECT document_id, ((row_number() OVER (ORDER BY lower(display_name), document_id) - 1) // 25)::BIGINT AS shard FROM (SELECT p_partkey AS document_id, p_name AS display_name FROM part)")
+def _(spark, d):
+    return selection.shards(_proxies(spark, d)).select("document_id", "shard")
+
+
+@_add("like_escape", "SELECT item_id, replace(replace(replace(text || '50%_a\\b', '\\', '\\\\'), '%', '\\%'), '_', '\\_') AS pattern FROM benchmark")
+def _(spark, d):
+    return table(spark, d, "benchmark").select("item_id", selection.like_escaped(F.concat("text", F.lit("50%_a\\b"))).alias("pattern"))
+
+
+@_add("unknown_node_ids", f"WITH {NODES_SQL}, c AS (SELECT r_name AS document_id, unnest([r_name, r_name || '/none', 'zz', r_name || '/none']) AS node_id FROM region) SELECT document_id, array_to_string(list_sort(list_distinct(list(node_id))), ',') AS unknown FROM c ANTI JOIN nodes USING (document_id, node_id) GROUP BY 1")
 def _(spark, d):
-    own = table(spark, d, "nation").select(F.col("n_nationkey").alias("preference_id"), F.col("n_name").alias("text"), F.when(F.col("n_nationkey") % 4 == 0, "global").when(F.col("n_nationkey") % 4 == 1, "user").when(F.col("n_nationkey") % 4 == 2, "tenant").otherwise("domain_rule").alias("scope"), (F.col("n_nationkey") % 3).alias("priority"))
-    query = table(spark, d, "nation").orderBy("n_nationkey").first()["n_name"]
-    whole = T.normalize(F.lit(query))
-    return selection.select_preferences(own, query).where(T.normalize(F.col("text")) == whole).select("preference_id")
+    claimed = table(spark, d, "region").select(F.col("r_name").alias("document_id"), F.array("r_name", F.concat("r_name", F.lit("/none")), F.lit("zz"), F.concat("r_name", F.lit("/none"))).alias("ids"))
+    return search.unknown_ids(claimed, nodes(spark, d), ["document_id"]).select("document_id", F.array_join("unknown", ",").alias("unknown"))
 
 
 @_add("best_candidates", "SELECT document_id, s AS score, r AS reason FROM (SELECT o_custkey AS document_id, max((round(o_totalprice, -3), o_orderpriority)) AS m, m[1] AS s, m[2] AS r FROM orders GROUP BY 1)")

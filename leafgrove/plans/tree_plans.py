@@ -109,17 +109,90 @@ def _(spark, d):
     return tree.top_level(nodes(spark, d)).select("document_id", "node_id")
 
 
-_CLOSURE_SQL = f"""WITH RECURSIVE {NODES_SQL}, r AS (SELECT document_id, node_id AS ancestor_id, node_id FROM nodes UNION ALL SELECT r.document_id, r.ancestor_id, n.node_id FROM r JOIN nodes n ON n.document_id = r.document_id AND n.parent_id = r.node_id) SELECT * FROM r"""
+def _twins(spark, d):
+    """The nodes, and in every region a second section of its first nation's path."""
+    own = nodes(spark, d)
+    twin = own.where("level = 2").groupBy("document_id").agg(F.min_by(F.struct("parent_id", "title", "level", "path", "start_page", "end_page"), "node_id").alias("t"))
+    return own.unionByName(twin.select("document_id", F.concat("document_id", F.lit("/twin")).alias("node_id"), "t.parent_id", "t.title", "t.level", "t.path", "t.start_page", "t.end_page"))
+
+
+_TWINS_SQL = NODES_SQL + """,
+twins AS (SELECT document_id, node_id, parent_id, path FROM nodes UNION ALL SELECT document_id, document_id || '/twin', min(parent_id), arg_min(path, node_id) FROM nodes WHERE level = 2 GROUP BY 1)"""
+
+
+@_add("tree_subtree_closure", f"WITH {_TWINS_SQL} SELECT a.document_id, a.node_id AS ancestor_id, n.node_id FROM twins a JOIN twins n ON n.document_id = a.document_id AND (n.node_id = a.node_id OR (len(n.path) > len(a.path) AND n.path[1:len(a.path)] = a.path))")
+def _(spark, d):
+    return tree.closure(_twins(spark, d)).select("document_id", "ancestor_id", "node_id")
+
+
+@_add("tree_closure_recursive", f"""WITH RECURSIVE {_TWINS_SQL}, r AS (SELECT document_id, node_id AS ancestor_id, node_id FROM twins UNION ALL SELECT r.document_id, r.ancestor_id, n.node_id FROM r JOIN twins n ON n.document_id = r.document_id AND n.parent_id = r.node_id) SELECT * FROM r""")
+def _(spark, d):
+    return tree.closure_by_parent(_twins(spark, d))
+
+
+def _entries(spark, d):
+    """Outlines of nations by their customers; of two regions' nations only, so that other documents have none."""
+    own = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).where("n_regionkey < 4")
+    return own.select(F.col("n_name").alias("document_id"), F.col("c_custkey").alias("ord"), (F.col("c_custkey") % 3 + 1).cast("int").alias("level"), F.concat(F.lit("T"), (F.col("c_custkey") % 7).cast("string")).alias("title"), (F.col("c_custkey") % 40).cast("int").alias("page_index"))
 
 
-@_add("tree_subtree_closure", _CLOSURE_SQL)
+_ENTRIES_SQL = """e AS (SELECT n_name AS document_id, c_custkey AS ord, (c_custkey % 3 + 1)::INT AS level, 'T' || c_custkey % 7 AS title, (c_custkey % 40)::INT AS page_index FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey < 4)"""
+#: Paths, ids and parents of entries x (document_id, k, level, title, start_page, end_page).
+_BUILT_SQL = f"""r AS (SELECT document_id, k, level, title, start_page, end_page, [title] AS path FROM x WHERE k = 1 UNION ALL SELECT x.document_id, x.k, x.level, x.title, x.start_page, x.end_page, list_append(r.path[1:least(len(r.path), x.level - 1)], x.title) FROM r JOIN x ON x.document_id = r.document_id AND x.k = r.k + 1),
+i AS (SELECT *, sha256(document_id || '|' || array_to_string(list_transform(path, lambda p: {T.sql_key('p')}), '|') || '|' || level || '|' || start_page || '|0|1|' || start_page) AS node_id FROM r),
+built AS (SELECT a.document_id, a.k, any_value(a.node_id) AS node_id, arg_max(b.node_id, b.k) AS parent_id, any_value(array_to_string(a.path, '/')) AS path, any_value(a.start_page) AS start_page, any_value(a.end_page) AS end_page FROM i a LEFT JOIN i b ON a.document_id = b.document_id AND len(a.path) > 1 AND b.path = a.path[1:len(a.path) - 1] AND b.k < a.k GROUP BY 1, 2)"""
+
+
+def _built(df):
+    return df.select("document_id", F.col("ord").cast("long").alias("ord"), "node_id", "parent_id", F.array_join("path", "/").alias("path"), "start_page", "end_page")
+
+
+@_add("tree_from_outline", f"""
+WITH RECURSIVE {_ENTRIES_SQL}, f AS (SELECT *, row_number() OVER w AS k, lead(page_index) OVER w AS nx FROM e WINDOW w AS (PARTITION BY document_id ORDER BY page_index, level, title, ord)),
+x AS (SELECT document_id, k, level, title, least(page_index, 29)::INT AS start_page, greatest(least(page_index, 29), least(coalesce(nx, 29), 29))::INT AS end_page FROM f UNION ALL SELECT n_name, 1, 1, 'Document Root', 0, 29 FROM nation WHERE n_name NOT IN (SELECT document_id FROM e)), {_BUILT_SQL}
+SELECT document_id, k::BIGINT AS ord, node_id, parent_id, path, start_page, end_page FROM built""")
 def _(spark, d):
-    return tree.closure(nodes(spark, d)).select("document_id", "ancestor_id", "node_id")
+    counts = table(spark, d, "nation").select(F.col("n_name").alias("document_id"), F.lit(30).alias("page_count"))
+    return _built(tree.from_outline(_entries(spark, d), counts))
+
+
+def _responses(spark, d):
+    return _entries(spark, d).select("document_id", "ord", "level", "title", F.col("page_index").alias("start_page"), (F.col("page_index") + 3).alias("end_page"))
 
 
-@_add("tree_closure_recursive", _CLOSURE_SQL)
+@_add("tree_from_responses", f"""
+WITH RECURSIVE {_ENTRIES_SQL}, x AS (SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY ord) AS k, ord, level, title, least(page_index, 29)::INT AS start_page, least(page_index + 3, 29)::INT AS end_page FROM e), {_BUILT_SQL}
+SELECT b.document_id, ord::BIGINT AS ord, node_id, parent_id, path, b.start_page, b.end_page FROM built b JOIN x USING (document_id, k)""")
 def _(spark, d):
-    return tree.closure_by_parent(nodes(spark, d))
+    counts = table(spark, d, "nation").select(F.col("n_name").alias("document_id"), F.lit(30).alias("page_count"))
+    return _built(tree.from_responses(_responses(spark, d), counts))
+
+
+@_add("tree_chunk_merge", f"""
+WITH RECURSIVE n AS (SELECT n_name AS document_id, (n_nationkey * 3 % 41)::INT AS page_count FROM nation WHERE n_nationkey * 3 % 41 > 0),
+c AS (SELECT document_id, page_count, (s // 8)::INT AS chunk, s::INT AS s, least(s + 9, page_count - 1)::INT AS e FROM (SELECT *, unnest(range(0, page_count, 8)) AS s FROM n) WHERE s = 0 OR s + 1 < page_count - 1),
+x AS (SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY chunk, part) AS k, part AS level, CASE part WHEN 1 THEN 'Part ' || chunk ELSE 'P' || s || ',P' || e END AS title, s AS start_page, e AS end_page FROM c, (VALUES (1), (2)) v(part)), {_BUILT_SQL}
+SELECT document_id, k::BIGINT - 1 AS ord, node_id, parent_id, path, start_page, end_page FROM built""")
+def _(spark, d):
+    counts = table(spark, d, "nation").select(F.col("n_name").alias("document_id"), (F.col("n_nationkey") * 3 % 41).cast("int").alias("page_count")).where("page_count > 0")
+    pages = counts.select("document_id", F.explode(F.sequence(F.lit(0), F.col("page_count") - 1)).alias("page_index")).withColumn("text", F.concat(F.lit("P"), F.col("page_index").cast("string")))
+    node = lambda level, title: F.struct(F.lit(level).alias("level"), title.alias("title"), "start_page", "end_page")
+    ends = F.concat_ws(",", F.substring_index("text", "\n", 1), F.substring_index("text", "\n", -1))
+    ask_chunk = lambda df: df.withColumn("nodes", F.array(node(1, F.concat(F.lit("Part "), F.col("chunk").cast("string"))), node(2, ends)))
+    ask_merge = lambda df: df.withColumn("nodes", F.flatten(F.transform("chunks", lambda c: c["nodes"])))
+    return _built(tree.synthesize_chunked(pages, counts, ask_chunk, ask_merge))
+
+
+@_add("tree_summaries", f"""
+WITH {NODES_SQL}, leafs AS (SELECT document_id, node_id, parent_id, CASE WHEN start_page % 2 = 0 THEN title ELSE 'm:' || '2' END AS summary, CASE WHEN start_page % 2 = 0 THEN 'passthrough' ELSE 'model' END AS summary_method, start_page FROM nodes WHERE level = 3),
+mid AS (SELECT n.document_id, n.node_id, n.parent_id, 'm:' || sum(1 + len(l.summary) - len(replace(l.summary, ' ', ''))) AS summary, 'model' AS summary_method, n.start_page FROM nodes n JOIN leafs l ON l.document_id = n.document_id AND l.parent_id = n.node_id WHERE n.level = 2 GROUP BY ALL),
+top AS (SELECT n.document_id, n.node_id, n.parent_id, 'm:' || count(*) AS summary, 'model' AS summary_method, n.start_page FROM nodes n JOIN mid m ON m.document_id = n.document_id AND m.parent_id = n.node_id WHERE n.level = 1 GROUP BY ALL)
+SELECT document_id, node_id, summary, summary_method FROM (FROM leafs UNION ALL FROM mid UNION ALL FROM top)""")
+def _(spark, d):
+    own = nodes(spark, d)
+    texts = own.where("level = 3").select("document_id", "node_id", F.when(F.col("start_page") % 2 == 0, F.lit("")).otherwise("two words").alias("text"))
+    model = lambda df: df.withColumn("summary", F.concat(F.lit("m:"), T.word_count(F.col("text")).cast("string")))
+    return tree.summarize(own, texts, model, 2)
 
 
 @_add("tree_preorder", f"WITH {NODES_SQL}, w AS (SELECT a.document_id, a.node_id, list((b.start_page, b.end_page, b.title, b.node_id) ORDER BY b.level) AS walk FROM nodes a JOIN nodes b ON a.document_id = b.document_id AND (a.node_id = b.node_id OR starts_with(a.node_id, b.node_id || '/')) GROUP BY 1, 2) SELECT document_id, node_id, row_number() OVER (PARTITION BY document_id ORDER BY walk)::BIGINT - 1 AS preorder FROM w")

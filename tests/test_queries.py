@@ -37,7 +37,8 @@ def test_same_as_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
 def test_runs(spark, name):
-    assert catalog.QUERIES[name](spark, SF).count() >= 0
+    """Their content is checked by tests of their own."""
+    assert catalog.QUERIES[name](spark, SF).count() > 0
 
 
 def test_compact_mild_keeps_wide_parents(spark, tmp_path):
@@ -97,5 +98,6 @@ def test_prefilter_of_all_types_and_brands(spark, con):
     every = "WHERE p_partkey IN (SELECT min(p_partkey) FROM part GROUP BY p_type, p_brand)"
     want = con.execute(whole_sql("prefilter_lexical", "WHERE p_partkey % 97 = 0", every)).to_arrow_table().to_pydict()
     got = catalog.QUERIES["prefilter_lexical"](spark, SF).toArrow().to_pydict()
-    assert len(set(got["query_id"])) == con.execute("SELECT count(DISTINCT (p_type, p_brand)) FROM part").fetchone()[0]
+    assert len({q for q in got["query_id"] if q >= 0}) == con.execute("SELECT count(DISTINCT (p_type, p_brand)) FROM part").fetchone()[0]
+    assert any(q < 0 for q in got["query_id"])  # queries inside of words
     assert rows(got) == rows(want)
