@@ -95,6 +95,11 @@ def release(tables: Tables) -> None:
             return
 
 
+def at_exit(tables: Tables) -> None:
+    """Tables that are deleted with the process."""
+    _process.extend(tables)
+
+
 atexit.register(release, _process)
 
 

@@ -2,13 +2,14 @@
 
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 from leafgrove.llm import toxicity  # noqa: E402
-from tests.llm.test_operators import brute_groups, brute_lines, check_pieces  # noqa: E402
+from tests.llm.test_operators import brute_groups, brute_lines  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,7 +39,26 @@ def test_stages(spark, tmp_path):
     total = {k: len(library.encode(t or "", add_special_tokens=False).ids) + 1 for k, t in texts[4].items()}
     got = {r.doc_id: (r.n, r.t) for r in pieces.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).collect()}
     assert got == {k: (n, n) for k, n in total.items()}
-    assert check_pieces
+    sequences = {}
+    for r in pieces.collect():
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in sequences.values():
+        ends = [0, *np.cumsum([n for _, n in sorted(own)])]
+        assert [at for at, _ in sorted(own)] == ends[:-1] and ends[-1] <= 2048 and ends[-1] & (ends[-1] - 1) == 0
+
+
+def test_stages_on_empty_documents(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, SF).write.parquet(f"{tmp_path}/{name}")
+        assert spark.read.parquet(f"{tmp_path}/{name}").count() == 0
+
+
+def test_run_leaves_only_its_result(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "shared_dir", lambda spark: str(tmp_path))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("a", lambda s, d, _: d.limit(3)), ("b", lambda s, d, _: d)])
+    assert corpus_pipeline.run(spark, SF).count() == 3
+    assert [p.name for p in tmp_path.glob("leafgrove/*/*")] == ["1-b"]
 
 
 @pytest.mark.parametrize("name", ["op3_url_reputation", "op8_host_quality", "op9_ngram_join", "op10_embedding_dedup"])
