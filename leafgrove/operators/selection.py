@@ -117,7 +117,8 @@ def inside(documents: DataFrame, queries: DataFrame, letters: int = 4) -> DataFr
     runs of their own length. What meets is then compared whole.
     """
     sizes = sorted(r[0] for r in queries.select(F.least(F.length("nq"), F.lit(letters)).alias("k")).distinct().collect())
-    own = F.flatten(F.array(*(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("whole") - (k - 1))), lambda i, k=k: F.substring("whole", i, F.lit(k))) for k in sizes)))
+    runs_of = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("whole") - (k - 1))), lambda i: F.substring("whole", i, F.lit(k)))
+    own = F.flatten(F.array(*map(runs_of, sizes)))
     runs = documents.where("whole <> ''").select("document_id", "whole", F.explode(F.array_distinct(own)).alias("run"))
     met = runs.join(queries.select("query_id", "nq", F.substring("nq", 1, letters).alias("run")), "run")
     return met.where(F.contains("whole", "nq")).select("query_id", "document_id").distinct()

@@ -298,7 +298,24 @@ def _(spark, d):
     return own.select("node_id", treesearch.frontier_score(F.array(*map(F.lit, ("asia", "nation", "1")))).alias("score"))
 
 
-@_add("tree_search_batch")
+def _walk_sql(name: str, own: str) -> str:
+    """One step of the walk: the frontier of each pair, capped, scored, and the nodes that it picks."""
+    ov = lambda x: f"len(list_filter(q, lambda x: list_contains({T.sql_tokens(x)}, x)))::DOUBLE / len(q)"
+    return f"""{name}_f AS (SELECT f.*, row_number() OVER (PARTITION BY query_id, document_id ORDER BY start_page, end_page, level, path, node_id) AS place FROM ({own}) f),
+{name}_s AS (SELECT *, 2.0::DOUBLE * ({ov('title')}) + 1.0 * ({ov("array_to_string(path, ' ')")}) AS score FROM {name}_f WHERE place <= 8),
+{name}_k AS (SELECT *, row_number() OVER (PARTITION BY query_id, document_id ORDER BY score DESC, place) AS k, max(score) OVER (PARTITION BY query_id, document_id) AS best, count(*) OVER (PARTITION BY query_id, document_id) AS n FROM {name}_s),
+{name} AS (SELECT * FROM {name}_k WHERE CASE WHEN best > 0 THEN k <= 2 AND score >= greatest(0.2, best * 0.5) ELSE n = 1 END)"""
+
+
+_CHILDREN_SQL = "SELECT p.query_id, p.q, n.* FROM {} p JOIN nodes n ON n.document_id = p.document_id AND n.parent_id = p.node_id"
+
+
+@_add("tree_search_batch", f"""
+WITH {NODES_SQL}, asked AS (SELECT n_nationkey AS query_id, {T.sql_tokens('n_name')} AS q FROM nation),
+{_walk_sql('one', 'SELECT query_id, q, nodes.* FROM nodes, asked WHERE parent_id IS NULL')},
+{_walk_sql('two', _CHILDREN_SQL.format('one'))},
+{_walk_sql('three', _CHILDREN_SQL.format('two'))}
+SELECT query_id, document_id, node_id, score, 'leaf' AS signal FROM three""")
 def _(spark, d):
     own = nodes(spark, d).withColumn("summary", F.lit("")).withColumn("keywords", F.col("path"))
     asked = table(spark, d, "nation").select(F.col("n_nationkey").alias("query_id"), F.col("n_name").alias("query"))

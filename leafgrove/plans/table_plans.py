@@ -59,13 +59,24 @@ def _(spark, d):
     return compaction.expand(serving.select("document_id", "serving_node_id", F.col("segment").alias("ord")), serving)
 
 
-@_add("description_sources")
+# A region's span covers those of all its sections, so no section adds a page: the widest told ones follow, in document order.
+_SOURCES_SQL = f"""{NODES_SQL},
+chosen AS (SELECT document_id, node_id, title, level, row_number() OVER (PARTITION BY document_id, least(level, 2) ORDER BY start_page, end_page, level, path, node_id) AS k FROM nodes WHERE level < 3),
+first AS (SELECT document_id, node_id, title, CASE WHEN level = 1 THEN 0 ELSE k END::INT AS place, NULL AS summary FROM chosen WHERE level = 1 OR k <= 7),
+held AS (SELECT document_id, count(*) AS n FROM first GROUP BY 1),
+told AS (SELECT document_id, node_id, title, 'About ' || title AS summary, row_number() OVER (PARTITION BY document_id ORDER BY start_page - end_page, start_page, end_page, level, path, node_id) AS k FROM nodes WHERE level = 3 AND start_page % 4 = 0),
+sources AS (FROM first UNION ALL SELECT document_id, node_id, title, (n + k - 1)::INT, summary FROM told JOIN held USING (document_id) WHERE n + k <= 8)"""
+
+
+@_add("description_sources", f"WITH {_SOURCES_SQL} SELECT document_id, place, node_id FROM sources")
 def _(spark, d):
     own = nodes(spark, d)
     return compaction.description_sources(own, _summaries(own))
 
 
-@_add("descriptions")
+@_add("descriptions", f"""
+WITH {_SOURCES_SQL}, t AS (SELECT document_id, title, min(place) AS place FROM sources GROUP BY 1, 2), j AS (SELECT document_id, string_agg(title, ', ' ORDER BY place) AS titles FROM t GROUP BY 1), f AS (SELECT document_id, arg_min(summary, place) AS summary FROM sources WHERE summary IS NOT NULL GROUP BY 1)
+SELECT document_id, concat_ws(' ', 'Sections include ' || titles || '.', summary || '.') AS description FROM j LEFT JOIN f USING (document_id)""")
 def _(spark, d):
     own = nodes(spark, d)
     return compaction.descriptions(compaction.description_sources(own, _summaries(own)), own, _summaries(own))

@@ -101,3 +101,78 @@ def test_prefilter_of_all_types_and_brands(spark, con):
     assert len({q for q in got["query_id"] if q >= 0}) == con.execute("SELECT count(DISTINCT (p_type, p_brand)) FROM part").fetchone()[0]
     assert any(q < 0 for q in got["query_id"])  # queries inside of words
     assert rows(got) == rows(want)
+
+
+@pytest.fixture(scope="module")
+def wide(tmp_path_factory):
+    """One nation of 25 customers, one of 4."""
+    path = tmp_path_factory.mktemp("wide")
+    pq.write_table(pa.table({"r_regionkey": [0], "r_name": ["R"]}), path / "region.parquet")
+    pq.write_table(pa.table({"n_nationkey": [0, 1], "n_name": ["A", "B"], "n_regionkey": [0, 0]}), path / "nation.parquet")
+    pq.write_table(pa.table({"c_custkey": range(29), "c_name": [f"c{k:03d}" for k in range(29)], "c_nationkey": [0] * 25 + [1] * 4}), path / "customer.parquet")
+    return str(path)
+
+
+def test_compacted_nodes_stand_for_their_segments(spark, wide):
+    """25 children are merged to 10; ids, titles and spans follow the segments, and expansion gives every child once, in order."""
+    from leafgrove.operators import compaction
+    from leafgrove.plans import table_plans
+    from leafgrove.plans.inputs import nodes
+
+    own = nodes(spark, wide)
+    cut = compaction.segments(compaction.importance(own, table_plans._summaries(own)), 10).collect()
+    at = {r.node_id: r for r in own.collect()}
+    want = {}
+    for r in cut:
+        want.setdefault((r.parent_id, r.segment, r.merged), []).append(at[r.node_id])
+    rows = set()
+    for (parent, segment, merged), kids in want.items():
+        kids.sort(key=lambda n: (n.start_page, n.end_page, n.level, n.path, n.node_id))
+        title = kids[0].title + (f" (+{len(kids) - 1})" if len(kids) > 1 else "")
+        rows.add((f"{parent}::compact::{segment:02d}" if merged else kids[0].node_id, title, min(n.start_page for n in kids), max(n.end_page for n in kids), ",".join(n.node_id for n in kids)))
+    got = catalog.QUERIES["compact_tree"](spark, wide).collect()
+    assert {(r.serving_node_id, r.title, r.start_page, r.end_page, r.canonical_node_ids) for r in got} == rows
+    assert sum(r.serving_node_id.startswith(("R/A/", "R/A:")) for r in got) == 10
+    mapped = catalog.QUERIES["serving_map"](spark, wide).collect()
+    assert sorted(r.node_id for r in mapped) == sorted(n for n in at if n != "R")
+    assert all(r.node_id == (",".join(ids).split(","))[r.place] for r in mapped for ids in [[x.canonical_node_ids for x in got if r.node_id in x.canonical_node_ids.split(",")]])
+
+
+def test_summaries_ask_once_for_each_node(spark):
+    from pyspark.sql import functions as F
+
+    from leafgrove.operators import tree
+
+    rows = [("d", "r", None, "R", 1, 0), ("d", "a", "r", "A", 2, 0), ("d", "b", "r", "B", 2, 1), ("d", "c", "a", "C", 3, 0)]
+    own = spark.createDataFrame(rows, "document_id string, node_id string, parent_id string, title string, level int, start_page int")
+    texts = own.select("document_id", "node_id", F.lit("some words").alias("text"))
+    asked = spark.sparkContext.accumulator(0)
+
+    def model(df):
+        def run(batches):
+            for batch in batches:
+                asked.add(len(batch))
+                yield batch.assign(summary="s:" + batch.node_id)
+
+        return df.mapInPandas(run, "document_id string, node_id string, text string, summary string")
+
+    got = {r.node_id: r.summary for r in tree.summarize(own, texts, model, 1).collect()}
+    assert got == {n: f"s:{n}" for n in "rabc"} and asked.value == 4
+
+
+def test_trees_of_short_and_long_documents(spark):
+    """Without a model outlines; with one, short documents are one call, long ones chunks and a merge."""
+    from pyspark.sql import functions as F
+
+    from leafgrove.operators import tree
+
+    counts = spark.createDataFrame([("short", 3), ("long", 18), ("bare", 2)], "document_id string, page_count int")
+    pages = counts.select("document_id", F.explode(F.sequence(F.lit(0), F.col("page_count") - 1)).alias("page_index")).withColumn("text", F.lit("x"))
+    entries = spark.createDataFrame([("short", 1, 1, "A", 0), ("short", 2, 2, "B", 1), ("long", 1, 1, "Z", None)], "document_id string, ord int, level int, title string, page_index int")
+    built = {(r.document_id, r.title): (r.start_page, r.end_page, r.origin) for r in tree.build(entries, counts).collect()}
+    assert built == {("short", "A"): (0, 1, "outline"), ("short", "B"): (1, 2, "outline"), ("long", "Document Root"): (0, 17, "inferred"), ("bare", "Document Root"): (0, 1, "inferred")}
+    node = F.struct(F.lit(1).alias("level"), F.lit("whole").alias("title"), F.lit(0).alias("start_page"), F.lit(99).alias("end_page"))
+    part = F.struct(F.lit(1).alias("level"), F.concat(F.lit("chunk "), F.col("chunk").cast("string")).alias("title"), "start_page", "end_page")
+    merge = lambda df: df.withColumn("nodes", F.flatten(F.transform("chunks", lambda c: c["nodes"])))
+    made = tree.build(entries, counts, pages, lambda df: df.withColumn("nodes", F.array(node)), lambda df: df.withColumn("nodes", F.array(part)), merge).collect()
+    assert {(r.document_id, r.title): (r.start_page, r.end_page) for r in made} == {("short", "whole"): (0, 2), ("bare", "whole"): (0, 1), ("long", "chunk 0"): (0, 9), ("long", "chunk 1"): (8, 17)}
