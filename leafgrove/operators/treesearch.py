@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafgrove.functions import text as T
-from leafgrove.operators import tree
+from leafgrove.operators import selection, tree
 from leafgrove.sources.store import checkpointed
 
 MAX_DEPTH, MAX_FRONTIER, MAX_SELECTED, PER_STEP = 4, 8, 3, 2
@@ -44,14 +44,55 @@ def frontier_score(query_tokens: Column, phrases: list[str] = (), page: tuple[in
     return score
 
 
-def sufficient(evidence: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, document_id, node_id of nodes whose direct units (node_id, title, text) overlap the query by half or more."""
+def sufficient(evidence: DataFrame, queries: DataFrame, phrases: list[str] = (), page: tuple[int, int] | None = None) -> DataFrame:
+    """query_id, document_id, node_id of nodes whose direct units (node_id, title, text) are evidence enough.
+
+    With a page filter any unit is; else one that holds a quoted phrase, has a title like one, or overlaps the query by
+    half or more. Only units that share a token with a query are looked at, but for phrases, which all queries share.
+    """
+    if page:
+        return evidence.select("document_id", "node_id").distinct().join(F.broadcast(queries.select("query_id")))
     body = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit("")))
     words = evidence.select("document_id", "node_id", "unit_id", F.explode(F.array_distinct(T.tokens(body))).alias("token"))
     asked = queries.select("query_id", F.explode(T.tokens(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
     sizes = asked.groupBy("query_id").agg(F.sum("times").alias("size"))
     hits = words.join(asked, "token").groupBy("query_id", "document_id", "node_id", "unit_id").agg(F.sum("times").alias("n")).join(sizes, "query_id")
-    return hits.where(F.col("n") >= SUFFICIENT * F.col("size")).select("query_id", "document_id", "node_id").distinct()
+    out = hits.where(F.col("n") >= SUFFICIENT * F.col("size")).select("query_id", "document_id", "node_id").distinct()
+    if phrases:
+        quoted = reduce(lambda a, b: a | b, (F.contains(T.normalize(body), T.normalize(F.lit(p))) for p in phrases))
+        told = evidence.where(quoted).select("document_id", "node_id").distinct().join(F.broadcast(queries.select("query_id")))
+        out = out.unionByName(told.select(*out.columns)).distinct()
+    return out
+
+
+def preference_bonuses(nodes: DataFrame, queries: DataFrame, snippets: DataFrame, limit: int = 4) -> DataFrame:
+    """query_id, document_id, node_id, bonus: the greatest that one of the query's own snippets (preference_id, text, scope, priority) gives.
+
+    A snippet counts for a query, and for a node, only if they share a token, so both are joins on tokens.
+    """
+    own = snippets.select("preference_id", "text", "scope", "priority", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token"))
+    asked = queries.select("query_id", "query", F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("token"))
+    met = own.join(asked, "token").select("query_id", "query", "preference_id", "text", "scope", "priority").distinct()
+    whole = T.normalize(F.col("query"))
+    score = T.overlap(T.tokens(F.col("text")), T.tokens(F.col("query"))) + F.when(F.contains(T.normalize(F.col("text")), whole), 0.5).otherwise(0.0)
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(*selection.preference_order()))
+    chosen = met.withColumn("score", score).withColumn("place", place).where(F.col("place") <= limit).select("query_id", F.col("text").alias("snippet"))
+    body = F.concat_ws(" ", "title", F.coalesce("summary", F.lit("")), F.array_join("keywords", " "))
+    known = nodes.select("document_id", "node_id", body.alias("body"))
+    words = known.withColumn("token", F.explode(F.array_distinct(T.tokens(F.col("body")))))
+    pairs = words.join(chosen.withColumn("token", F.explode(F.array_distinct(T.tokens(F.col("snippet"))))), "token").select("query_id", "document_id", "node_id", "body", "snippet").distinct()
+    return pairs.groupBy("query_id", "document_id", "node_id").agg(F.max(selection.preference_bonus(F.col("body"), F.col("snippet"))).alias("bonus"))
+
+
+def search_preferred(nodes: DataFrame, queries: DataFrame, snippets: DataFrame, **settings) -> Found:
+    """search() with preferences; pairs that it leaves without a node are walked again without them."""
+    first = search(nodes, queries, bonus=checkpointed(preference_bonuses(nodes, queries, snippets)), **settings)
+    pair = ["query_id", "document_id"]
+    held = checkpointed(first.candidates)
+    base = search(nodes, queries, **settings)
+    again = base.candidates.join(held.select(*pair).distinct(), pair, "left_anti")
+    final = first.final.join(again.select(*pair).distinct(), pair, "left_anti").unionByName(base.final.join(again.select(*pair).distinct(), pair, "left_semi"))
+    return Found(held.unionByName(again), first.trace.unionByName(base.trace.join(again.select(*pair).distinct(), pair, "left_semi")), final)
 
 
 def search(nodes: DataFrame, queries: DataFrame, evidence: DataFrame | None = None, score=frontier_score, max_depth: int = MAX_DEPTH, max_frontier: int = MAX_FRONTIER, max_selected: int = MAX_SELECTED, bonus: DataFrame | None = None) -> Found:

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafgrove.functions import text as T
-from leafgrove.operators import ingest, qa, search, selection, tree, treesearch
+from leafgrove.operators import ingest, planning, qa, search, selection, tree, treesearch
 from leafgrove.plans.inputs import NODES_SQL, PAGES_SQL, docs, lines, nodes, queries, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -333,3 +333,49 @@ SELECT document_id, unit_id, row_number() OVER (PARTITION BY document_id ORDER B
 def _(spark, d):
     hits = _turns(spark, d).withColumn("query_id", F.lit(1)).withColumn("score", (F.length("text") % 17).cast("double")).withColumn("excerpt", F.col("text")).withColumn("cand_ord", F.struct("start_page", "unit_id"))
     return qa.grounding(hits).select("document_id", "unit_id", F.col("place").cast("long").alias("place"))
+
+
+def _scripted():
+    """A client whose answers are rules of the payload, in place of a model."""
+    import json
+
+    def client(operation, payload):
+        p = json.loads(payload)
+        if operation == "query_planning":
+            if "figure" in p["query"]:
+                return "no JSON"
+            return json.dumps({"intent": "table" if "river" in p["query"] else "page", "page_start": 1, "page_end": 0, "modality_filters": ["table"] if "river" in p["query"] else []})
+        if operation == "retrieval_ranking":
+            return json.dumps({"scores": [{"unit_id": c["unit_id"], "score": len(c["text"]) % 10 / 10} for c in p["candidates"]] + [{"unit_id": "unknown", "score": 1.0}]})
+        return json.dumps({"selected": [{"document_id": str(x["document_id"]), "score": 0.5, "reason": "named"} for x in p["documents"] if p["query"] in x["description"]] + [{"document_id": "none", "score": 1.0, "reason": ""}]})
+
+    return client
+
+
+@_add("model_plans", f"""WITH {_REQUESTS_SQL}, every AS (SELECT document_id, lp, q.* FROM ends, q)
+SELECT query_id, document_id, CASE WHEN wv THEN intent WHEN wt THEN 'table' ELSE 'page' END AS intent, CASE WHEN wv THEN lp ELSE 1 END::INT AS page_start, CASE WHEN wv THEN lp ELSE 1 END::INT AS page_end, CASE WHEN wv THEN 'visual' WHEN wt THEN 'table' ELSE '' END AS modality_filters FROM every""")
+def _(spark, d):
+    return planning.plans(_turns(spark, d), _requests(spark, d), _scripted).select("query_id", "document_id", "intent", "page_start", "page_end", F.array_join("modality_filters", ",").alias("modality_filters"))
+
+
+@_add("model_ranks", f"""WITH {_TURNS_SQL} SELECT document_id, unit_id, (length(text[1:500]) % 10)::DOUBLE / 10 AS score, row_number() OVER (PARTITION BY document_id ORDER BY length(text[1:500]) % 10 DESC, start_page, end_page, unit_id)::BIGINT AS rank FROM turns QUALIFY rank <= 3""")
+def _(spark, d):
+    own = _turns(spark, d).withColumns({"query_id": F.lit(1), "query": F.lit("any")})
+    return planning.rank_by_model(own, _scripted, 3).select("document_id", "unit_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@_add("model_descriptions", f"WITH {_PROXY_SQL} SELECT q.id AS query_id, document_id::VARCHAR AS document_id, 0.5::DOUBLE AS score FROM x JOIN (VALUES (1, 'BRUSHED'), (2, 'TIN')) q(id, query) ON contains(description, query)")
+def _(spark, d):
+    asked = spark.createDataFrame([(1, "BRUSHED"), (2, "TIN")], "query_id int, query string")
+    return planning.select_by_description(_proxies(spark, d), asked, _scripted).select("query_id", "document_id", "score")
+
+
+@_add("usage_totals", "SELECT o_custkey AS k, sum(CASE WHEN o_orderkey % 3 > 0 THEN o_custkey % 7 + 1 END)::BIGINT AS prompt_tokens, sum(CASE WHEN o_orderkey % 2 > 0 THEN 2 END)::BIGINT AS completion_tokens, NULL::BIGINT AS total_tokens FROM orders GROUP BY 1")
+def _(spark, d):
+    calls = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_custkey") % 7 + 1).cast("long").alias("prompt_tokens"), F.when(F.col("o_orderkey") % 2 > 0, 2).cast("long").alias("completion_tokens"), F.lit(None).cast("long").alias("total_tokens"))
+    return planning.usage_totals(calls, ["k"])
+
+
+@_add("image_data_urls", "SELECT item_id, 'data:image/png;base64,' || to_base64(encode(text)) AS url FROM benchmark")
+def _(spark, d):
+    return table(spark, d, "benchmark").select("item_id", planning.data_url(F.lit("image/png"), F.encode("text", "UTF-8")).alias("url"))

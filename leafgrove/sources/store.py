@@ -57,6 +57,43 @@ def upsert(old: DataFrame | None, new: DataFrame, key: list[str], version: str)
     return both.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
 
 
+def artifacts(df: DataFrame, run_type: str, run_id: str, document_id: str = "document_id", path: str = "path") -> DataFrame:
+    """Artifact rows (run_type, run_id, document_id, path, kind, content) of rows with a content column of text, bytes or a struct."""
+    kind = df.schema["content"].dataType.typeName()
+    content = F.to_json("content") if kind == "struct" else F.base64("content") if kind == "binary" else F.col("content").cast("string")
+    name = "json" if kind == "struct" else "binary" if kind == "binary" else "text"
+    return df.select(F.lit(run_type).alias("run_type"), F.lit(run_id).alias("run_id"), F.col(document_id).cast("string").alias("document_id"), F.col(path).alias("path"), F.lit(name).alias("kind"), content.alias("content"))
+
+
+def artifact(table: DataFrame, run_type: str, run_id: str, document_id: str, path: str) -> DataFrame:
+    """The artifact of a key: at most one row; the key's parts reach the scan."""
+    return table.where((F.col("run_type") == run_type) & (F.col("run_id") == run_id) & (F.col("document_id") == document_id) & (F.col("path") == path))
+
+
+def write_keyed(new: DataFrame, folder: str, key: list[str], version: str) -> DataFrame:
+    """A keyed table in a folder of generations: upserts new and returns the table.
+
+    Each call writes a new generation beside the last; readers take the latest that is complete, so a call that breaks
+    off, or is repeated, changes nothing that others see.
+    """
+    spark = new.sparkSession
+    last = _generation(spark, folder)
+    table = upsert(None if last is None else spark.read.parquet(f"{folder}/{last:06d}"), new, key, version)
+    table.write.parquet(f"{folder}/{0 if last is None else last + 1:06d}")
+    return read_keyed(spark, folder)
+
+
+def read_keyed(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{_generation(spark, folder):06d}")
+
+
+def _generation(spark: SparkSession, folder: str) -> int | None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/*/_SUCCESS")) if fs.exists(path) else []
+    return max((int(f.getPath().getParent().getName()) for f in done), default=None)
+
+
 def merge_catalog(old: DataFrame, new: DataFrame, key: str = "document_id") -> DataFrame:
     """Catalog entries of both sides; what the new side leaves null keeps its old value."""
     fresh = new.select(F.col(key), *(F.col(c).alias(f"_{c}") for c in new.columns if c != key))

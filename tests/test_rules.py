@@ -193,3 +193,77 @@ def test_event_stream_is_idempotent(spark, tmp_path):
     seen = []
     events.upsert_log(events.read_log(spark, source, schema), lambda batch, epoch: seen.append(batch.count()), f"{tmp_path}/check2").awaitTermination()
     assert seen == [3]
+
+
+def test_keyed_tables_in_a_folder(spark, tmp_path):
+    """Upserts are generations: repeating one changes nothing, one that broke off is not seen."""
+    from leafgrove.sources import store
+
+    rows = lambda *x: spark.createDataFrame(list(x), "id int, v int, text string")
+    folder = str(tmp_path / "keyed")
+    store.write_keyed(rows((1, 1, "a"), (2, 1, "b")), folder, ["id"], "v")
+    for _ in range(2):
+        got = store.write_keyed(rows((2, 2, "c"), (3, 1, "d"), (1, 0, "old")), folder, ["id"], "v")
+        assert sorted(map(tuple, got.collect())) == [(1, 1, "a"), (2, 2, "c"), (3, 1, "d")]
+    (tmp_path / "keyed" / "000009").mkdir()
+    assert store.read_keyed(spark, folder).count() == 3
+    made = store.artifacts(spark.createDataFrame([("d", "p.txt", "x"), ("d", "q.txt", "y")], "document_id string, path string, content string"), "tree", "r1")
+    assert [(r.kind, r.content) for r in store.artifact(made, "tree", "r1", "d", "q.txt").collect()] == [("text", "y")]
+    assert store.artifact(made, "tree", "r2", "d", "q.txt").count() == 0
+
+
+def test_errors_are_translated():
+    import pytest
+
+    from leafgrove import errors
+
+    for raised, kind in ((FileNotFoundError("x"), errors.NotFoundError), (OSError("x"), errors.SourceError), (ValueError("run a/b exists with another identity"), errors.ConflictError), (ValueError("x"), errors.RequestError)):
+        with pytest.raises(kind) as found, errors.translated("reading"):
+            raise raised
+        assert found.value.__cause__ is raised
+
+
+def test_metadata_clauses_of_a_model(spark):
+    """Unknown fields and operators are left out; a failed call gives no clauses."""
+    import json
+
+    from leafgrove.operators import planning
+
+    def client():
+        said = {"clauses": [{"field": "lang", "operator": "eq", "value": "de"}, {"field": "zz", "operator": "eq", "value": "1"}, {"field": "lang", "operator": "like", "value": "1"}]}
+        return lambda operation, payload: json.dumps(said) if json.loads(payload)["query"] == "good" else "[]"
+
+    asked = spark.createDataFrame([(1, "good"), (2, "bad")], "query_id int, query string")
+    assert [tuple(r) for r in planning.metadata_clauses(asked, ["lang", "source"], client).collect()] == [(1, "lang", "eq", "de")]
+
+
+def test_words_without_stop_words(spark):
+    from pyspark.sql import functions as F
+
+    from leafgrove.functions import text as T
+
+    row = spark.range(1).select(T.tokens(F.lit("The river, AND the stone"), ["the", "and"]).alias("a"), T.tokens(F.lit("ﬁne Straße ς\x1cİ")).alias("b"), T.collapse(F.lit(" a \t b ")).alias("c")).first()
+    assert row.a == ["river", "stone"] and row.b == "ﬁne Straße ς İ".casefold().split() and row.c == "a b"
+
+
+def test_evidence_and_preferences(spark):
+    """Page filters, phrases and overlap make evidence; preferences lift a node, and pairs without one are walked without them."""
+    from leafgrove.operators import treesearch
+
+    evidence = spark.createDataFrame([("d", "a", "u1", "Title", "green river stones"), ("d", "b", "u2", None, "nothing here"), ("d", "c", "u3", "Old bridge", "x")], "document_id string, node_id string, unit_id string, title string, text string")
+    queries = spark.createDataFrame([(1, "river stones"), (2, "the quick brown fox")], "query_id int, query string")
+    found = lambda **k: {tuple(r) for r in treesearch.sufficient(evidence, queries, **k).select("query_id", "node_id").collect()}
+    assert found() == {(1, "a")}
+    assert found(phrases=["OLD bridge"]) == {(1, "a"), (1, "c"), (2, "c")}
+    assert found(page=(0, 1)) == {(q, n) for q in (1, 2) for n in "abc"}
+    rows = [("d", "r", None, "Root", 1, ["Root"], 0, 9), ("d", "x", "r", "Rivers", 2, ["Root", "Rivers"], 0, 4), ("d", "y", "r", "Stones", 2, ["Root", "Stones"], 5, 9)]
+    from pyspark.sql import functions as F
+
+    nodes = spark.createDataFrame(rows, "document_id string, node_id string, parent_id string, title string, level int, path array<string>, start_page int, end_page int").withColumns({"summary": F.lit(""), "keywords": F.col("path")})
+    asked = spark.createDataFrame([(1, "rivers stones")], "query_id int, query string")
+    snippets = spark.createDataFrame([(7, "stones", "user", 1), (8, "unrelated", "user", 9)], "preference_id int, text string, scope string, priority int")
+    bonus = {r.node_id: r.bonus for r in treesearch.preference_bonuses(nodes, asked, snippets).collect()}
+    assert bonus == {"y": 0.75}
+    best = treesearch.search_preferred(nodes, asked, snippets).candidates.orderBy(F.desc("score")).collect()
+    assert [(r.node_id, r.score) for r in best] == [("y", 2.25), ("x", 1.5)]
+    assert treesearch.search_preferred(nodes, asked, snippets.limit(0)).candidates.count() == 2
