@@ -229,9 +229,24 @@ def _fits(per_cent: int) -> Column:
     return 100 * F.least("size", "other") >= per_cent * F.greatest("size", "other")
 
 
+def _depth(size: Column) -> Column:
+    """Indexed n-grams that a document shares with any similar one, at least."""
+    return 2 + F.floor(size / DEPTH)
+
+
 def _needed(size: Column, per_cent: int) -> Column:
     """Indexed n-grams that documents must share, of which the smaller has this size."""
-    return F.least(2 + F.floor(size / DEPTH), F.ceil(size * per_cent / 100))
+    return F.least(_depth(size), F.ceil(size * per_cent / 100))
+
+
+def _bound(n: Column, m: Column, per_cent: int) -> Column:
+    """Indexed n-grams that documents of these sizes must share.
+
+    What two sets share lies in both prefixes, or behind the prefix that ends first: they share no more than the
+    prefixes do and what is behind the one or the other. The bound rises in m up to n and falls beyond it.
+    """
+    behind = lambda x: F.greatest(F.lit(0), F.ceil(x * per_cent / 100) - _depth(x))
+    return F.ceil((n + m) * per_cent / (100 + per_cent)) - F.greatest(behind(n), behind(m))
 
 
 def _opened(current: DataFrame, per_cent: int) -> DataFrame:
@@ -241,14 +256,17 @@ def _opened(current: DataFrame, per_cent: int) -> DataFrame:
     # A row of the matrix also knows the least and greatest size of the group's documents that hold the n-gram.
     matrix = current.groupBy("token", F.col("g").alias("h")).agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
     bound = current.join(materialize(matrix, "matrix"), "token").where("g <> h").where((100 * F.col("hi") >= per_cent * F.col("size")) & (100 * F.col("size") >= per_cent * F.col("lo")))
-    bound = bound.groupBy("id", "size", "h").agg(F.count("*").alias("n"))
-    # The other document may be smaller, down to per_cent of this one.
-    qualify = materialize(bound.where(F.col("n") >= _needed(F.ceil(F.col("size") * per_cent / 100), per_cent)).select("id", "h"), "qualify")
+    bound = bound.groupBy("id", "size", "h").agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    # Sizes that can't be similar don't count; of those between, the ends have the lowest bound, but for rounding.
+    lo, hi = F.greatest("lo", F.ceil(F.col("size") * per_cent / 100)), F.least("hi", F.floor(F.col("size") * 100 / per_cent))
+    least = F.least(_bound(F.col("size"), lo, per_cent), _bound(F.col("size"), hi, per_cent)) - 2
+    qualify = materialize(bound.where((F.col("n") >= least) & (F.col("n") >= _needed(F.ceil(F.col("size") * per_cent / 100), per_cent))).select("id", "h"), "qualify")
     left = current.join(qualify, "id").select(F.col("id").alias("a"), "size", F.col("g").alias("ga"), "h", "token")
     # Both ends must qualify with the other's group; the lesser id asks.
     right = current.join(qualify, "id").select(F.col("id").alias("b"), F.col("size").alias("other"), F.col("g").alias("gb"), F.col("h").alias("hb"), "token")
     pairs = left.join(right, (left["token"] == right["token"]) & (left["h"] == right["gb"]) & (left["ga"] == right["hb"])).where("a < b").where(_fits(per_cent))
-    return pairs.groupBy("a", "b", "size", "other").agg(F.count("*").alias("n")).where(F.col("n") >= _needed(F.least("size", "other"), per_cent)).select("a", "b")
+    enough = (F.col("n") >= _needed(F.least("size", "other"), per_cent)) & (F.col("n") >= _bound(F.col("size"), F.col("other"), per_cent))
+    return pairs.groupBy("a", "b", "size", "other").agg(F.count("*").alias("n")).where(enough).select("a", "b")
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
