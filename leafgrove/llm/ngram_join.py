@@ -45,7 +45,7 @@ DEPTH = 33
 #: Rounds that build groups before groups are opened, at most; another follows if a link came for so many documents left.
 ROUNDS, WORTH = 3, 20
 #: Distinct words whose hashes a Python worker remembers.
-MEMORY = 250_000
+MEMORY = 80_000
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _words: dict[bytes, int] = {}
@@ -76,11 +76,11 @@ def rarities(df: DataFrame, text_col: str, n: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.uint32)
         held, waiting = [], 0
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0):
                 held.append((ngrams(text.as_py(), n) & np.uint64(size - 1)).astype(np.int32))
                 waiting += len(held[-1])
-                if waiting > 2_000_000:
+                if waiting > 500_000:
                     counts += np.bincount(np.concatenate(held), minlength=size).astype(np.uint32)
                     held, waiting = [], 0
         if held:
