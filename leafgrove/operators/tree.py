@@ -62,12 +62,15 @@ def lead_spans(entries: DataFrame, page_counts: DataFrame) -> DataFrame:
 
 
 def parents_by_path(nodes: DataFrame) -> DataFrame:
-    """Parent of each node (document_id, node_id, path, ord): the latest earlier node whose path is its own less the last part."""
+    """Parent of each node (document_id, node_id, path, ord): the latest earlier node whose path is its own less the last part.
+
+    Entries of one path, level and page share an id; each has the parent of its own place.
+    """
     up = nodes.select(F.col("document_id").alias("d"), F.col("path").alias("up_path"), F.col("ord").alias("up_ord"), F.col("node_id").alias("up_id"))
     own = F.slice("path", 1, F.size("path") - 1)
     pairs = nodes.where(F.size("path") > 1).withColumn("own", own).join(up, (F.col("document_id") == F.col("d")) & (F.col("own") == F.col("up_path")) & (F.col("up_ord") < F.col("ord")))
-    found = pairs.groupBy("document_id", "node_id").agg(F.max_by("up_id", "up_ord").alias("parent_id"))
-    return nodes.drop("parent_id").join(found, ["document_id", "node_id"], "left")
+    found = pairs.groupBy("document_id", "node_id", "ord").agg(F.max_by("up_id", "up_ord").alias("parent_id"))
+    return nodes.drop("parent_id").join(found, ["document_id", "node_id", "ord"], "left")
 
 
 def children(nodes: DataFrame) -> DataFrame:

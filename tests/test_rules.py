@@ -88,6 +88,20 @@ def test_closures_agree(spark):
     assert set(map(tuple, tree.closure(nodes).collect())) == set(map(tuple, tree.closure_by_parent(nodes).collect()))
 
 
+def _parents(built):
+    """The start page of each section's parent, by place."""
+    rows = built.orderBy("ord").collect()
+    starts = {r.node_id: r.start_page for r in rows if r.level == 1}
+    assert len({r.node_id for r in rows if r.level == 2}) == 1
+    return [starts[r.parent_id] for r in rows if r.level == 2]
+
+
+def test_outline_entries_of_one_id_have_parents_of_their_own(spark):
+    """Pages beyond the last are clamped to it, after the order was made: both sections lie on page 5."""
+    entries = spark.createDataFrame([("d", 1, 1, "A", 3), ("d", 2, 2, "B", 7), ("d", 3, 1, "A", 8), ("d", 4, 2, "B", 9)], "document_id string, ord int, level int, title string, page_index int")
+    assert _parents(tree.from_outline(entries, spark.createDataFrame([("d", 6)], "document_id string, page_count int"))) == [3, 5]
+
+
 def test_summaries_bottom_up(spark):
     texts = spark.createDataFrame([("d", "b", "leaf text"), ("d", "a", "own")], "document_id string, node_id string, text string")
     got = {r.node_id: (r.summary, r.summary_method) for r in tree.summarize(_chain(spark), texts, lambda df: df.withColumn("summary", F.concat(F.lit("S:"), "text"))).collect()}
