@@ -102,6 +102,11 @@ def test_outline_entries_of_one_id_have_parents_of_their_own(spark):
     assert _parents(tree.from_outline(entries, spark.createDataFrame([("d", 6)], "document_id string, page_count int"))) == [3, 5]
 
 
+def test_response_entries_of_one_id_have_parents_of_their_own(spark):
+    entries = spark.createDataFrame([("d", 1, 1, "A", 0, 5), ("d", 2, 2, "B", 4, 4), ("d", 3, 1, "A", 2, 5), ("d", 4, 2, "B", 4, 5)], "document_id string, ord int, level int, title string, start_page int, end_page int")
+    assert _parents(tree.from_responses(entries, spark.createDataFrame([("d", 6)], "document_id string, page_count int"))) == [0, 2]
+
+
 def test_summaries_bottom_up(spark):
     texts = spark.createDataFrame([("d", "b", "leaf text"), ("d", "a", "own")], "document_id string, node_id string, text string")
     got = {r.node_id: (r.summary, r.summary_method) for r in tree.summarize(_chain(spark), texts, lambda df: df.withColumn("summary", F.concat(F.lit("S:"), "text"))).collect()}
