@@ -380,6 +380,21 @@ def test_lines_of_null_ids_repeated_rows_and_clashing_columns(spark, monkeypatch
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_near_copies_of_lines_meet_in_proportion(spark, monkeypatch):
+    """Near copies of lines that have common words beside their own: pairs to verify grow with their number, not its square."""
+    r, asked = random.Random(21), []
+    common = [f"c{k}" for k in range(40)]
+    lines = [" ".join(r.sample(common, 30) + [f"u{k}_{j}" for j in range(20)]) for k in range(100)]
+    for k in range(6):
+        base = r.sample(common, 30) + [f"t{k}_{j}" for j in range(30)]
+        lines += [" ".join(w if x not in (j % 60, j * 7 % 60) else f"e{k}_{j}_{x}" for x, w in enumerate(base)) for j in range(200)]
+    later = line_dedup.Verifier.later
+    monkeypatch.setattr(line_dedup.Verifier, "later", lambda self, pairs: asked.append(pairs.count()) or later(self, pairs))
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert {x.doc_id: x.text for x in line_dedup.dedup_lines(df).collect()} == brute_lines(dict(enumerate(lines)))
+    assert sum(asked) < 5 * len(lines), asked
+
+
 def test_groups_of_null_ids_repeated_rows_and_clashing_columns(spark):
     own = {k: t for k, t in enumerate(texts()) if t}
     rows = [*own.items(), (None, own[0]), (3, own[3])]
