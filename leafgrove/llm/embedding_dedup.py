@@ -4,7 +4,8 @@ Exactly equal vectors are counted once with their number. Spherical k-means, fit
 vector a home cell. A vector within the threshold of x can lie in another cell only if x is near the plane between the
 two centroids, and if x's angle to that centroid is, but for the threshold's angle, one that the cell's own vectors
 have; only those cells x visits, and with this no link is lost. Cells are gathered in groups, by a k-means of their
-centroids, so that a vector is sent once for each group and not once for each cell. In each group, blocks of home vectors
+centroids, so that a vector is sent once for each group and not once for each cell. Groups are worked on in parts, one
+after another, so that copies of vectors on disk are bounded by their number. In each group, blocks of home vectors
 are multiplied with the vectors that visit their cell. A block yields counts and a spanning forest of its links, never
 pairs. Linked vectors form groups, of which the least id is kept.
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafgrove.llm._components import components
-from leafgrove.llm._shared import lookup, materialize, read, slices
+from leafgrove.llm._shared import lookup, materialize, read, scratch, slices
 
 THRESHOLD = 0.95
 #: Vectors a cell, and a group of cells, on average; cells at most (beyond it cells and groups grow and are compared in
@@ -35,6 +36,8 @@ THRESHOLD = 0.95
 CELL, GROUP, CELLS, SAMPLE = 48, 4_000, 1_024, 8
 #: Home vectors, and visiting ones, in a block.
 BLOCK, VISITORS = 4_096, 32_768
+#: Rows of vectors that a part of the groups may write and send where there are fewer vectors; vectors that parts are sized by.
+ROWS, SIZED = 2_000_000, 20_000
 #: Single-precision cosines this much below the threshold are looked at again in double precision.
 SLACK = 1e-4
 
@@ -75,44 +78,50 @@ def angles(dots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(dots, -1, 1))
 
 
-def ringed(vectors: DataFrame, cells: Cells) -> Cells:
-    """cells with the angles of all vectors to their home centroid."""
+def homed(vectors: DataFrame, cells: Cells) -> DataFrame:
+    """vectors with cell (home) and dot (cosine to its centroid)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2_000):
             if batch.num_rows:
-                dots, home = cells.home(batch.column(0))
-                yield pa.RecordBatch.from_arrays([pa.array(home, pa.int32()), pa.array(angles(dots[np.arange(len(home)), home]))], ["cell", "angle"])
+                dots, home = cells.home(batch.column(2))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home, pa.int32()), pa.array(dots[np.arange(len(home)), home])], ["id", "n", "vector", "cell", "dot"])
+
+    return vectors.select("id", "n", "vector").mapInArrow(run, "id long, n long, vector binary, cell int, dot double")
+
 
-    rows = vectors.select("vector").mapInArrow(run, "cell int, angle double").groupBy("cell").agg(F.min("angle").alias("low"), F.max("angle").alias("high")).toArrow()
+def ringed(vectors: DataFrame, cells: Cells) -> Cells:
+    """cells with the angles of all vectors to their home centroid."""
+    rows = vectors.groupBy("cell").agg(F.min("dot").alias("low"), F.max("dot").alias("high")).toArrow()
     low, high = np.full(len(cells.centroids), np.inf), np.full(len(cells.centroids), -np.inf)  # an empty cell is never visited
-    low[rows["cell"].to_numpy()], high[rows["cell"].to_numpy()] = rows["low"].to_numpy(), rows["high"].to_numpy()
+    low[rows["cell"].to_numpy()], high[rows["cell"].to_numpy()] = angles(rows["high"].to_numpy()), angles(rows["low"].to_numpy())
     return replace(cells, low=low, high=high)
 
 
-def placed(vectors: DataFrame, cells: Cells, threshold: float) -> DataFrame:
-    """grp, id, n, vector, home (the home cell where it is in the group, else -1) and visits: a row for each group of cells that a vector visits."""
+def placed(vectors: DataFrame, cells: Cells, threshold: float, groups: list[int]) -> DataFrame:
+    """grp, id, n, vector, home (the home cell where it is in the group, else -1) and visits: a row for each of the groups of cells that a vector visits."""
     reach, angle = math.sqrt(2 - 2 * threshold) + 1e-9, math.acos(threshold) + 1e-7
-    between = np.linalg.norm(cells.centroids[:, None] - cells.centroids[None], axis=2)
-    members = [np.flatnonzero(cells.group == g) for g in range(int(cells.group.max()) + 1)]
+    between = np.array([np.linalg.norm(cells.centroids - x, axis=1) for x in cells.centroids])
+    members = [np.flatnonzero(cells.group == g) for g in groups]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2_000):
             if not batch.num_rows:
                 continue
-            dots, home = cells.home(batch.column(2))
-            at = angles(dots)
-            inside = (dots[np.arange(len(home)), home][:, None] - dots <= reach * between[home] + 1e-12) & (at <= cells.high + angle) & (at >= cells.low - angle)
-            inside[np.arange(len(home)), home] = True
-            for g, own in enumerate(members):
-                row, k = np.nonzero(inside[:, own])
+            x, home, best = matrix(batch.column(2).to_pylist(), batch.num_rows, cells.kind), batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            for g, own in zip(groups, members, strict=True):
+                dots = x @ cells.centroids[own].T
+                at = angles(dots)
+                inside = (best[:, None] - dots <= reach * between[np.ix_(home, own)] + 1e-12) & (at <= cells.high[own] + angle) & (at >= cells.low[own] - angle)
+                inside |= home[:, None] == own[None]
+                row, k = np.nonzero(inside)
                 rows, sizes = np.unique(row, return_counts=True)
                 if len(rows):
                     visits = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(own[k], pa.int32()))
                     at_home = np.where(cells.group[home[rows]] == g, home[rows], -1)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), g), pa.int32()), *(c.take(pa.array(rows)) for c in batch.columns), pa.array(at_home, pa.int32()), visits], ["grp", "id", "n", "vector", "home", "visits"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), g), pa.int32()), *(c.take(pa.array(rows)) for c in batch.columns[:3]), pa.array(at_home, pa.int32()), visits], ["grp", "id", "n", "vector", "home", "visits"])
 
-    return vectors.select("id", "n", "vector").mapInArrow(run, "grp int, id long, n long, vector binary, home int, visits array<int>")
+    return vectors.select("id", "n", "vector", "cell", "dot").mapInArrow(run, "grp int, id long, n long, vector binary, home int, visits array<int>")
 
 
 def matrix(vectors: Iterable[bytes], n: int, kind: np.dtype) -> np.ndarray:
@@ -167,14 +176,14 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     single = df.schema[vector_col].dataType.elementType.typeName() == "float"
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{'float' if single else 'double'}>").alias("vector"))
     rows = rows.withColumn("ok", F.coalesce(finite, F.lit(False))).withColumn("key", F.when(F.col("ok"), F.struct(F.xxhash64("vector"), F.hash("vector"), F.size("vector"))))
-    rows = materialize(rows, "vectors")
-    ok = rows.where("ok")
-    copies = ok.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
-    rows = materialize(lookup(rows.select("id", "key", "ok", "vector"), copies, ["key"]).select("id", "ok", "vector", F.coalesce("rep", "id").alias("rep"), F.coalesce("n", F.lit(1)).alias("n")), "copies")
-    distinct = rows.where("ok and id = rep").dropDuplicates(["id"])
-    total = distinct.count()
-    members = rows.select("id", "ok", "rep", "n")
-    links = _links(distinct, threshold, np.dtype(np.float32 if single else np.float64)) if total else None
+    kind = np.dtype(np.float32 if single else np.float64)
+    with scratch():
+        rows = materialize(rows, "vectors")
+        copies = rows.where("ok").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
+        rows = lookup(rows.select("id", "key", "ok", "vector"), copies, ["key"]).select("id", "ok", "vector", F.coalesce("rep", "id").alias("rep"), F.coalesce("n", F.lit(1)).alias("n"))
+        members = materialize(rows.select("id", "ok", "rep", "n"), "members", outer=True)
+        vectors = materialize(packed(rows.where("ok and id = rep").dropDuplicates(["id"]), kind), "packed", outer=True)
+    links = _links(vectors, threshold, kind)
     if links is None:
         found = members.select("id", (F.col("n") - 1).alias("n_links"), F.col("rep").alias("component_id"))
     else:
@@ -185,15 +194,20 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     return found.select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
-def _links(distinct: DataFrame, threshold: float, kind: np.dtype) -> DataFrame | None:
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def packed(distinct: DataFrame, kind: np.dtype) -> DataFrame:
+    """id, n, width and the vector as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = batch.column(2)
             flat, ends = vectors.flatten().to_numpy(zero_copy_only=False).astype(kind).tobytes(), vectors.offsets.to_numpy()
             ends = (ends - ends[0]) * kind.itemsize if len(ends) else ends
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(ends) // kind.itemsize, pa.int32()), pa.array([flat[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["id", "n", "width", "vector"])
 
-    vectors = materialize(distinct.select("id", "n", "vector").mapInArrow(packed, "id long, n long, width int, vector binary"), "packed")
+    return distinct.select("id", "n", "vector").mapInArrow(run, "id long, n long, width int, vector binary")
+
+
+def _links(vectors: DataFrame, threshold: float, kind: np.dtype) -> DataFrame | None:
     widths = {r["width"]: r["count"] for r in vectors.groupBy("width").count().where("count > 1").collect()}
     found = [_links_of(vectors.where(F.col("width") == w), total, threshold, kind) for w, total in sorted(widths.items())]
     return reduce(DataFrame.union, found) if found else None
@@ -211,9 +225,41 @@ def _links_of(vectors: DataFrame, total: int, threshold: float, kind: np.dtype)
     """Links of the vectors of one length."""
     centroids = centroids_of(vectors, total, kind)
     some = fit(centroids, min(len(centroids), -(-total // GROUP)))
-    cells = ringed(vectors, Cells(kind, centroids, (centroids @ some.T).argmax(1), np.empty(0), np.empty(0)))
-    spots = materialize(placed(vectors, cells, threshold), "cells")
-    sizes = [(r["grp"], max(1, -(-r["homes"] // BLOCK)), -(-r["alls"] // VISITORS)) for r in spots.groupBy("grp").agg(F.sum((F.col("home") >= 0).cast("long")).alias("homes"), F.count("*").alias("alls")).collect()]
+    cells = Cells(kind, centroids, (centroids @ some.T).argmax(1), np.empty(0), np.empty(0))
+    with scratch():
+        vectors = materialize(homed(vectors, cells), "homed")
+        cells = ringed(vectors, cells)
+        found = []
+        for groups in _parts(vectors, cells, total, threshold):
+            with scratch():
+                found.append(_compared(materialize(placed(vectors, cells, threshold, groups), "cells"), threshold, kind))
+        return materialize(reduce(DataFrame.union, found), "links", outer=True)
+
+
+def _parts(vectors: DataFrame, cells: Cells, total: int, threshold: float) -> list[list[int]]:
+    """The groups in parts, each of which writes and sends about as many rows as there are vectors (ROWS at least), by what a sample visits."""
+    groups, step = list(range(int(cells.group.max()) + 1)), max(1, total // SIZED)
+    some = placed(vectors.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(step)) == 0), cells, threshold, groups)
+    seen = {r["grp"]: (step * r["homes"], step * r["alls"]) for r in _sizes(some)}
+    parts, room = [], 0
+    for g in groups:
+        homes, alls = seen.get(g, (0, 0))
+        rows = alls + homes * -(-alls // VISITORS) + alls * -(-homes // BLOCK)
+        if not parts or rows > room:
+            parts.append([])
+            room = max(ROWS, total)
+        parts[-1].append(g)
+        room -= rows
+    return parts
+
+
+def _sizes(spots: DataFrame) -> list:
+    return spots.groupBy("grp").agg(F.sum((F.col("home") >= 0).cast("long")).alias("homes"), F.count("*").alias("alls")).collect()
+
+
+def _compared(spots: DataFrame, threshold: float, kind: np.dtype) -> DataFrame:
+    """Links of the vectors that meet in the groups of spots."""
+    sizes = [(r["grp"], max(1, -(-r["homes"] // BLOCK)), -(-r["alls"] // VISITORS)) for r in _sizes(spots)]
     deal = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     blocks = spots.sparkSession.createDataFrame(sizes, "grp int, homes int, alls int")
     spots = spots.join(F.broadcast(blocks), "grp")
@@ -221,7 +267,7 @@ def _links_of(vectors: DataFrame, total: int, threshold: float, kind: np.dtype)
     home = spots.where("home >= 0").select("grp", deal(F.col("homes")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("j"), F.lit(True).alias("home_side"), "id", "n", "vector", "home", none.alias("visits"))
     all_ = spots.select("grp", F.explode(F.sequence(F.lit(0), F.col("homes") - 1)).alias("i"), deal(F.col("alls")).alias("j"), F.lit(False).alias("home_side"), "id", "n", "vector", "home", "visits")
     pairs = home.unionByName(all_).groupBy("grp", "i", "j").applyInPandas(lambda g: compare(g, threshold, kind), "id long, n_links long, label long")
-    return materialize(pairs, "blocks")
+    return materialize(pairs, "blocks", outer=True)
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -205,6 +205,28 @@ def test_cells_lose_no_link(spark, monkeypatch):
     assert any(n for _, n, _, _ in one)
 
 
+def test_groups_of_cells_are_compared_in_parts(spark, monkeypatch):
+    """No part writes many more vectors than there are, and all parts give what one gives."""
+    r, written = np.random.default_rng(8), []
+    centers = r.standard_normal((40, 8))
+    x = np.concatenate([c + 0.25 * r.standard_normal((12, 8)) for c in centers]).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    one = sorted(map(tuple, embedding_dedup.near_duplicates(df).collect()))
+    for name, value in (("CELL", 20), ("GROUP", 60), ("ROWS", 100)):
+        monkeypatch.setattr(embedding_dedup, name, value)
+    write = embedding_dedup.materialize
+
+    def counted(table, name="cut", **options):
+        out = write(table, name, **options)
+        if name == "cells":
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(embedding_dedup, "materialize", counted)
+    assert sorted(map(tuple, embedding_dedup.near_duplicates(df).collect())) == one
+    assert len(written) > 1 and max(written) <= len(x) < sum(written)
+
+
 def test_vectors_of_all_lengths_in_double_precision(spark):
     """Each length by itself against brute force; a cosine just below the threshold is none in double precision."""
     r = np.random.default_rng(14)
