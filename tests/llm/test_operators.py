@@ -417,6 +417,20 @@ def test_near_copies_of_lines_meet_in_proportion(spark, monkeypatch):
     assert sum(asked) < 5 * len(lines), asked
 
 
+def test_lines_with_a_passage_in_common_seldom_meet(spark, monkeypatch):
+    """Lines of one passage and own words, of a similarity of 0.75: few pairs are left to verify, whatever their number."""
+    r, asked = random.Random(22), []
+    passage = [f"p{k}" for k in range(47)]
+    lines = [" ".join(passage + [f"o{k}_{j}" for j in range(8)]) for k in range(160)]
+    lines += [" ".join(passage + lines[k].split()[47:52] + [f"e{k}_{j}" for j in range(3)]) for k in range(0, 160, 8)]
+    r.shuffle(lines)
+    later = line_dedup.Verifier.later
+    monkeypatch.setattr(line_dedup.Verifier, "later", lambda self, pairs: asked.append(pairs.count()) or later(self, pairs))
+    df = spark.createDataFrame([(k, "\n".join(lines[k::90])) for k in range(90)], "doc_id long, text string")
+    assert {x.doc_id: x.text for x in line_dedup.dedup_lines(df).collect()} == brute_lines({k: "\n".join(lines[k::90]) for k in range(90)})
+    assert sum(asked) < 15 * len(lines), asked
+
+
 def test_groups_of_null_ids_repeated_rows_and_clashing_columns(spark):
     own = {k: t for k, t in enumerate(texts()) if t}
     rows = [*own.items(), (None, own[0]), (3, own[3])]
