@@ -18,7 +18,7 @@ import regex
 #: White space as the file's split pattern has it (Unicode White_Space).
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: str.split() also cuts at these, the file's pattern does not.
-_EXTRA = regex.compile("[\x1c-\x1f]")
+_EXTRA = "\x1c\x1d\x1e\x1f"
 _BY_SPACE = regex.compile(f"[{_SPACE}]+")
 #: Characters of texts that are worked on together.
 _BATCH_CHARS = 4_000_000
@@ -73,7 +73,7 @@ class WordBpe:
                 text = unicodedata.normalize("NFC", text)
             text = text.replace("Σ", "σ")  # else lower() looks at its neighbours
         text = text.lower()
-        return [x for x in _BY_SPACE.split(text) if x] if _EXTRA.search(text) else text.split()
+        return [x for x in _BY_SPACE.split(text) if x] if any(c in text for c in _EXTRA) else text.split()
 
     def parts(self, chunk: str) -> list[str]:
         """Pre-tokens of a chunk that is no special token."""

@@ -57,24 +57,31 @@ class Encoder:
         if len(self.words) > MEMORY:
             self.words.clear()
         self.known.update({c: np.array([i], "<u2").tobytes() for c, i in self.bpe.special.items()})
-        new = {c: self.bpe.parts(c) for c in chunks if c not in self.known}
-        words = list({p for ps in new.values() for p in ps if p not in self.words})
+        chunks = chunks.difference(self.known)
+        new = {c: self.bpe.parts(c) for c in chunks if not c.isalpha()}
+        whole = chunks.difference(new)
+        words = list(whole.union(*new.values()).difference(self.words))
         for at in range(0, len(words), 500):
             part = words[at : at + 500]
-            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, "<u2")
+            ids = np.array(self._ids(" ".join(part)), "<u2")
             cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(cuts) == len(part):
                 raw, start = ids.tobytes(), 0
                 for word, end in zip(part, cuts, strict=True):
                     self.words[word], start = raw[2 * start : 2 * end], end
             else:
-                self.words.update({w: np.array(self.library.encode(w, add_special_tokens=False).ids, "<u2").tobytes() for w in part})
+                self.words.update({w: np.array(self._ids(w), "<u2").tobytes() for w in part})
+        self.known.update(zip(whole, map(self.words.__getitem__, whole), strict=True))
         for chunk, ps in new.items():
-            self.known[chunk] = self.words[ps[0]] if len(ps) == 1 else b"".join([self.words[p] for p in ps])
+            self.known[chunk] = b"".join([self.words[p] for p in ps])
+
+    def _ids(self, text: str) -> list[int]:
+        """Ids by the library, which here need not find the places of the tokens."""
+        return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.bpe.chunks(t) for t in texts]
         with _wordbpe.no_gc():
+            split = [self.bpe.chunks(t) for t in texts]
             self.learn(set().union(*split))
         return [b"".join(map(self.known.__getitem__, cs)) for cs in split]
 
@@ -92,7 +99,8 @@ class Curve:
     def keys(self, documents: list[np.ndarray]) -> np.ndarray:
         hashed = np.array([np.bincount(self.bucket[ids], self.sign[ids], BUCKETS) for ids in documents])
         norm = np.sqrt((hashed * hashed).sum(1, keepdims=True))
-        at = hashed / np.maximum(norm, 1e-9) @ self.project
+        # Not by @: threads of the linear algebra library would wait busily while the next texts are encoded.
+        at = np.einsum("ij,jk->ik", hashed / np.maximum(norm, 1e-9), self.project)
         cells = (1 << BITS) / (1 + np.exp(-1.7 * at))
         return hilbert(np.minimum(cells.astype(np.int64), (1 << BITS) - 1))
 

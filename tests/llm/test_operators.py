@@ -86,6 +86,21 @@ def test_packing(docs, library):
     check_pieces(curve_packing.pack(docs).collect(), {k: [*library[0](t), 1] for k, t in enumerate(texts())})
 
 
+def test_keys_wake_no_threads():
+    """The linear algebra library's threads wait busily once they have been called."""
+
+    class Single(np.ndarray):
+        def __array_ufunc__(self, ufunc, method, *args, **more):
+            assert ufunc is not np.matmul
+            return getattr(ufunc, method)(*(np.asarray(x) for x in args), **more)
+
+    curve = curve_packing.Curve(50)
+    documents = [np.array([1, 2, 2, 7], "<u2"), np.array([1], "<u2"), np.empty(0, "<u2")]
+    want = curve.keys(documents)
+    curve.project = curve.project.view(Single)
+    assert (curve.keys(documents) == want).all() and len(set(want)) > 1
+
+
 def test_hilbert_curve_visits_neighbours():
     bits, curve_packing.BITS = curve_packing.BITS, 3
     try:
