@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafgrove.llm._components import components
-from leafgrove.llm._shared import lookup, materialize, read, scratch, slices
+from leafgrove.llm._shared import lookup, materialize, read, scratch, slices, small_batches
 
 #: Bits of the bins of the rarity counts; bins that are added up together. A rarity is eight times the binary logarithm of
 #: a count, in one byte.
@@ -156,7 +156,7 @@ class Verifier:
 
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, per_cent: int = 85) -> DataFrame:
     """One row for each row of df: id, n_shingles, component_id (least id that links reach)."""
-    with scratch():
+    with small_batches(df.sparkSession), scratch():
         levels = rarities(df, text_col, n)
         rows = materialize(indexed(df, id_col, text_col, n, per_cent, levels), "indexed")
         known = rows.where("id is not null and key is not null")

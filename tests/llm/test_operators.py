@@ -460,6 +460,17 @@ def test_groups_of_null_ids_repeated_rows_and_clashing_columns(spark):
     assert kept.where("doc_id is null").count() == 1 and ngram_join.groups(df.limit(0)).count() == 0
 
 
+def test_groups_send_small_batches_to_workers(spark, monkeypatch):
+    """Every table of the join is written with small batches; the setting is as before at the end."""
+    rows, key = [], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, write = spark.conf.get(key, None), ngram_join.materialize
+    monkeypatch.setattr(ngram_join, "materialize", lambda df, *a, **more: rows.append(int(spark.conf.get(key, "10000"))) or write(df, *a, **more))
+    own = {k: t for k, t in enumerate(texts()) if t}
+    df = spark.createDataFrame(list(own.items()), "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.groups(df).collect()} == brute_groups(own, 4, 85)
+    assert rows and max(rows) <= 1000 and spark.conf.get(key, None) == before
+
+
 def test_extreme_values_count_texts_without_a_segment():
     """Best scores drawn with a known K and lambda, those not above 0 seen as 0."""
     r = np.random.default_rng(17)
