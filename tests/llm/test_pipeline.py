@@ -75,3 +75,13 @@ def test_queries_against_sql(spark, name):
         con.execute(f"CREATE VIEW {file.split('.')[0]} AS SELECT * FROM '{SF}/{file}'")
     got, want = registry.QUERIES[name](spark, SF).toArrow().to_pydict(), con.sql(registry.ORACLE_SQL[name]).to_arrow_table().to_pydict()
     assert sorted(got) == sorted(want) and rows(got) == rows(want)
+
+
+def test_stages_send_small_batches_to_workers(spark, monkeypatch):
+    """Each stage runs with them; the setting is as before at the end."""
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(key, None)
+    stage = lambda spark, docs, sf_dir: seen.append(int(spark.conf.get(key, "10000"))) or docs
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", stage), ("two", stage)])
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    assert len(seen) == 2 and max(seen) <= 2000 and spark.conf.get(key, None) == before
