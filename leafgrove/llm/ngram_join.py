@@ -7,9 +7,13 @@ both in that order (|x| - needed overlap + d of them) must share d, so only thes
 1. Groups. Each document is a group of its own. In each indexed n-gram that several groups share, one document is the
    pivot, and the others are compared with it; what links joins groups. A few rounds partition near copies into groups
    at a cost in proportion to the index, however large a group grows.
-2. Token-group matrix. For each group, the union of its documents' indexed n-grams. A document's overlap with the union
-   of another group bounds its overlap with any member. Only groups with an overlap of d are opened, and only then
-   are members compared one by one. So no link between different sets is lost.
+2. Families. Near copies of one text that are not similar enough to each other are in no group; each joins the family of
+   a document near it. Two documents of a family are compared by what tells them from the family's middle (the n-grams
+   of most of its documents), as the difference of two sets is that of their differences from a third: these are few, and
+   a pair that links must share so many of them that hardly any other pair meets.
+3. Token-group matrix. For each family (or group, of documents without one), the union of its documents' indexed n-grams.
+   A document's overlap with the union of another family bounds its overlap with any member. Only families with an
+   overlap of d are opened, and only then are members compared one by one. So no link between different sets is lost.
 
 The whole texts are read twice (counts, indexed n-grams); sets to compare pairs by are made once, of the documents that
 share enough indexed n-grams with others.
@@ -44,6 +48,8 @@ SLICES = 4
 DEPTH = 33
 #: Rounds that build groups before groups are opened, at most; another follows if a link came for so many documents left.
 ROUNDS, WORTH = 3, 20
+#: Levels of difference from a family's middle, up to what similar sets may differ by.
+LEVELS = 8
 #: Distinct words whose hashes a Python worker remembers.
 MEMORY = 80_000
 
@@ -137,10 +143,13 @@ class Verifier:
         own = lookup(texts, ids, ["id"], "inner", hot=False).select("id", "text").mapInArrow(sets, "id long, own binary")
         self.own, self.per_cent = materialize(own, "sets"), per_cent
 
+    def _both(self, pairs: DataFrame) -> DataFrame:
+        of = lambda c: self.own.select(F.col("id").alias(c), F.col("own").alias(f"own_{c}"))
+        return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "own_a", "own_b")
+
     def linked(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that link."""
-        per_cent, own = self.per_cent, self.own
-        both = pairs.join(own.select(F.col("id").alias("a"), F.col("own").alias("own_a")), "a").join(own.select(F.col("id").alias("b"), F.col("own").alias("own_b")), "b")
+        per_cent = self.per_cent
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
@@ -151,12 +160,29 @@ class Verifier:
                     keep.append(100 * shared >= per_cent * (len(x) + len(y) - shared))
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in (batch.column(0), batch.column(1))], ["a", "b"])
 
-        return both.select("a", "b", "own_a", "own_b").mapInArrow(run, "a long, b long")
+        return self._both(pairs).mapInArrow(run, "a long, b long")
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """id, f and delta (n-grams of one of them only) of the pairs (a, b) that differ by no more than half of b."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                keep, deltas = [], []
+                for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                    x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                    delta = np.setxor1d(x, y, assume_unique=True)
+                    keep.append(2 * len(delta) <= len(y))
+                    if keep[-1]:
+                        deltas.append(delta.view(np.int64))
+                yield pa.RecordBatch.from_arrays([*(c.filter(pa.array(keep, pa.bool_())) for c in (batch.column(0), batch.column(1))), pa.array(deltas, pa.list_(pa.int64()))], ["id", "f", "delta"])
+
+        return self._both(pairs).mapInArrow(run, "id long, f long, delta array<long>")
 
 
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, per_cent: int = 85) -> DataFrame:
     """One row for each row of df: id, n_shingles, component_id (least id that links reach)."""
-    with small_batches(df.sparkSession), scratch():
+    # A row of a pair holds two whole sets.
+    with small_batches(df.sparkSession, 100), scratch():
         levels = rarities(df, text_col, n)
         rows = materialize(indexed(df, id_col, text_col, n, per_cent, levels), "indexed")
         known = rows.where("id is not null and key is not null")
@@ -220,7 +246,8 @@ def _joined(verify: Verifier, index: DataFrame, per_cent: int) -> DataFrame:
         if found * WORTH < left:
             break
     with scratch():
-        links.append(materialize(verify.linked(_opened(current, per_cent)), "verified", outer=True))
+        cells, near = _families(verify, current, per_cent)
+        links.append(materialize(near.union(verify.linked(_opened(current, cells, per_cent))), "verified", outer=True))
     return components(reduce(DataFrame.union, links))
 
 
@@ -249,22 +276,91 @@ def _bound(n: Column, m: Column, per_cent: int) -> Column:
     return F.ceil((n + m) * per_cent / (100 + per_cent)) - F.greatest(behind(n), behind(m))
 
 
-def _opened(current: DataFrame, per_cent: int) -> DataFrame:
-    """Pairs (a, b) of documents of different groups that share enough, where either's overlap with the union of the other's group is enough."""
-    mixed = current.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("token")
-    current = materialize(current.join(materialize(mixed, "tokens"), "token"), "mixed")
-    # A row of the matrix also knows the least and greatest size of the group's documents that hold the n-gram.
-    matrix = current.groupBy("token", F.col("g").alias("h")).agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
-    bound = current.join(materialize(matrix, "matrix"), "token").where("g <> h").where((100 * F.col("hi") >= per_cent * F.col("size")) & (100 * F.col("size") >= per_cent * F.col("lo")))
-    bound = bound.groupBy("id", "size", "h").agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+def _families(verify: Verifier, current: DataFrame, per_cent: int) -> tuple[DataFrame, DataFrame]:
+    """id, f (its family) of documents near another one, and links (a, b) that join all documents of a family that links join.
+
+    With d n-grams of difference from any third set, n n-grams in all and v = (100 + per_cent) d - (100 - per_cent) n, two
+    documents link if their differences share (v + v') / (2 (100 + per_cent)) n-grams or more. Where that is 0 or less, both
+    link with the document of the least v; all other pairs share an n-gram of the first few that this bound leaves.
+    """
+    whole = 2 * (100 + per_cent)
+    # Near copies agree on a pivot, as all take the first of those they know in one order.
+    pivots = current.groupBy("token").agg(F.min(F.struct(F.xxhash64("id").alias("rank"), "id", "size")).alias("p"))
+    pivots = pivots.select("token", F.struct("p.rank", "p.id").alias("pivot"), F.col("p.size").alias("other"))
+    known = current.join(pivots, "token").where("id <> pivot.id").groupBy("id", "size", "pivot", "other").agg(F.count("*").alias("n"))
+    known = known.where(F.col("n") >= _needed(F.least("size", "other"), per_cent)).groupBy("id").agg(F.min("pivot").alias("pivot"))
+    near = materialize(verify.near(known.select(F.col("id").alias("a"), F.col("pivot.id").alias("b"))), "near")
+    heads = near.select(F.col("f").alias("id")).distinct()
+    members = near.join(heads, "id", "left_anti").union(heads.select("id", F.col("id").alias("f"), F.array().cast("array<long>").alias("delta")))
+    members = materialize(members.join(current.select("id", "size", "g").distinct(), "id"), "members")
+    families = members.groupBy("f").agg(F.count("*").alias("n"), F.min("g").alias("lo"), F.max("g").alias("hi"), F.max(F.when(F.col("id") == F.col("f"), F.col("size"))).alias("base"))
+    step = F.greatest(F.lit(whole), F.floor(F.col("base") * (100 - per_cent) / LEVELS))
+    cells, members = members.select("id", "f"), lookup(members, families.where("lo <> hi").select("f", F.col("n").alias("of"), step.alias("step")), ["f"], "inner")
+    members = materialize(members, "mixed")
+    # N-grams that most differ in from the head are those that the head differs in from the middle.
+    counts = members.select("f", "of", F.explode("delta").alias("token")).groupBy("f", "token").agg(F.count("*").alias("n"), F.max("of").alias("of"))
+    most = counts.where("2 * n > of").groupBy("f").agg(F.collect_list("token").alias("most"))
+    turned = F.when(F.col("most").isNull(), F.col("delta")).otherwise(F.array_union(F.array_except("delta", "most"), F.array_except("most", "delta")))
+    members = lookup(members, most, ["f"]).withColumn("delta", turned).drop("most").withColumn("d", F.size("delta").cast("long"))
+    members = members.withColumn("v", (100 + per_cent) * F.col("d") - (100 - per_cent) * F.col("size"))
+    members = materialize(members.withColumn("level", F.floor(F.col("v") / F.col("step"))), "members")
+    middles = members.groupBy("f").agg(F.min(F.struct("v", "id")).alias("m"), F.collect_set("level").alias("levels"))
+    members = materialize(lookup(members, middles, ["f"]).withColumn("sure", F.col("v") + F.col("m.v") <= 0), "members")
+    sure = members.where("sure and id <> m.id").select(F.col("id").alias("a"), F.col("m.id").alias("b"))
+    # N-grams of one group only make no pair that is not joined. Of two documents, the head and the other, the middle tells all.
+    line = ["f", "id", "g", "size", "d", "v", "level", "step", "sure"]
+    each = materialize(members.where("of > 2").select(*line, F.explode("delta").alias("token")), "each")
+    counts = each.groupBy("f", "token").agg(F.count("*").alias("c"), F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("f", "token", "c")
+    each = lookup(each, counts, ["f", "token"], hot=False)
+    each = each.groupBy(*line).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "token", F.col("c").isNotNull().alias("met")))).alias("own"))
+    each = lookup(each, members.select("f", "levels").dropDuplicates(["f"]), ["f"]).withColumn("asked", F.explode("levels")).where("(level + asked + 2) * step > 0")
+    least = lambda v: F.greatest(F.lit(1), F.ceil(v / whole)).cast("long")
+    prefix = F.greatest(F.lit(0), F.col("d") - least(F.col("v") + F.col("asked") * F.col("step")) + 1).cast("int")
+    index = each.select(*line, "asked", F.posexplode(F.slice("own", F.lit(1), prefix)).alias("p", "x")).where("x.met")
+    index = materialize(index.select(*line, "asked", "p", F.col("x.token").alias("token")), "deltas")
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    same = (a("f") == b("f")) & (a("token") == b("token")) & (a("level") == b("asked")) & (a("asked") == b("level"))
+    other = (a("g") != b("g")) & ~(a("sure") & b("sure")) & ((a("level") < b("level")) | (a("id") < b("id")))
+    lengths = 100 * F.least(a("size"), b("size")) >= per_cent * F.greatest(a("size"), b("size"))
+    places = 1 + F.least(a("p"), b("p")) + F.least(a("d") - a("p"), b("d") - b("p")) - 1 >= least(a("v") + b("v"))
+    pairs = index.where("level <= asked").alias("a").join(index.where("level >= asked").alias("b"), same & other & lengths & places)
+    pairs = materialize(pairs.select(a("id").alias("a"), b("id").alias("b")).distinct(), "pairs")
+    return cells, sure.union(verify.linked(pairs))
+
+
+def _enough(rows: DataFrame, per_cent: int) -> DataFrame:
+    """id, c, h of documents (of a family c) whose overlap with the union of the family h is enough; rows: an n-gram that both hold."""
+    bound = rows.groupBy("id", "size", "c", "h").agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     # Sizes that can't be similar don't count; of those between, the ends have the lowest bound, but for rounding.
     lo, hi = F.greatest("lo", F.ceil(F.col("size") * per_cent / 100)), F.least("hi", F.floor(F.col("size") * 100 / per_cent))
     least = F.least(_bound(F.col("size"), lo, per_cent), _bound(F.col("size"), hi, per_cent)) - 2
-    qualify = materialize(bound.where((F.col("n") >= least) & (F.col("n") >= _needed(F.ceil(F.col("size") * per_cent / 100), per_cent))).select("id", "h"), "qualify")
-    left = current.join(qualify, "id").select(F.col("id").alias("a"), "size", F.col("g").alias("ga"), "h", "token")
-    # Both ends must qualify with the other's group; the lesser id asks.
-    right = current.join(qualify, "id").select(F.col("id").alias("b"), F.col("size").alias("other"), F.col("g").alias("gb"), F.col("h").alias("hb"), "token")
-    pairs = left.join(right, (left["token"] == right["token"]) & (left["h"] == right["gb"]) & (left["ga"] == right["hb"])).where("a < b").where(_fits(per_cent))
+    return bound.where((F.col("n") >= least) & (F.col("n") >= _needed(F.ceil(F.col("size") * per_cent / 100), per_cent))).select("id", "c", "h")
+
+
+def _opened(current: DataFrame, cells: DataFrame, per_cent: int) -> DataFrame:
+    """Pairs (a, b) of documents of different groups and families that share enough, where either's overlap with the union of the other's family is enough."""
+    # A document without a family is with those of its group, which need no comparison either.
+    cell = F.when(F.col("f").isNotNull(), F.xxhash64(F.lit("f"), F.col("f"))).otherwise(F.xxhash64(F.lit("g"), F.col("g")))
+    current = materialize(lookup(current, cells, ["id"], hot=False).select("id", "size", "token", "g", cell.alias("c")), "cells")
+    mixed = current.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.min("c").alias("x"), F.max("c").alias("y")).where("lo <> hi and x <> y").select("token")
+    current = materialize(current.join(materialize(mixed, "tokens"), "token"), "mixed")
+    # A row of the matrix also knows the least and greatest size of the family's documents that hold the n-gram.
+    matrix = current.groupBy("token", "c").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
+    weights = current.groupBy("c").agg(F.count("*").alias("w"))
+    matrix = materialize(lookup(matrix, weights, ["c"]), "matrix")
+    fits = (100 * F.col("hi") >= per_cent * F.col("size")) & (100 * F.col("size") >= per_cent * F.col("lo"))
+    # First documents are held against larger families, then the documents of these against those that are left.
+    larger = matrix.select("token", F.col("c").alias("h"), "lo", "hi", F.col("w").alias("v"))
+    asks = lookup(current, weights, ["c"]).join(larger, "token").where((F.col("w") < F.col("v")) | (F.col("w") == F.col("v")) & (F.col("c") < F.col("h"))).where(fits)
+    first = materialize(_enough(asks, per_cent), "qualify")
+    smaller = matrix.select("token", F.col("c").alias("h"), "lo", "hi").join(first.select(F.col("c").alias("h"), F.col("h").alias("c")).distinct(), "h")
+    second = materialize(_enough(current.join(smaller, ["token", "c"]).where(fits), per_cent), "qualify")
+    first = first.join(second.select(F.col("c").alias("h"), F.col("h").alias("c")).distinct(), ["c", "h"], "left_semi")
+    qualify = materialize(first.union(second.select(*first.columns)).select("id", "h"), "qualify")
+    left = current.join(qualify, "id").select(F.col("id").alias("a"), "size", "g", F.col("c").alias("ca"), "h", "token")
+    # Both ends must qualify with the other's family; the lesser id asks.
+    right = current.join(qualify, "id").select(F.col("id").alias("b"), F.col("size").alias("other"), F.col("g").alias("gb"), F.col("c").alias("cb"), F.col("h").alias("hb"), "token")
+    pairs = left.join(right, (left["token"] == right["token"]) & (left["h"] == right["cb"]) & (left["ca"] == right["hb"])).where("a < b and g <> gb").where(_fits(per_cent))
     enough = (F.col("n") >= _needed(F.least("size", "other"), per_cent)) & (F.col("n") >= _bound(F.col("size"), F.col("other"), per_cent))
     return pairs.groupBy("a", "b", "size", "other").agg(F.count("*").alias("n")).where(enough).select("a", "b")
 

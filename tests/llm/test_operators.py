@@ -162,6 +162,41 @@ def test_chains_of_links_are_one_group(spark):
     assert got == {k: c for k, (_, c) in brute_groups(dict(enumerate(own)), 4, 85).items()}
 
 
+def joined_rows(spark, since):
+    """Rows that each join made in the executions after that of a number, most first; the number of the last execution."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store, made, last = spark._jsparkSession.sharedState().statusStore(), [0], since
+    executions = store.executionsList()
+    for k in range(executions.size()):
+        last = max(last, number := executions.apply(k).executionId())
+        if number > since:
+            values, nodes = store.executionMetrics(number), store.planGraph(number).allNodes()
+            for node in map(nodes.apply, range(nodes.size())):
+                for m in map(node.metrics().apply, range(node.metrics().size())) if "Join" in node.name() else ():
+                    if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        made.append(int(values.apply(m.accumulatorId()).replace(",", "")))
+    return sorted(made, reverse=True), last
+
+
+def test_near_copies_that_do_not_link_seldom_meet(spark):
+    """Copies of a text with edits of their own are similar to it, seldom to each other: no join grows with their square, no link is lost."""
+    r, own = random.Random(23), []
+    for f in range(2):
+        base = [f"b{f}_{k}" for k in range(150)]
+        for k in range(180):
+            words = list(base)
+            for at in r.sample(range(3, 147), r.choice((2, 3, 3, 4))):
+                words[at] = f"e{f}_{k}_{at}"
+            own.append(" ".join(words))
+        own += [own[-j].replace(f"b{f}_{j}", f"c{f}_{j}") for j in range(1, 40, 3)]
+    df = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string")
+    _, last = joined_rows(spark, -1)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.groups(df).collect()}
+    assert got == brute_groups(dict(enumerate(own)), 4, 85)
+    made, _ = joined_rows(spark, last)
+    assert made[0] and made[0] < 60 * len(own), made[:5]
+
+
 def test_keep_one(spark):
     rows = [(3, "a b c d e f g"), (1, "a b c d e f g"), (1, "a b c d e f g"), (2, None), (5, "")]
     got = sorted(r.doc_id for r in ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
