@@ -14,6 +14,10 @@ the text is read; the others are joined. A broadcast bitmap of a fixed size leav
 table for sure; results do not depend on either. Sequences are counted, and values looked up, in SLICES parts of the hash
 space one after another, so what a shuffle writes at a time is a part of the corpus; all parts are worked on.
 
+What is as large as the corpus is shuffled as arrays: a task deals the hashes of about CHUNK tokens by their first bits and
+sends one row of bytes for each part. A part's entries are sorted and added up, or looked up, at once. Equal sequences are
+added up before they are sent, and the most frequent values are broadcast, so no part is much larger than others.
+
 Null and empty texts are one end. Texts are taken whole. Repeated rows are scored each by itself; a null id is held out.
 Ties of count decide only what is broadcast. Without training texts
 every count is 0 and all scores are those of one unseen symbol. Other columns are not read.
@@ -21,18 +25,19 @@ every count is 0 and all scores are those of one unseen symbol. Other columns ar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafgrove.llm._shared import fold, materialize, read, scratch, slices
+from leafgrove.llm._shared import fold, materialize, read, scratch, slices, small_batches
 
 #: Longest sequences that are counted (contexts are one shorter).
 ORDER = 3
@@ -40,6 +45,10 @@ ORDER = 3
 MIN_COUNT = 2
 #: Values that are broadcast; 64-bit words of a bitmap; parts of the hash space (a power of two).
 HOT, BITMAP, SLICES = 200_000, 1 << 21, 4
+#: Sequences that a task holds before it sends them; tokens of the corpus for each part of the hash space, and parts that a corpus has if each has FEW.
+CHUNK, PART, PARTS, FEW = 1_000_000, 2_000_000, 64, 20_000
+#: Rows of texts, and of tables without texts, that a Python worker gets at once.
+TEXTS, ROWS = 500, 20_000
 #: Texts repeat words: a dictionary of so many bytes makes their hashes a third of the size on disk.
 DICTIONARY = {"parquet.dictionary.page.size": 1 << 24}
 #: Discount of each count; nats that a context's distribution must be better than its suffix's over all its occurrences, and for each.
@@ -203,14 +212,111 @@ def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return values, first, sizes
 
 
+def parts_for(tokens: int) -> int:
+    """Parts of the hash space for a corpus: their entries of one slice are what a Python worker holds at a time."""
+    return max(1, min(PARTS, tokens // FEW), min(tokens // PART, 60_000))
+
+
+def part_of(h: np.ndarray, parts: int) -> np.ndarray:
+    """Part of each hash, by its first bits: hashes of a part follow each other."""
+    return ((h.view(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.uint16)
+
+
+def packed(sizes: np.ndarray, columns: Iterable[np.ndarray]) -> list[pa.Array]:
+    """Entries one after another as bytes, so many of them in each row."""
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    return [pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))]) for x in columns]
+
+
+def unpacked(table: pa.Table, name: str, kind: type = np.int64) -> np.ndarray:
+    """Entries of all rows one after another."""
+    out = [np.empty(0, kind)]
+    for x in table.column(name).chunks:
+        if len(x) and x.buffers()[2]:
+            ends = np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + len(x) + 1]
+            out.append(np.frombuffer(x.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind))
+    return np.concatenate(out)
+
+
+def dealt(h: np.ndarray, parts: int, columns: dict[str, np.ndarray]) -> dict[str, pa.Array]:
+    """A row for each part that has entries, by the entries' hashes."""
+    part = part_of(h, parts)
+    order = np.argsort(part, kind="stable")
+    sizes = np.bincount(part, minlength=parts)
+    there = np.flatnonzero(sizes)
+    blobs = packed(sizes[there], (x[order] for x in columns.values()))
+    return {"part": pa.array(there, pa.int32())} | dict(zip(columns, blobs, strict=True))
+
+
+def runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of hashes by unsigned value, and where in it each distinct one begins."""
+    own = h.view(np.uint64)
+    order = np.argsort(own)
+    own = own[order]
+    return order, np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]) if len(own) else [])
+
+
+def united(table: DataFrame, parts: int, sums: list[str], without: Broadcast | None = None) -> DataFrame:
+    """A row for each part: its hashes h in order, the sums of the columns for each, and at, bits: its piece of a bitmap.
+
+    without: sorted hashes that are left out.
+    """
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+
+        def out() -> pa.RecordBatch:
+            columns = {c: np.concatenate([x.column(k).to_numpy() for x in waiting]) for k, c in enumerate(["h", *sums])}
+            if without is not None and len(without.value[0]):
+                stays = ~place(without.value, columns["h"])[1]
+                columns = {c: x[stays] for c, x in columns.items()}
+            return pa.RecordBatch.from_pydict(dealt(columns["h"], parts, columns))
+
+        for batch in batches:
+            waiting.append(batch)
+            if sum(x.num_rows for x in waiting) > CHUNK:
+                yield out()
+                waiting.clear()
+        if waiting:
+            yield out()
+
+    def unite(table: pa.Table) -> pa.Table:
+        h = unpacked(table, "h")
+        order, starts = runs(h)
+        h = h[order][starts]
+        word = (h.view(np.uint64) >> np.uint64(43)).astype(np.int64)
+        begin = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        bits = np.zeros(word[-1] - word[0] + 1, np.int64)
+        bits[word[begin] - word[0]] = np.bitwise_or.reduceat(np.int64(1) << (h & 63), begin)
+        columns = [np.add.reduceat(unpacked(table, c, np.float64)[order], starts) for c in sums]
+        row = {"part": table.column("part")[:1], "h": [h.tobytes()]} | {c: [x.tobytes()] for c, x in zip(sums, columns, strict=True)}
+        return pa.table(row | {"at": pa.array([word[0]], pa.int64()), "bits": [bits.tobytes()]})
+
+    blobs = "".join(f", {c} binary" for c in ["h", *sums])
+    sent = table.select("h", *sums).mapInArrow(send, f"part int{blobs}")
+    return sent.groupBy("part").applyInArrow(unite, f"part int{blobs}, at long, bits binary")
+
+
 def bitmap(table: DataFrame) -> Broadcast:
-    """Bits of the hashes h in a table; a hash whose bit is not set is not in it."""
-    rows = table.groupBy(F.shiftrightunsigned("h", 43).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63L AS int)))").alias("b")).toArrow()
+    """Bits of the hashes in a table of united parts; a hash whose bit is not set is not in it."""
     bits = np.zeros(BITMAP, np.int64)
-    bits[rows["w"].to_numpy()] = rows["b"].to_numpy()
+    for row in table.select("at", "bits").toLocalIterator():
+        piece = np.frombuffer(row.bits, np.int64)
+        bits[row.at : row.at + len(piece)] |= piece
     return table.sparkSession.sparkContext.broadcast(bits)
 
 
+def place(hot: list[np.ndarray], h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of hashes among the sorted ones, the first of hot, and whether they are there; the last of hot has a flag for their first 22 bits."""
+    at, found = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    likely = np.flatnonzero(hot[-1][h.view(np.uint64) >> np.uint64(42)])
+    if len(likely):
+        own = h[likely]
+        at[likely] = np.minimum(np.searchsorted(hot[0], own), len(hot[0]) - 1)
+        found[likely] = hot[0][at[likely]] == own
+    return at, found
+
+
 def held(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[h.view(np.uint64) >> np.uint64(43)] >> (h & 63) & 1).astype(bool)
 
@@ -225,25 +331,36 @@ def count_words(texts: DataFrame) -> DataFrame:
     """h, c of every token of the training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            h, counts = np.unique(np.concatenate(waiting), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(counts, pa.int64())], ["h", "c"])
+
         for batch in batches:
-            h, counts = np.unique(_flat(batch.column(0))[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(counts, pa.int64())], ["h", "c"])
+            waiting.append(_flat(batch.column(0))[0])
+            if sum(map(len, waiting)) > CHUNK:
+                yield out()
+                waiting.clear()
+        if sum(map(len, waiting)):
+            yield out()
 
     return texts.where("train").select("tokens").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def count_sequences(texts: DataFrame, size: int, parts: Broadcast, k: int) -> DataFrame:
-    """context, suffix and c of the sequences of a size that occur often enough in training texts, of one slice of the contexts; parts: bitmap of those one shorter."""
+def count_sequences(texts: DataFrame, size: int, bits: Broadcast, parts: int, k: int) -> DataFrame:
+    """context, suffix and c of the sequences of a size that occur often enough in training texts, of one slice of the contexts; bits: bitmap of those one shorter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[np.ndarray] = []
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
 
         def out() -> pa.RecordBatch:
-            pairs = np.concatenate(waiting)
-            pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-            starts = np.flatnonzero(np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)]))
-            counts = np.diff(np.append(starts, len(pairs)))
-            return pa.RecordBatch.from_arrays([pa.array(pairs[starts, 0]), pa.array(pairs[starts, 1]), pa.array(counts, pa.int64())], ["context", "suffix", "c"])
+            context, suffix = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            h = mixed(context, suffix)
+            order, starts = runs(h)
+            counts = np.diff(np.append(starts, len(h))).astype(np.int32)
+            first = order[starts]
+            return pa.RecordBatch.from_pydict(dealt(h[first], parts, {"context": context[first], "suffix": suffix[first], "c": counts}))
 
         for batch in slices(batches):
             h, first, _ = _flat(batch.column(0))
@@ -254,26 +371,35 @@ def count_sequences(texts: DataFrame, size: int, parts: Broadcast, k: int) -> Da
             mine = slice_of(context) == k
             context, suffix = context[mine], suffix[mine]
             # A sequence is no more frequent than its parts.
-            often = held(parts.value, context) & held(parts.value, suffix)
-            waiting.append(np.stack([context[often], suffix[often]], 1))
-            if sum(map(len, waiting)) > 1_000_000:
+            often = held(bits.value, context) & held(bits.value, suffix)
+            waiting.append((context[often], suffix[often]))
+            if sum(len(x) for x, _ in waiting) > CHUNK:
                 yield out()
                 waiting.clear()
-        if sum(map(len, waiting)):
+        if sum(len(x) for x, _ in waiting):
             yield out()
 
-    counted = texts.where("train").select("tokens").mapInArrow(run, "context long, suffix long, c long").groupBy("context", "suffix").agg(F.sum("c").alias("c"))
-    return counted.where(F.col("c") >= MIN_COUNT)
+    def add(table: pa.Table) -> pa.Table:
+        context, suffix, c = unpacked(table, "context"), unpacked(table, "suffix"), unpacked(table, "c", np.int32)
+        order, starts = runs(mixed(context, suffix))
+        c = np.add.reduceat(c[order].astype(np.int64), starts)
+        often = c >= MIN_COUNT
+        first = order[starts[often]]
+        return pa.table({"context": context[first], "suffix": suffix[first], "c": c[often]})
+
+    sent = texts.where("train").select("tokens").mapInArrow(run, "part int, context binary, suffix binary, c binary")
+    return sent.groupBy("part").applyInArrow(add, "context long, suffix long, c long")
 
 
-def grown(shorter: DataFrame, texts: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+def grown(shorter: DataFrame, texts: DataFrame, size: int, parts: int) -> tuple[DataFrame, DataFrame]:
     """Sequences of the next size: h, c, logp and gain (over suffix and context's weight), and h, back of the contexts that stay.
 
     shorter: h, c, logp of the sequences one shorter. All sequences of a context are in one slice.
     """
-    parts = bitmap(shorter.where(F.col("c") >= MIN_COUNT))
-    found = [_grown(shorter, count_sequences(texts, size, parts, k), k) for k in range(SLICES)]
-    parts.unpersist()
+    with small_batches(texts.sparkSession, ROWS):
+        bits = bitmap(united(shorter.where(F.col("c") >= MIN_COUNT), parts, []))
+    found = [_grown(shorter, count_sequences(texts, size, bits, parts, k), k) for k in range(SLICES)]
+    bits.unpersist()
     return reduce(DataFrame.union, [level for level, _ in found]), reduce(DataFrame.union, [states for _, states in found])
 
 
@@ -298,20 +424,21 @@ def _grown(shorter: DataFrame, counted: DataFrame, k: int) -> tuple[DataFrame, D
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score and score of each row; rows where train holds are learned from."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).alias("text"))
-    with scratch():
+    with scratch(), small_batches(docs.sparkSession, TEXTS):
         texts = materialize(encoded(docs), "texts", **DICTIONARY)
+        parts = parts_for(texts.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0])
         table = materialize(count_words(texts), "words")
         total, distinct = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
         unit = float(np.log10(total + distinct + 1))
         log = F.log10(F.col("c") + 1.0)
         level = table.select("h", "c", (log - unit).alias("logp"))
         none = F.lit(0.0)
-        values = table.select("h", "c", F.lit(1).alias("known"), log.alias("base"), log.alias("own"))
+        values = table.select("h", "c", log.alias("base"), log.alias("own"))
         for size in range(2, order + 1):
-            level, states = grown(level, texts, size)
+            level, states = grown(level, texts, size, parts)
             for part, own in ((level.where("gain <> 0"), "gain"), (states.withColumn("c", F.lit(0)), "back")):
-                values = values.unionByName(part.select("h", "c", F.lit(0).alias("known"), none.alias("base"), F.col(own).alias("own")))
-        sums = materialize(_looked_up(texts, values, order), "sums", outer=True)
+                values = values.unionByName(part.select("h", "c", none.alias("base"), F.col(own).alias("own")))
+        sums = materialize(_looked_up(texts, values, order, parts), "sums", outer=True)
     out = sums.groupBy("row").agg(*(F.max(c).alias(c) for c in ("id", "n_tokens")), *(F.sum(c).alias(c) for c in ("n_known", "base", "own")))
     less = F.col("n_tokens") * unit
     return out.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("base") - less).alias("base_score"), (F.col("own") - less).alias("score"))
@@ -330,43 +457,74 @@ def _sequences(tokens: pa.ListArray, order: int) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(every), np.concatenate(at), sizes
 
 
-def _looked_up(texts: DataFrame, values: DataFrame, order: int) -> DataFrame:
+def _looked_up(texts: DataFrame, values: DataFrame, order: int, parts: int) -> DataFrame:
     """row, id, n_tokens, n_known, base and own: several rows for each text, to be added up (id and n_tokens are in the first alone)."""
-    one = lambda df: df.groupBy("h").agg(F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("own").alias("own"))
+    spark = texts.sparkSession
     most = materialize(values.where("c > 0").select("h", "c").orderBy(F.desc("c"), "h").limit(HOT).select("h").distinct(), "hot")
-    hot = one(values.join(F.broadcast(most), "h")).toArrow().sort_by("h")
-    shared = texts.sparkSession.sparkContext.broadcast([hot[c].to_numpy() for c in ("h", "known", "base", "own")])
-
-    def place(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        hot = shared.value[0]
-        at = np.minimum(np.searchsorted(hot, h), max(len(hot) - 1, 0))
-        return at, hot[at] == h if len(hot) else np.zeros(len(h), bool)
+    hot = values.join(F.broadcast(most), "h").groupBy("h").agg(F.sum("base").alias("base"), F.sum("own").alias("own")).toArrow().sort_by("h")
+    own = [hot[c].to_numpy() for c in ("h", "base", "own")]
+    flags = np.zeros(1 << 22, bool)
+    flags[own[0].view(np.uint64) >> np.uint64(42)] = True
+    shared = spark.sparkContext.broadcast([*own, flags])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             h, number, sizes = _sequences(batch.column(2), order)
-            at, found = place(h)
-            known, base, own = (np.bincount(number[found], x[at[found]], len(sizes)) for x in shared.value[1:])
+            at, found = place(shared.value, h)
+            at, number = at[found], number[found]
+            base, own = (x[at] for x in shared.value[1:3])
+            known, base, own = (np.bincount(number, x, len(sizes)) for x in (base > 0, base, own))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), pa.array(known.astype(np.int64)), pa.array(base, pa.float64()), pa.array(own, pa.float64())], ["row", "id", "n_tokens", "n_known", "base", "own"])
 
     def rest(k: int, bits: Broadcast):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+            def out() -> pa.RecordBatch:
+                h, row = (np.concatenate(x) for x in zip(*waiting, strict=True))
+                sent = dealt(h, parts, {"h": h, "row": row})
+                return pa.RecordBatch.from_pydict(sent | {"chunk": pa.array(np.full(len(sent["part"]), row[0]))})
+
             for batch in slices(batches):
                 h, number, _ = _sequences(batch.column(1), order)
                 mine = np.flatnonzero(slice_of(h) == k)
                 mine = mine[held(bits.value, h[mine])]
-                mine = mine[~place(h[mine])[1]]
-                yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy()[number[mine]]), pa.array(h[mine])], ["row", "h"])
+                mine = mine[~place(shared.value, h[mine])[1]]
+                waiting.append((h[mine], batch.column(0).to_numpy()[number[mine]]))
+                if sum(len(x) for x, _ in waiting) > CHUNK // 2:
+                    yield out()
+                    waiting.clear()
+            if sum(len(x) for x, _ in waiting):
+                yield out()
 
         return run
 
+    def find(asked: pa.Table, own: pa.Table) -> pa.Table:
+        keys, h, row = unpacked(own, "h").view(np.uint64), unpacked(asked, "h").view(np.uint64), unpacked(asked, "row")
+        sender = np.repeat(np.arange(asked.num_rows), pc.binary_length(asked.column("h")).to_numpy() // 8)
+        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1) if len(keys) else np.zeros(len(h), np.int64)
+        found = keys[at] == h if len(keys) else np.zeros(len(h), bool)
+        at, row, sender = at[found], row[found], sender[found]
+        starts = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (sender[1:] != sender[:-1])]) if len(row) else [])
+        base, gain = (unpacked(own, c, np.float64)[at] for c in ("base", "own"))
+        sums = [np.add.reduceat(x, starts, dtype=x.dtype) if len(starts) else x for x in ((base > 0).astype(np.int32), base, gain)]
+        blobs = packed(np.bincount(sender[starts], minlength=asked.num_rows), [row[starts], *sums])
+        return pa.Table.from_arrays([asked.column("chunk"), *blobs], ["chunk", "row", "n_known", "base", "own"])
+
+    def total(table: pa.Table) -> pa.Table:
+        row, at = np.unique(unpacked(table, "row"), return_inverse=True)
+        known, base, own = (np.bincount(at, unpacked(table, c, kind), len(row)) for c, kind in (("n_known", np.int32), ("base", np.float64), ("own", np.float64)))
+        return pa.table({"row": row, "n_known": known.astype(np.int64), "base": base.astype(float), "own": own.astype(float)})
+
     sums = [materialize(texts.select("row", "id", "tokens").mapInArrow(add, "row long, id long, n_tokens long, n_known long, base double, own double"), "hot_sums")]
     for k in range(SLICES):
         with scratch():
-            own = materialize(one(values.where(in_slice("h", k)).join(F.broadcast(most), "h", "left_anti")), "values")
+            with small_batches(spark, ROWS):
+                own = materialize(united(values.where(in_slice("h", k)), parts, ["base", "own"], shared), "values")
             bits = bitmap(own)
-            found = texts.select("row", "tokens").mapInArrow(rest(k, bits), "row long, h long").join(own, "h")
-            found = found.groupBy("row").agg(F.sum("known").cast("long").alias("n_known"), F.sum("base").alias("base"), F.sum("own").alias("own"))
+            asked = texts.select("row", "tokens").mapInArrow(rest(k, bits), "part int, h binary, row binary, chunk long")
+            found = asked.groupBy("part").cogroup(own.select("part", "h", "base", "own").groupBy("part")).applyInArrow(find, "chunk long, row binary, n_known binary, base binary, own binary")
+            found = found.groupBy("chunk").applyInArrow(total, "row long, n_known long, base double, own double")
             sums.append(materialize(found, "slice_sums", outer=True).withColumns({"id": F.lit(None).cast("long"), "n_tokens": F.lit(None).cast("long")}))
             bits.unpersist()
     return reduce(DataFrame.unionByName, sums)

@@ -354,6 +354,29 @@ def test_contexts_grow_with_the_corpus(spark):
     assert (a << 20 | b) in tree.keys[0] and (b << 20 | c) in tree.keys[0]
 
 
+def test_language_model_by_parts(spark, monkeypatch):
+    """Many parts and short sendings give the same scores, and no batch of texts with more than 500 rows goes to a worker."""
+    r = random.Random(26)
+    own = [" ".join(r.choice(["red fish swims", "blue bird sings", f"old tree{r.randrange(30)} stands"]) for _ in range(r.randrange(200))) for _ in range(120)] + [None, "", "unseen once"]
+    df = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string").repartition(3)
+    run = lambda: {x.doc_id: x for x in suffix_tree_lm.score(df, F.col("doc_id") % 7 != 2).collect()}
+    want, batches, write = run(), {}, suffix_tree_lm.materialize
+
+    def written(table, name, **options):
+        batches[name] = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+        return write(table, name, **options)
+
+    monkeypatch.setattr(suffix_tree_lm, "materialize", written)
+    for name, value in {"FEW": 1, "CHUNK": 700, "HOT": 20}.items():
+        monkeypatch.setattr(suffix_tree_lm, name, value, raising=False)
+    got = run()
+    assert {name for name in ("texts", "sequences", "hot_sums", "slice_sums") if batches[name] > 500} == set()
+    assert got.keys() == want.keys()
+    for k, x in want.items():
+        assert got[k][1:4] == x[1:4] and got[k].base_score == pytest.approx(x.base_score) and got[k].score == pytest.approx(x.score)
+    assert any(x.score > x.base_score + 1 for x in want.values())
+
+
 def test_sequence_hashes_are_those_of_the_engine(spark):
     a, b = np.random.default_rng(3).integers(-(1 << 63), 1 << 63, (2, 50))
     rows = spark.createDataFrame(list(zip(a.tolist(), b.tolist(), strict=True)), "a long, b long").select(F.xxhash64("a", "b").alias("h")).collect()
