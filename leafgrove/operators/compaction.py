@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafgrove.operators import tree
@@ -105,31 +107,52 @@ def expand(serving_ids: DataFrame, serving: DataFrame) -> DataFrame:
     return rows.groupBy("document_id", "node_id").agg(F.min(F.struct("ord", "p")).alias("o")).select("document_id", "node_id", F.col("o.ord").alias("ord"), F.col("o.p").alias("place"))
 
 
+def source_candidates(nodes: DataFrame, summaries: DataFrame, most: int = 8) -> DataFrame:
+    """What description_sources chooses from: the root and the first level with their place, and told nodes without one.
+
+    Told nodes of one span add the same pages, so no more than the first `most` of each span of a document can be chosen,
+    in document order; nor can more than the first `most` of the first level. All others stay out here.
+    """
+    told = summaries.select("document_id", "node_id").distinct().withColumn("told", F.lit(True))
+    rows = nodes.join(told, ["document_id", "node_id"], "left").withColumn("path_text", F.array_join("path", "\x1f"))
+    rows = rows.withColumn("depth", F.size(F.split("path_text", "\x1f"))).withColumn("head", F.substring_index("path_text", "\x1f", 1))
+    rows = rows.select("document_id", "node_id", "start_page", "end_page", "level", "path_text", "told", "depth", "head")
+    heads = rows.groupBy("document_id", "head").agg(F.sum((F.col("depth") == 1).cast("int")).alias("n"), F.max(F.col("depth") > 1).alias("above"))
+    tops = heads.groupBy("document_id").agg(F.sum("n").alias("n_top"), F.max(F.when((F.col("n") == 1) & F.col("above"), F.col("head"))).alias("root"))
+    rows = rows.join(tops.select("document_id", "n_top", F.when(F.col("n_top") == 1, F.col("root")).alias("root")), "document_id")
+    order = ["start_page", "end_page", "level", "path_text", "node_id"]
+    under = F.when(F.col("depth") == 1, 0).when((F.col("depth") == 2) & (F.col("head") == F.col("root")), 1)
+    group = F.when(F.col("root").isNotNull(), under).when(F.when(F.col("n_top") > 0, F.col("depth") == 1).otherwise(F.col("level") == 1), 1)
+    upto = lambda df, by: df.withColumn("k", F.row_number().over(by)).where(F.col("k") <= most)
+    first = upto(rows.withColumn("g", group).where("g is not null"), W.partitionBy("document_id").orderBy("g", *order))
+    first = first.select("document_id", *order, (F.col("k") - 1).alias("place"))
+    rest = rows.where("told").join(first.select("document_id", "node_id"), ["document_id", "node_id"], "left_anti")
+    rest = upto(rest, W.partitionBy("document_id", "start_page", "end_page").orderBy(*order[2:]))
+    return first.unionByName(rest.select("document_id", *order, F.lit(None).cast("int").alias("place")))
+
+
 def description_sources(nodes: DataFrame, summaries: DataFrame, most: int = 8) -> DataFrame:
     """document_id, place, node_id: a unique root and the first level in document order, then by greatest number of pages not yet covered."""
-    told = summaries.select("document_id", "node_id").distinct().withColumn("told", F.lit(2))
-    rows = nodes.join(told, ["document_id", "node_id"], "left").fillna(0, ["told"])
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["start_page", "end_page", "level", "path_text", "node_id"], kind="stable")
-        items = group.to_dict("records")
-        depth = [x["path_text"].count("\x1f") + 1 for x in items]
-        top = [x for x, d in zip(items, depth, strict=True) if d == 1]
-        root = top[0] if len(top) == 1 and any(x["path_text"].startswith(top[0]["path_text"] + "\x1f") for x in items) else None
-        first = [x for x, d in zip(items, depth, strict=True) if d == 2 and x["path_text"].startswith(root["path_text"] + "\x1f")] if root else top or [x for x in items if x["level"] == 1]
-        chosen = [*([root] if root else []), *first][:most]
-        taken, pages = {x["node_id"] for x in chosen}, {p for x in chosen for p in range(x["start_page"], x["end_page"] + 1)}
-        rest = [x for x in items if x["told"] and x["node_id"] not in taken]
-        while rest and len(chosen) < most:
-            best = min(rest, key=lambda x: (-sum(p not in pages for p in range(x["start_page"], x["end_page"] + 1)), -x["told"], x["start_page"] - x["end_page"], items.index(x)))
-            chosen.append(best)
-            rest.remove(best)
-            pages.update(range(best["start_page"], best["end_page"] + 1))
-        return pd.DataFrame([(x["document_id"], k, x["node_id"]) for k, x in enumerate(chosen)], columns=["document_id", "place", "node_id"])
+        group = group.sort_values(["place", "start_page", "end_page", "level", "path_text", "node_id"], kind="stable")
+        chosen = group.node_id[group.place.notna()].tolist()
+        low = min(group.start_page.min(), group.end_page.min())
+        start, after = (group.start_page - low).to_numpy(), (group.end_page + 1 - low).to_numpy()
+        free = np.ones(max(start.max(), after.max()), dtype=np.int64)
+        for k in range(len(chosen)):
+            free[start[k] : after[k]] = 0
+        left = np.arange(len(chosen), len(group))
+        while len(left) and len(chosen) < most:
+            pages = np.concatenate([[0], np.cumsum(free)])
+            best = left[np.lexsort((left, start[left] - after[left], -np.maximum(0, pages[after[left]] - pages[start[left]])))[0]]
+            chosen.append(group.node_id.iloc[best])
+            free[start[best] : after[best]] = 0
+            left = left[left != best]
+        return pd.DataFrame({"document_id": group.document_id.iloc[0], "place": range(len(chosen)), "node_id": chosen})
 
     kind = nodes.schema["document_id"].dataType.simpleString()
-    rows = rows.withColumn("path_text", F.array_join("path", "\x1f")).select("document_id", "node_id", "start_page", "end_page", "level", "path_text", "told")
-    return rows.groupBy("document_id").applyInPandas(choose, f"document_id {kind}, place int, node_id string")
+    return source_candidates(nodes, summaries, most).groupBy("document_id").applyInPandas(choose, f"document_id {kind}, place int, node_id string")
 
 
 def descriptions(sources: DataFrame, nodes: DataFrame, summaries: DataFrame) -> DataFrame:

@@ -192,3 +192,28 @@ def broadcast(df):
 def test_prefilter_broadcasts_no_documents(spark):
     got = catalog.QUERIES["prefilter_lexical"](spark, SF)
     assert "p_type" in broadcast(got) and "p_name" not in broadcast(got)
+
+
+def test_description_sources_choose_from_few_rows(spark):
+    """Two documents, with and without a root: the same as by looking at all nodes; of the many told ones of a span few are looked at."""
+    import random
+
+    from leafgrove.operators import compaction
+
+    dice, rows = random.Random(5), []
+    for d, tops in (("one", 1), ("two", 3)):
+        rows += [(d, f"t{k}", [f"t{k}"], 1, 2 * k, 2 * k + 1) for k in range(tops)] + [(d, f"t0/{k}", ["t0", f"{k}"], 2, k, k) for k in range(3)]
+        rows += [(d, f"t0/0/{k:03d}", ["t0", "0", f"{k:03d}"], 3, a := dice.randrange(6), a + dice.randrange(9)) for k in range(600)]
+    nodes = spark.createDataFrame(rows, "document_id string, node_id string, path array<string>, level int, start_page int, end_page int")
+    told = nodes.where("level = 3")
+    want = set()
+    for d, tops in (("one", 1), ("two", 3)):
+        own = sorted((r for r in rows if r[0] == d), key=lambda r: (r[4], r[5], r[3], r[2], r[1]))
+        chosen = [r for r in own if r[3] == 1] + [r for r in own if r[3] == 2 and tops == 1]
+        while len(chosen) < 8:
+            pages = {p for r in chosen for p in range(r[4], r[5] + 1)}
+            chosen.append(min((r for r in own if r[3] == 3 and r not in chosen), key=lambda r: (-len(set(range(r[4], r[5] + 1)) - pages), r[4] - r[5])))
+        want |= {(d, k, r[1]) for k, r in enumerate(chosen)}
+    assert {tuple(r) for r in compaction.description_sources(nodes, told).collect()} == want
+    spans = len({(r[0], r[4], r[5]) for r in rows if r[3] == 3})
+    assert compaction.source_candidates(nodes, told).count() <= 8 * spans + 7 < len(rows)
