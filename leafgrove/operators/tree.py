@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from leafgrove.functions import text as T
 from leafgrove.sources.store import checkpointed
@@ -44,13 +47,25 @@ def normalize_outline(entries: DataFrame) -> DataFrame:
 
 
 def with_paths(entries: DataFrame) -> DataFrame:
-    """Entries (document_id, ord, level, title) with their path: the titles of the open sections by level."""
-    step = lambda a, e: F.struct(F.concat(F.slice(a["stack"], 1, F.greatest(F.lit(0), F.least(F.size(a["stack"]), e["level"] - 1))), F.array(e["title"])).alias("stack"))
-    grow = lambda a, e: F.struct(step(a, e)["stack"].alias("stack"), F.concat(a["out"], F.array(step(a, e)["stack"])).alias("out"))
-    start = F.struct(F.array().cast("array<string>").alias("stack"), F.array().cast("array<array<string>>").alias("out"))
-    docs = entries.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("ord", *[c for c in entries.columns if c not in ("document_id", "ord")]))).alias("e"))
-    docs = docs.withColumn("paths", F.aggregate("e", start, grow, lambda a: a["out"]))
-    return docs.select("document_id", F.explode(F.arrays_zip("e", "paths")).alias("z")).select("document_id", "z.e.*", F.col("z.paths").alias("path"))
+    """Entries (document_id, ord, level, title) with their path: the titles of the open sections by level.
+
+    One pass over each document's entries in order, which holds the open sections only.
+    """
+    columns = ["document_id", "ord", *[c for c in entries.columns if c not in ("document_id", "ord")]]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, stack = object(), []
+        for batch in batches:
+            paths = []
+            for document, level, title in zip(*(batch.column(c).to_pylist() for c in ("document_id", "level", "title")), strict=True):
+                if document != at:
+                    at, stack = document, []
+                stack = [*stack[: len(stack) if level is None else max(0, level - 1)], title]
+                paths.append(stack)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(paths, pa.list_(pa.string()))], [*columns, "path"])
+
+    ordered = entries.select(columns).repartition("document_id").sortWithinPartitions(*columns)
+    return ordered.mapInArrow(walk, StructType([*ordered.schema.fields, StructField("path", ArrayType(StringType()))]))
 
 
 def lead_spans(entries: DataFrame, page_counts: DataFrame) -> DataFrame:
@@ -64,13 +79,16 @@ def lead_spans(entries: DataFrame, page_counts: DataFrame) -> DataFrame:
 def parents_by_path(nodes: DataFrame) -> DataFrame:
     """Parent of each node (document_id, node_id, path, ord): the latest earlier node whose path is its own less the last part.
 
-    Entries of one path, level and page share an id; each has the parent of its own place.
+    Entries of one path, level and page share an id; each has the parent of its own place. Nodes and those that may be
+    above them are put in one order for each path, so none meets all that share its path.
     """
-    up = nodes.select(F.col("document_id").alias("d"), F.col("path").alias("up_path"), F.col("ord").alias("up_ord"), F.col("node_id").alias("up_id"))
-    own = F.slice("path", 1, F.size("path") - 1)
-    pairs = nodes.where(F.size("path") > 1).withColumn("own", own).join(up, (F.col("document_id") == F.col("d")) & (F.col("own") == F.col("up_path")) & (F.col("up_ord") < F.col("ord")))
-    found = pairs.groupBy("document_id", "node_id", "ord").agg(F.max_by("up_id", "up_ord").alias("parent_id"))
-    return nodes.drop("parent_id").join(found, ["document_id", "node_id", "ord"], "left")
+    own = nodes.drop("parent_id").withColumn("_own", F.lit(True)).withColumn("_key", F.when(F.size("path") > 1, F.slice("path", 1, F.size("path") - 1)))
+    up = nodes.select("document_id", "ord", F.lit(False).alias("_own"), F.col("path").alias("_key"), F.col("node_id").alias("_up"))
+    rows = own.where("_key is not null").unionByName(up, allowMissingColumns=True)
+    before = W.partitionBy("document_id", "_key").orderBy("ord", F.desc("_own")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    below = rows.withColumn("parent_id", F.last("_up", ignorenulls=True).over(before)).where("_own")
+    top = own.where("_key is null").withColumn("parent_id", F.lit(None).cast(nodes.schema["node_id"].dataType))
+    return below.select(top.columns).unionByName(top).drop("_own", "_key")
 
 
 def children(nodes: DataFrame) -> DataFrame:

@@ -217,3 +217,25 @@ def test_description_sources_choose_from_few_rows(spark):
     assert {tuple(r) for r in compaction.description_sources(nodes, told).collect()} == want
     spans = len({(r[0], r[4], r[5]) for r in rows if r[3] == 3})
     assert compaction.source_candidates(nodes, told).count() <= 8 * spans + 7 < len(rows)
+
+
+def test_paths_and_parents_of_long_outlines(spark):
+    """As by hand, levels below 1, null and skipped among them; no entry is joined with the others of its document."""
+    import random
+
+    from leafgrove.operators import tree
+
+    dice = random.Random(3)
+    rows = [(d, k, dice.choice([None, -1, 0, 1, 2, 2, 3, 3, 4, 7]), f"T{dice.randrange(3)}") for d in "ab" for k in range(1500)]
+    want, stack, seen = {}, {"a": [], "b": []}, {}
+    for d, k, level, title in rows:
+        stack[d] = [*(stack[d] if level is None else stack[d][: max(0, level - 1)]), title]
+        want[d, k] = (stack[d], seen.get((d, *stack[d][:-1])) if len(stack[d]) > 1 else None)
+        seen[(d, *stack[d])] = f"{d}{k}"
+    own = spark.createDataFrame(rows, "document_id string, ord int, level int, title string").orderBy("title")
+    from pyspark.sql import functions as F
+
+    found = tree.parents_by_path(tree.with_paths(own).withColumn("node_id", F.concat("document_id", F.col("ord").cast("string"))))
+    assert {(r.document_id, r.ord): (r.path, r.parent_id) for r in found.collect()} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "aggregate(" not in plan
