@@ -120,15 +120,23 @@ def top_level(nodes: DataFrame) -> DataFrame:
 
 
 def gaps(nodes: DataFrame, page_counts: DataFrame) -> DataFrame:
-    """Runs of pages that no node covers, with the reason."""
-    covered = nodes.select("document_id", F.explode(F.sequence("start_page", "end_page")).alias("page")).distinct()
-    pages = page_counts.where("page_count > 0").select("document_id", F.explode(F.sequence(F.lit(0), F.col("page_count") - 1)).alias("page"))
-    ends = covered.groupBy("document_id").agg(F.min("page").alias("lo"), F.max("page").alias("hi"))
-    free = pages.join(covered, ["document_id", "page"], "left_anti")
-    free = free.withColumn("island", F.col("page") - F.row_number().over(W.partitionBy("document_id").orderBy("page")))
-    runs = free.groupBy("document_id", "island").agg(F.min("page").alias("start_page"), F.max("page").alias("end_page")).join(ends, "document_id", "left")
-    reason = F.when(F.col("lo").isNull(), "no_verified_nodes").when(F.col("end_page") < F.col("lo"), "before_first_heading").when(F.col("start_page") > F.col("hi"), "after_last_heading").otherwise("between_verified_nodes")
-    return runs.select("document_id", "start_page", "end_page", reason.alias("reason"))
+    """Runs of pages that no node covers, with the reason.
+
+    A document's spans are walked in order between two marks of its own, one in front, which holds the number of pages,
+    and one behind its last page; what lies between the pages covered so far and the next span is a run.
+    """
+    page = page_counts.schema["page_count"].dataType
+    span = lambda kind, lo, hi, n: F.struct(F.lit(kind).alias("kind"), lo.cast("long").alias("lo"), hi.cast("long").alias("hi"), n.cast("long").alias("n"))
+    none, n = F.lit(None), F.col("page_count")
+    marks = page_counts.where("page_count > 0").select("document_id", F.explode(F.array(span(0, none, none, n), span(1, n, n, none))).alias("s"))
+    own = nodes.where("start_page is not null and end_page is not null").select("document_id", span(2, F.least("start_page", "end_page"), F.greatest("start_page", "end_page"), none).alias("s"))
+    order = W.partitionBy("document_id").orderBy("lo", "kind")
+    before = F.max("hi").over(order.rowsBetween(W.unboundedPreceding, -1))
+    rows = marks.unionByName(own).select("document_id", "s.*").withColumns({"before": before, "n": F.max("n").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)), "more": F.lead("kind").over(order).isNotNull()})
+    rows = rows.withColumn("start", F.greatest(F.lit(0), F.coalesce("before", F.lit(-1)) + 1)).withColumn("end", F.least("lo", "n") - 1).where("kind > 0 and n is not null and start <= end")
+    first = F.col("before").isNull()
+    reason = F.when(F.col("kind") == 2, F.when(first, "before_first_heading")).otherwise(F.when(first, F.when(F.col("more"), "before_first_heading").otherwise("no_verified_nodes")).when(~F.col("more"), "after_last_heading"))
+    return rows.select("document_id", F.col("start").cast(page).alias("start_page"), F.col("end").cast(page).alias("end_page"), F.coalesce(reason, F.lit("between_verified_nodes")).alias("reason"))
 
 
 def chunks(page_counts: DataFrame, size: int = 10, overlap: int = 2) -> DataFrame:

@@ -239,3 +239,26 @@ def test_paths_and_parents_of_long_outlines(spark):
     assert {(r.document_id, r.ord): (r.path, r.parent_id) for r in found.collect()} == want
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "aggregate(" not in plan
+
+
+def test_gaps_are_found_without_pages(spark):
+    """As page by page: spans beyond the document, turned round and missing ones; the plan has no row for each page."""
+    import random
+
+    from leafgrove.operators import tree
+
+    dice = random.Random(4)
+    counts = [(f"d{k}", k % 12) for k in range(60)]
+    spans = [(f"d{dice.randrange(70)}", a := dice.randrange(-3, 16), a + dice.randrange(-1, 3)) for _ in range(110)] + [("d5", None, 3), ("d6", 2, None)]
+    want = set()
+    for d, n in counts:
+        covered = {p for x, a, b in spans if x == d and a is not None and b is not None for p in range(min(a, b), max(a, b) + 1)}
+        free = [p for p in range(n) if p not in covered]
+        for _, run in itertools.groupby(enumerate(free), lambda x: x[1] - x[0]):
+            own = [p for _, p in run]
+            reason = "no_verified_nodes" if not covered else "before_first_heading" if own[-1] < min(covered) else "after_last_heading" if own[0] > max(covered) else "between_verified_nodes"
+            want.add((d, own[0], own[-1], reason))
+    found = tree.gaps(spark.createDataFrame(spans, "document_id string, start_page int, end_page int"), spark.createDataFrame(counts, "document_id string, page_count int"))
+    assert {tuple(r) for r in found.collect()} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan and "Join" not in plan
