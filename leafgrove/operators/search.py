@@ -23,6 +23,8 @@ VISUAL_TYPES = ["visual", "unresolved_visual"]
 REASONS = ["same_page_visual", "same_page_text_for_visual_query", "all_visual_units", "same_page_tables", "same_page_text_for_table_query", "all_table_units", "same_page_units", "matching_unit_types", "full_corpus_fallback"]
 #: The query side is broadcast up to so many rows, else shuffled on tokens.
 BROADCAST_QUERIES = 100_000
+#: Units of a task in which pairs of units and queries are added up.
+DEALT = 1_000
 
 
 def page_units(pages: DataFrame) -> DataFrame:
@@ -183,8 +185,12 @@ def rank(units: DataFrame, queries: DataFrame, k: int | None = None) -> DataFram
 
     units carry a total order in cand_ord. The tokens of both sides are joined, so pairs without a shared token never
     meet; where a query has fewer than k hits, units without one follow in candidate order.
+
+    Units are dealt out by id, so many to a task, and pairs are added up where their unit lies: what a task holds grows
+    with the number of queries only.
     """
-    body = units.select("document_id", "unit_id", "cand_ord", F.explode(F.array_distinct(_unit_tokens())).alias("token"))
+    tasks = max(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), units.count() // DEALT)
+    body = units.repartition(tasks, "document_id", "unit_id").select("document_id", "unit_id", "cand_ord", F.explode(F.array_distinct(_unit_tokens())).alias("token"))
     asked = queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("token"))
     small = asked.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
     hits = body.join(F.broadcast(asked) if small else asked, "token").groupBy("query_id", "document_id", "unit_id", "cand_ord").agg((F.count("*") * 2.0).alias("score"))

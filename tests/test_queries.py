@@ -262,3 +262,15 @@ def test_gaps_are_found_without_pages(spark):
     assert {tuple(r) for r in found.collect()} == want
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "sequence(" not in plan and "Join" not in plan
+
+
+def test_rank_adds_up_few_units_in_a_task(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from leafgrove.operators import search
+    from leafgrove.plans import inputs, search_plans
+
+    monkeypatch.setattr(search, "DEALT", 10)
+    hits = search.rank(search_plans._ranked(spark, SF), inputs.queries(spark, SF))
+    shares = hits.groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct("document_id").alias("n")).collect()
+    assert len(shares) > 10 and max(r.n for r in shares) < 30
