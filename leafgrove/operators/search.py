@@ -132,9 +132,17 @@ def widened(units: DataFrame, plans: DataFrame) -> DataFrame:
     their order, with the reason that names them. Units meet the requests of their document only; one pass computes each
     unit's rung, and a window keeps the least of each request.
     """
+    return _least_rung(_met(units, plans))
+
+
+def _met(units: DataFrame, plans: DataFrame) -> DataFrame:
+    """Each unit with the plans of its document's requests."""
     if "unit_types" not in plans.columns:
         plans = plans.withColumn("unit_types", F.array().cast("array<string>"))
-    rows = units.join(plans, "document_id")
+    return units.join(plans, "document_id")
+
+
+def _least_rung(rows: DataFrame) -> DataFrame:
     paged, typed = F.col("page_start").isNotNull(), F.size("unit_types") > 0
     on_page = paged & (F.col("start_page") <= F.col("page_end")) & (F.col("end_page") >= F.col("page_start"))
     of_type = typed & F.array_contains("unit_types", F.col("unit_type"))
@@ -166,9 +174,13 @@ def orchestrate(units: DataFrame, requests: DataFrame, k: int = 10, plans: DataF
 
     units carry a corpus order in `ord`. Candidates of the filter are ranked in unit order, widened ones in corpus order
     where scores tie; hits without a shared token stay. plans: those of a model, instead of the keyword plan.
+
+    A unit is cut into tokens once, before it meets its requests, and a query likewise (query_tokens).
     """
-    found = widened(units, request_plans(units, requests) if plans is None else plans)
-    found = with_terms(found).withColumn("score", F.size("matched_terms") * 2.0)
+    plans = request_plans(units, requests) if plans is None else plans
+    met = _met(units.withColumn("_own", F.array_distinct(_unit_tokens())), plans.withColumn("query_tokens", F.array_distinct(T.tokens(F.col("query")))))
+    found = _least_rung(met.withColumn("matched_terms", F.array_sort(F.array_intersect("_own", "query_tokens"))).drop("_own"))
+    found = found.withColumn("score", F.size("matched_terms") * 2.0)
     tie = [F.when(F.col("rung") == 0, x) for x in unit_order()[:3]]
     order = W.partitionBy("query_id", "document_id").orderBy(F.desc("score"), *tie, F.when(F.col("rung") == 0, F.col("unit_id")), "ord", "unit_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -256,9 +268,9 @@ def overlapping(units: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def excerpts(hits: DataFrame, chars: int = 280) -> DataFrame:
-    """The first line of each hit (query, text) that shares most tokens with the query."""
+    """The first line of each hit (query, text, and perhaps query_tokens, its distinct tokens) that shares most tokens with the query."""
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    asked = F.array_distinct(T.tokens(F.col("query")))
+    asked = F.col("query_tokens") if "query_tokens" in hits.columns else F.array_distinct(T.tokens(F.col("query")))
     scored = F.transform(lines, lambda x, i: F.struct(F.size(F.array_intersect(T.tokens(x), F.col("_asked"))).alias("n"), (-i).alias("i"), x.alias("line")))
     out = hits.withColumn("_asked", asked).withColumn("_lines", scored)
     return out.withColumn("excerpt", F.left(F.array_max("_lines")["line"], F.lit(chars))).drop("_asked", "_lines")

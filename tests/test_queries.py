@@ -274,3 +274,19 @@ def test_rank_adds_up_few_units_in_a_task(spark, monkeypatch):
     hits = search.rank(search_plans._ranked(spark, SF), inputs.queries(spark, SF))
     shares = hits.groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct("document_id").alias("n")).collect()
     assert len(shares) > 10 and max(r.n for r in shares) < 30
+
+
+def test_answers_search_once(spark):
+    """Counts, answers and citations come from one search, whose plan ranks the units once."""
+    from leafgrove.operators import qa
+
+    texts = ["the river is wide\nthe stone", "a stone in the river", "The river is WIDE", "of nothing else", "| river | 7 |"]
+    units = spark.createDataFrame([(1, f"u{k}", "table" if k == 4 else "page_text", "table" if k == 4 else "text", k, k, None, t, k) for k, t in enumerate(texts)], "document_id int, unit_id string, unit_type string, modality string, start_page int, end_page int, title string, text string, ord int")
+    requests = spark.createDataFrame([(1, 1, "the wide river"), (2, 1, "tabular river"), (3, 1, "an overview"), (4, 1, "zebra")], "query_id int, document_id int, query string")
+    found = qa.answers(units, requests)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count(" AS rank#") == 1
+    got = {r.query_id: (r.answer_mode, r.answer, r.citations and [c.citation.unit_id for c in r.citations]) for r in found.collect()}
+    assert got[1] == ("grounded_multi_excerpt", "the river is wide. a stone in the river. of nothing else.", ["u0", "u1", "u3"])
+    assert got[2] == ("authoritative_text", "| river | 7 |.", ["u4"])
+    assert got[3] == ("document_summary_fallback", "the river is wide\nthe stone. a stone in the river.", None)
+    assert got[4] == ("low_evidence", None, None)
