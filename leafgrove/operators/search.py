@@ -271,6 +271,6 @@ def excerpts(hits: DataFrame, chars: int = 280) -> DataFrame:
     """The first line of each hit (query, text, and perhaps query_tokens, its distinct tokens) that shares most tokens with the query."""
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     asked = F.col("query_tokens") if "query_tokens" in hits.columns else F.array_distinct(T.tokens(F.col("query")))
-    scored = F.transform(lines, lambda x, i: F.struct(F.size(F.array_intersect(T.tokens(x), F.col("_asked"))).alias("n"), (-i).alias("i"), x.alias("line")))
-    out = hits.withColumn("_asked", asked).withColumn("_lines", scored)
-    return out.withColumn("excerpt", F.left(F.array_max("_lines")["line"], F.lit(chars))).drop("_asked", "_lines")
+    best = lambda own: F.array_max(F.transform(lines, lambda x, i: F.struct(F.size(F.array_intersect(T.tokens(x), own)).alias("n"), (-i).alias("i"), x.alias("line"))))["line"]
+    # Bound by an outer step, else the query would be cut into tokens again for each line.
+    return hits.withColumn("excerpt", F.left(F.transform(F.array(asked), best)[0], F.lit(chars)))

@@ -197,7 +197,8 @@ SELECT query_id, doc_id AS document_id, substr(line, 1, 280) AS excerpt FROM (SE
 def _(spark, d):
     found = search.rank(_ranked(spark, d), queries(spark, d), HITS).select("query_id", "document_id")
     hits = found.join(docs(spark, d), "document_id").join(F.broadcast(queries(spark, d)), "query_id")
-    return search.excerpts(hits).where("excerpt is not null").select("query_id", "document_id", "excerpt")
+    # Texts without a line have no excerpt; asked of the text, as the optimizer would compute an excerpt again to filter by it.
+    return search.excerpts(hits.where(F.translate("text", " \n", "") != "")).select("query_id", "document_id", "excerpt")
 
 
 def _records(spark, d):

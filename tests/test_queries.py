@@ -290,3 +290,18 @@ def test_answers_search_once(spark):
     assert got[2] == ("authoritative_text", "| river | 7 |.", ["u4"])
     assert got[3] == ("document_summary_fallback", "the river is wide\nthe stone. a stone in the river.", None)
     assert got[4] == ("low_evidence", None, None)
+
+
+def test_excerpts_cut_a_query_once(spark):
+    """An excerpt is computed once, not again by a filter, and its query is cut into tokens outside the walk over lines."""
+    import re
+
+    plan = catalog.QUERIES["qa_excerpt"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_max(") == 1
+    inside = plan[plan.index("array_max(") :].split("Join Inner")[0]
+    assert re.search(r"array_intersect\(.*?, lambda x_\d+#\d+\)", inside, re.S)
+    hits = spark.createDataFrame([(1, 1, "wide river", " \n the river\nA wide, wide river \nriver wide"), (1, 2, "wide river", " \n "), (1, 3, "wide river", None), (2, 1, "", "a\nb")], "query_id int, document_id int, query string, text string")
+    from leafgrove.operators import search
+
+    got = {(r.query_id, r.document_id): r.excerpt for r in search.excerpts(hits, 12).collect()}
+    assert got == {(1, 1): "A wide, wide", (1, 2): None, (1, 3): None, (2, 1): "a"}
