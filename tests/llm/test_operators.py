@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 public_tokenizers = pytest.importorskip("public_tokenizers")
 tokenizers = pytest.importorskip("tokenizers")
 
-from leafgrove.llm import _components, bpe_codec, curve_packing, embedding_dedup, host_quality, line_dedup, ngram_join, suffix_tree_lm, token_counts, toxicity, url_reputation  # noqa: E402
+from leafgrove.llm import _components, _shared, bpe_codec, curve_packing, embedding_dedup, host_quality, line_dedup, ngram_join, suffix_tree_lm, token_counts, toxicity, url_reputation  # noqa: E402
 from leafgrove.llm._components import components  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -377,6 +377,18 @@ def test_language_model_by_parts(spark, monkeypatch):
     assert any(x.score > x.base_score + 1 for x in want.values())
 
 
+@pytest.mark.parametrize("share", [0.0, 1.0])
+def test_tables_clear_a_grown_heap_of_the_driver(spark, monkeypatch, share):
+    """Before a table is written, garbage of the driver is collected if its heap is beyond the share, and not below it."""
+    monkeypatch.setattr(_shared, "HEAP", share, raising=False)
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = full()
+    with _shared.scratch():
+        assert _shared.materialize(spark.range(3)).count() == 3
+    assert (full() > before) == (share == 0)
+
+
 def test_sequence_hashes_are_those_of_the_engine(spark):
     a, b = np.random.default_rng(3).integers(-(1 << 63), 1 << 63, (2, 50))
     rows = spark.createDataFrame(list(zip(a.tolist(), b.tolist(), strict=True)), "a long, b long").select(F.xxhash64("a", "b").alias("h")).collect()
