@@ -47,6 +47,8 @@ MIN_COUNT = 2
 HOT, BITMAP, SLICES = 200_000, 1 << 21, 4
 #: Sequences that a task holds before it sends them; tokens of the corpus for each part of the hash space, and parts that a corpus has if each has FEW.
 CHUNK, PART, PARTS, FEW = 1_000_000, 2_000_000, 64, 20_000
+#: Counts of values beyond it are alike when the least count of the most frequent ones is sought.
+LEVELS = 10_000
 #: Rows of texts, and of tables without texts, that a Python worker gets at once.
 TEXTS, ROWS = 500, 20_000
 #: Texts repeat words: a dictionary of so many bytes makes their hashes a third of the size on disk.
@@ -257,7 +259,7 @@ def runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def united(table: DataFrame, parts: int, sums: list[str], without: Broadcast | None = None) -> DataFrame:
-    """A row for each part: its hashes h in order, the sums of the columns for each, and at, bits: its piece of a bitmap.
+    """A row for each part: its hashes h in order, the sums of the columns (doubles) for each, and at, bits: its piece of a bitmap.
 
     without: sorted hashes that are left out.
     """
@@ -349,7 +351,10 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 
 def count_sequences(texts: DataFrame, size: int, bits: Broadcast, parts: int, k: int) -> DataFrame:
-    """context, suffix and c of the sequences of a size that occur often enough in training texts, of one slice of the contexts; bits: bitmap of those one shorter."""
+    """context, suffix and c of the sequences of a size that occur often enough in training texts, of one slice of the contexts, packed by the part of the suffix.
+
+    bits: bitmap of those one shorter.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple[np.ndarray, np.ndarray]] = []
@@ -385,10 +390,10 @@ def count_sequences(texts: DataFrame, size: int, bits: Broadcast, parts: int, k:
         c = np.add.reduceat(c[order].astype(np.int64), starts)
         often = c >= MIN_COUNT
         first = order[starts[often]]
-        return pa.table({"context": context[first], "suffix": suffix[first], "c": c[often]})
+        return pa.table(dealt(suffix[first], parts, {"context": context[first], "suffix": suffix[first], "c": c[often]}))
 
-    sent = texts.where("train").select("tokens").mapInArrow(run, "part int, context binary, suffix binary, c binary")
-    return sent.groupBy("part").applyInArrow(add, "context long, suffix long, c long")
+    blobs = "part int, context binary, suffix binary, c binary"
+    return texts.where("train").select("tokens").mapInArrow(run, blobs).groupBy("part").applyInArrow(add, blobs)
 
 
 def grown(shorter: DataFrame, texts: DataFrame, size: int, parts: int) -> tuple[DataFrame, DataFrame]:
@@ -397,28 +402,59 @@ def grown(shorter: DataFrame, texts: DataFrame, size: int, parts: int) -> tuple[
     shorter: h, c, logp of the sequences one shorter. All sequences of a context are in one slice.
     """
     with small_batches(texts.sparkSession, ROWS):
-        bits = bitmap(united(shorter.where(F.col("c") >= MIN_COUNT), parts, []))
-    found = [_grown(shorter, count_sequences(texts, size, bits, parts, k), k) for k in range(SLICES)]
+        shorter = materialize(united(shorter.where(F.col("c") >= MIN_COUNT).withColumn("c", F.col("c").cast("double")), parts, ["c", "logp"]), "shorter")
+    bits = bitmap(shorter)
+    found = [materialize(_grown(shorter, materialize(count_sequences(texts, size, bits, parts, k), "sequences"), parts), "level") for k in range(SLICES)]
     bits.unpersist()
-    return reduce(DataFrame.union, [level for level, _ in found]), reduce(DataFrame.union, [states for _, states in found])
-
-
-def _grown(shorter: DataFrame, counted: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    with scratch():
-        own = materialize(counted, "sequences")
-        contexts = shorter.where(in_slice("h", k)).select(F.col("h").alias("context"), F.col("c").alias("size"))
-        sizes = own.groupBy("context").agg(F.count("*").alias("n"), F.sum("c").alias("covered")).join(contexts, "context")
-        left = F.greatest(1 - (F.col("covered") - DISCOUNT * F.col("n")) / F.col("size"), F.lit(1e-9))
-        rows = own.join(shorter.select(F.col("h").alias("suffix"), F.col("logp").alias("lower")), "suffix").join(sizes.withColumn("left", left).drop("n"), "context")
-        rows = materialize(rows.withColumn("p", (F.col("c") - DISCOUNT) / F.col("size") + F.col("left") * F.pow(F.lit(10.0), "lower")), "smoothed")
-        gains = rows.groupBy("context").agg(F.sum(F.col("c") * (F.log("p") - F.col("lower") * float(np.log(10)))).alias("gain"), F.max("size").alias("size"), F.max("covered").alias("covered"), F.max("left").alias("left"))
-        gain = F.col("gain") + (F.col("size") - F.col("covered")) * F.log("left")
-        states = gains.where((gain >= MIN_GAIN) & (gain >= MIN_DIVERGENCE * F.col("size"))).select("context", F.log10("left").alias("back"))
-        states = materialize(states, "states", outer=True)
-        stays = F.col("back").isNotNull()
-        level = rows.join(states, "context", "left").select(F.xxhash64("context", "suffix").alias("h"), "c", F.when(stays, F.log10("p")).otherwise(F.col("lower")).alias("logp"), F.when(stays, F.log10("p") - F.col("lower") - F.col("back")).otherwise(0.0).alias("gain"))
-        level = materialize(level, "level", outer=True)
-    return level, states.select(F.col("context").alias("h"), "back")
+    every = reduce(DataFrame.union, found)
+    return every.where("back is null").select("h", "c", "logp", "gain"), every.where("back is not null").select("h", "back")
+
+
+def found_at(own: pa.Table, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of hashes that are among a part's united ones: their places in h, and their places there."""
+    keys = unpacked(own, "h").view(np.uint64)
+    if not len(keys):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    at = np.minimum(np.searchsorted(keys, h.view(np.uint64)), len(keys) - 1)
+    there = np.flatnonzero(keys[at] == h.view(np.uint64))
+    return there, at[there]
+
+
+def _grown(shorter: DataFrame, counted: DataFrame, parts: int) -> DataFrame:
+    """h, c, logp and gain of the sequences, and h, back of the contexts that stay. Sequences go to the part of their suffix and then to that of their context."""
+
+    def below(asked: pa.Table, own: pa.Table) -> pa.Table:
+        names = ("context", "suffix", "c")
+        columns = {c: unpacked(asked, c) for c in names}
+        there, at = found_at(own, columns["suffix"])
+        columns = {c: x[there] for c, x in columns.items()} | {"lower": unpacked(own, "logp", np.float64)[at]}
+        return pa.table(dealt(columns["context"], parts, columns))
+
+    def judged(asked: pa.Table, own: pa.Table) -> pa.Table:
+        context = unpacked(asked, "context")
+        order, _ = runs(context)
+        there, at = found_at(own, context[order])
+        order = order[there]
+        context, suffix, c = context[order], unpacked(asked, "suffix")[order], unpacked(asked, "c")[order]
+        lower, size = unpacked(asked, "lower", np.float64)[order], unpacked(own, "c", np.float64)[at]
+        starts = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]) if len(context) else [])
+        n = np.diff(np.append(starts, len(context)))
+        total = lambda x: np.add.reduceat(x, starts) if len(starts) else np.empty(0, x.dtype)
+        covered, whole = total(c), size[starts]
+        left = np.maximum(1 - (covered - DISCOUNT * n) / whole, 1e-9)
+        p = (c - DISCOUNT) / size + np.repeat(left, n) * 10.0**lower
+        gain = total(c * (np.log(p) - lower * np.log(10))) + (whole - covered) * np.log(left)
+        states = (gain >= MIN_GAIN) & (gain >= MIN_DIVERGENCE * whole)
+        stays, back = np.repeat(states, n), np.log10(left)
+        logp = np.log10(p)
+        level = {"h": mixed(context, suffix), "c": c, "logp": np.where(stays, logp, lower), "gain": np.where(stays, logp - lower - np.repeat(back, n), 0.0), "back": pa.nulls(len(c), pa.float64())}
+        some = int(states.sum())
+        weights = {"h": context[starts[states]], "c": np.zeros(some, np.int64), "logp": pa.nulls(some, pa.float64()), "gain": pa.nulls(some, pa.float64()), "back": back[states]}
+        return pa.concat_tables([pa.table(level), pa.table(weights)])
+
+    own = shorter.select("part", "h", "c", "logp").groupBy("part")
+    sent = counted.groupBy("part").cogroup(own).applyInArrow(below, "part int, context binary, suffix binary, c binary, lower binary")
+    return sent.groupBy("part").cogroup(own).applyInArrow(judged, "h long, c long, logp double, gain double, back double")
 
 
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
@@ -460,7 +496,12 @@ def _sequences(tokens: pa.ListArray, order: int) -> tuple[np.ndarray, np.ndarray
 def _looked_up(texts: DataFrame, values: DataFrame, order: int, parts: int) -> DataFrame:
     """row, id, n_tokens, n_known, base and own: several rows for each text, to be added up (id and n_tokens are in the first alone)."""
     spark = texts.sparkSession
-    most = materialize(values.where("c > 0").select("h", "c").orderBy(F.desc("c"), "h").limit(HOT).select("h").distinct(), "hot")
+    counted = values.where("c > 0").select("h", "c")
+    levels = counted.groupBy(F.least("c", F.lit(LEVELS)).alias("c")).agg(F.count("*").alias("n")).orderBy(F.desc("c")).collect()
+    # The least count that HOT values reach: only they are put in order.
+    reach = np.flatnonzero(np.cumsum([x.n for x in levels]) >= HOT)
+    counted = counted.where(F.col("c") >= levels[reach[0]].c) if len(reach) else counted
+    most = materialize(counted.orderBy(F.desc("c"), "h").limit(HOT).select("h").distinct(), "hot")
     hot = values.join(F.broadcast(most), "h").groupBy("h").agg(F.sum("base").alias("base"), F.sum("own").alias("own")).toArrow().sort_by("h")
     own = [hot[c].to_numpy() for c in ("h", "base", "own")]
     flags = np.zeros(1 << 22, bool)
@@ -500,11 +541,10 @@ def _looked_up(texts: DataFrame, values: DataFrame, order: int, parts: int) -> D
         return run
 
     def find(asked: pa.Table, own: pa.Table) -> pa.Table:
-        keys, h, row = unpacked(own, "h").view(np.uint64), unpacked(asked, "h").view(np.uint64), unpacked(asked, "row")
+        row = unpacked(asked, "row")
         sender = np.repeat(np.arange(asked.num_rows), pc.binary_length(asked.column("h")).to_numpy() // 8)
-        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1) if len(keys) else np.zeros(len(h), np.int64)
-        found = keys[at] == h if len(keys) else np.zeros(len(h), bool)
-        at, row, sender = at[found], row[found], sender[found]
+        found, at = found_at(own, unpacked(asked, "h"))
+        row, sender = row[found], sender[found]
         starts = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (sender[1:] != sender[:-1])]) if len(row) else [])
         base, gain = (unpacked(own, c, np.float64)[at] for c in ("base", "own"))
         sums = [np.add.reduceat(x, starts, dtype=x.dtype) if len(starts) else x for x in ((base > 0).astype(np.int32), base, gain)]

@@ -377,6 +377,22 @@ def test_language_model_by_parts(spark, monkeypatch):
     assert any(x.score > x.base_score + 1 for x in want.values())
 
 
+def test_sequences_grow_without_joins_of_rows(spark, monkeypatch):
+    """Sequences meet their suffixes and contexts as packed parts; only values as frequent as the last broadcast one are put in order."""
+    r, plans, write = random.Random(27), {}, suffix_tree_lm.materialize
+    own = [" ".join(r.choice(["red fish swims", "blue bird sings", f"old tree{r.randrange(30)} stands"]) for _ in range(40)) for _ in range(30)]
+
+    def written(table, name, **options):
+        plans.setdefault(name, []).append(table._jdf.queryExecution().optimizedPlan().toString())
+        return write(table, name, **options)
+
+    monkeypatch.setattr(suffix_tree_lm, "materialize", written)
+    monkeypatch.setattr(suffix_tree_lm, "HOT", 5)
+    suffix_tree_lm.score(spark.createDataFrame(list(enumerate(own)), "doc_id long, text string"), F.lit(True)).collect()
+    assert plans["level"] and not any(re.search(r"\bJoin\b", x) for x in plans["level"])
+    assert len(plans["hot"]) == 1 and re.search(r"c#\d+L >= ([2-9]|\d\d)", plans["hot"][0])
+
+
 @pytest.mark.parametrize("share", [0.0, 1.0])
 def test_tables_clear_a_grown_heap_of_the_driver(spark, monkeypatch, share):
     """Before a table is written, garbage of the driver is collected if its heap is beyond the share, and not below it."""
