@@ -532,6 +532,19 @@ def test_lines_with_a_passage_in_common_seldom_meet(spark, monkeypatch):
     assert sum(asked) < 15 * len(lines), asked
 
 
+def test_found_lines_are_not_looked_up_for_each_word(spark, monkeypatch):
+    """Whether a line still asks is known before its prefix is cut into postings: no join of postings leaves lines out."""
+    plans, materialize = [], line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, name="cut", *a, **b: plans.append((name, df._jdf.queryExecution().analyzed().toString())) or materialize(df, name, *a, **b))
+    r = random.Random(23)
+    base = [" ".join(f"w{r.randrange(500)}" for _ in range(40)) for _ in range(30)]
+    lines = [*base, *(" ".join(["new", *t.split()[1:]]) for t in base), *(" ".join(t.split()[3:]) for t in base)]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert {x.doc_id: x.text for x in line_dedup.dedup_lines(df).collect()} == brute_lines(dict(enumerate(lines)))
+    joins = [plan for name, plan in plans if name == "pairs" and "band" in plan]
+    assert len(joins) >= line_dedup.SLICES and not any("LeftAnti" in plan for plan in joins)
+
+
 def test_groups_of_null_ids_repeated_rows_and_clashing_columns(spark):
     own = {k: t for k, t in enumerate(texts()) if t}
     rows = [*own.items(), (None, own[0]), (3, own[3])]
