@@ -12,6 +12,7 @@ Repeated rows are packed each by itself; an empty table gives no piece; other co
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ LENGTH = 2048
 END = 1
 #: Hashed vector, dimensions of the curve, bits a dimension.
 BUCKETS, DIMENSIONS, BITS = 1024, 4, 10
-#: Distinct chunks that a Python worker remembers; beyond it the memory starts anew.
+#: Distinct chunks that a Python worker remembers; beyond it only those of the texts at hand stay.
 MEMORY = 600_000
 
 
@@ -44,23 +45,28 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.library.encode_special_tokens = True
+        #: The model alone, for lower-case words of ASCII letters: no normalizer or pattern changes or parts these.
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        bare = {"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "decoder": None, "model": model}
+        self.model = Tokenizer.from_str(json.dumps(bare))
         #: Whether an id ends a pre-token.
         self.ends = np.zeros(max(self.bpe.strings) + 1, bool)
         self.ends[[i for i, t in self.bpe.strings.items() if t.endswith(self.bpe.suffix)]] = True
-        self.known: dict[str, bytes] = {}
+        self.special = {c: np.array([i], "<u2").tobytes() for c, i in self.bpe.special.items()}
+        self.known: dict[str, bytes] = dict(self.special)
         self.words: dict[str, bytes] = {}
 
-    def learn(self, chunks: set[str]) -> None:
-        """Distinct pre-tokens go to the library many in one text: it parts them at the white space between."""
+    def learn(self, held: set[str]) -> None:
+        """Distinct pre-tokens of the chunks at hand go to the library many in one text: it parts them at the white space between."""
+        chunks = held.difference(self.known)
         if len(self.known) + len(chunks) > MEMORY:
-            self.known.clear()
+            self.known = self.special | {c: self.known[c] for c in held.difference(chunks)}
         if len(self.words) > MEMORY:
             self.words.clear()
-        self.known.update({c: np.array([i], "<u2").tobytes() for c, i in self.bpe.special.items()})
-        chunks = chunks.difference(self.known)
         new = {c: self.bpe.parts(c) for c in chunks if not c.isalpha()}
         whole = chunks.difference(new)
-        words = list(whole.union(*new.values()).difference(self.words))
+        words = sorted(whole.union(*new.values()).difference(self.words), key=_odd)
         for at in range(0, len(words), 500):
             part = words[at : at + 500]
             ids = np.array(self._ids(" ".join(part)), "<u2")
@@ -76,8 +82,9 @@ class Encoder:
             self.known[chunk] = b"".join([self.words[p] for p in ps])
 
     def _ids(self, text: str) -> list[int]:
-        """Ids by the library, which here need not find the places of the tokens."""
-        return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        """Ids of lower-case words by the library, which here need not find the places of the tokens."""
+        library = self.model if text.isascii() and text.replace(" ", "").isalpha() else self.library
+        return library.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         with _wordbpe.no_gc():
@@ -86,6 +93,10 @@ class Encoder:
         return [b"".join(map(self.known.__getitem__, cs)) for cs in split]
 
 
+def _odd(word: str) -> bool:
+    return not (word.isascii() and word.isalpha())
+
+
 class Curve:
     """Keys of documents on the curve."""
 

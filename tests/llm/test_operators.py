@@ -86,6 +86,20 @@ def test_packing(docs, library):
     check_pieces(curve_packing.pack(docs).collect(), {k: [*library[0](t), 1] for k, t in enumerate(texts())})
 
 
+def test_a_full_memory_keeps_the_chunks_at_hand(library, monkeypatch):
+    """Chunks that all texts have are parted once, whatever else comes and goes; words of ASCII letters get the library's ids."""
+    monkeypatch.setattr(curve_packing, "MEMORY", 100)
+    encoder, parted = curve_packing.Encoder(public_tokenizers.path("word_bpe_49k.json")), []
+    parts = encoder.bpe.parts
+    monkeypatch.setattr(encoder.bpe, "parts", lambda chunk: parted.append(chunk) or parts(chunk))
+    common = [f"{w},{k}" for k, w in enumerate(WORDS)]
+    for k in range(20):
+        own = [*common, *(f"{w}{chr(97 + k)}{w[::-1]}" for w in WORDS), f"It's É{k} <|endoftext|> ΑΣ don't", *(f"x{k}.{j}" for j in range(20))]
+        assert np.frombuffer(encoder.encode([" ".join(own)])[0], "<u2").tolist() == library[0](" ".join(own))
+        assert len(encoder.known) < 200
+    assert all(parted.count(c) == 1 for c in common)
+
+
 def test_keys_wake_no_threads():
     """The linear algebra library's threads wait busily once they have been called."""
 
