@@ -37,7 +37,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafgrove.llm._shared import fold, materialize, read, scratch, slices, small_batches
+from leafgrove.llm._shared import collected, fold, materialize, read, release, scratch, slices, small_batches
 
 #: Longest sequences that are counted (contexts are one shorter).
 ORDER = 3
@@ -399,13 +399,20 @@ def count_sequences(texts: DataFrame, size: int, bits: Broadcast, parts: int, k:
 def grown(shorter: DataFrame, texts: DataFrame, size: int, parts: int) -> tuple[DataFrame, DataFrame]:
     """Sequences of the next size: h, c, logp and gain (over suffix and context's weight), and h, back of the contexts that stay.
 
-    shorter: h, c, logp of the sequences one shorter. All sequences of a context are in one slice.
+    shorter: h, c, logp of the sequences one shorter. All sequences of a context are in one slice. A slice's counts go once
+    its level is written, so that those of one slice are on disk at a time.
     """
-    with small_batches(texts.sparkSession, ROWS):
-        shorter = materialize(united(shorter.where(F.col("c") >= MIN_COUNT).withColumn("c", F.col("c").cast("double")), parts, ["c", "logp"]), "shorter")
-    bits = bitmap(shorter)
-    found = [materialize(_grown(shorter, materialize(count_sequences(texts, size, bits, parts, k), "sequences"), parts), "level") for k in range(SLICES)]
-    bits.unpersist()
+    found = []
+    with scratch():
+        with small_batches(texts.sparkSession, ROWS):
+            shorter = materialize(united(shorter.where(F.col("c") >= MIN_COUNT).withColumn("c", F.col("c").cast("double")), parts, ["c", "logp"]), "shorter")
+        bits = bitmap(shorter)
+        for k in range(SLICES):
+            with collected() as tables:
+                counted = materialize(count_sequences(texts, size, bits, parts, k), "sequences")
+            found.append(materialize(_grown(shorter, counted, parts), "level", outer=True))
+            release(tables)
+        bits.unpersist()
     every = reduce(DataFrame.union, found)
     return every.where("back is null").select("h", "c", "logp", "gain"), every.where("back is not null").select("h", "back")
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import time
@@ -546,6 +547,22 @@ def test_lines_with_a_passage_in_common_seldom_meet(spark, monkeypatch):
     assert sum(asked) < 15 * len(lines), asked
 
 
+def test_counts_of_one_slice_are_on_disk_at_a_time(docs, monkeypatch):
+    """Counted sequences go once the level that is made of them is written; what is shorter goes with its size."""
+    held, materialize, out = [], suffix_tree_lm.materialize, []
+
+    def seen(df, name="cut", **more):
+        own = materialize(df, name, **more)
+        held.append((name, own.inputFiles()))
+        there = [n for n, files in held if any(os.path.exists(f.removeprefix("file://")) for f in files)]
+        out.append((there.count("sequences"), there.count("shorter")))
+        return own
+
+    monkeypatch.setattr(suffix_tree_lm, "materialize", seen)
+    assert suffix_tree_lm.score(docs, F.lit(True)).count() == docs.count()
+    assert max(x for x, _ in out) == max(x for _, x in out) == 1
+
+
 def test_found_lines_are_not_looked_up_for_each_word(spark, monkeypatch):
     """Whether a line still asks is known before its prefix is cut into postings: no join of postings leaves lines out."""
     plans, materialize = [], line_dedup.materialize
